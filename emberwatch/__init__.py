@@ -16,7 +16,7 @@ from emberwatch.plans.rules import Rule, apply_rules, run_rules
 from emberwatch.plans.search import log_counts, read_index, search_logs
 from emberwatch.sources.files import as_envelope, file_logs
 from emberwatch.sources.kafka import kafka_logs
-from emberwatch.sources.tables import events_as_logs, read_table
+from emberwatch.sources.tables import events_as_logs, read_table, stream_table
 from emberwatch.streaming.index import index_logs
 from emberwatch.streaming.runner import (
     alert_log,
@@ -58,4 +58,5 @@ __all__ = [
     "search_logs",
     "sliding_burst_alert",
     "span_burst_alert",
+    "stream_table",
 ]

@@ -52,7 +52,7 @@ def followed_by_span(
     """
     ntz = is_ntz(df, time) and not df.isStreaming
     logs = df.select(
-        user, time, F.col(action).alias("_action"), F.col(order or time).alias("_order")
+        user, time, F.col(action).alias("at_action"), F.col(order or time).alias("at_order")
     )
     length = micros(span)
     if df.isStreaming:
@@ -64,16 +64,16 @@ def followed_by_span(
         )
     else:
         # denials first among logs of one time when nothing orders them
-        rows = logs.filter(F.col("_action").isin(denied, accessed) & F.col(time).isNotNull()).select(
+        rows = logs.filter(F.col("at_action").isin(denied, accessed) & F.col(time).isNotNull()).select(
             F.col(user).alias("_user"),
             as_micros(time).alias("_us"),
-            "_order" if order else (F.col("_action") == accessed).alias("_order"),
-            (F.col("_action") == denied).alias("_denied"),
+            (F.col("at_order") if order else F.col("at_action") == accessed).alias("_order"),
+            (F.col("at_action") == denied).alias("_denied"),
         )
         found = _counted(rows, _openers(rows, length, cancel_timers), length, threshold)
         found = found.withColumnRenamed("_user", user)
     return found.select(
-        user, from_micros(F.col("_at"), ntz).alias("accessed_at"), "denied_count"
+        user, from_micros(F.col("at_us"), ntz).alias("accessed_at"), "denied_count"
     )
 
 
@@ -83,11 +83,11 @@ def _on_stream(
     key_type = df.schema[user].dataType.simpleString()
     return (
         df.filter(F.col(time).isNotNull())
-        .withColumn("_us", as_micros(time))
+        .withColumn("at_us", as_micros(time))
         .groupBy(user)
         .transformWithStateInPandas(
             processor,
-            outputStructType=f"`{user}` {key_type}, _at long, denied_count long",
+            outputStructType=f"`{user}` {key_type}, at_us long, denied_count long",
             outputMode="append",
             timeMode="EventTime",
         )
@@ -249,5 +249,5 @@ def _counted(rows: DataFrame, openers: DataFrame, length: int, threshold: int) -
         .withColumn("_base", F.lag(F.max("_reset").over(so_far)).over(group))
         .withColumn("denied_count", F.col("_total") - F.coalesce("_base", F.lit(0)))
         .filter(F.col("_own") & access & (F.col("denied_count") >= threshold))
-        .select("_user", F.col("_us").alias("_at"), "denied_count")
+        .select("_user", F.col("_us").alias("at_us"), "denied_count")
     )

@@ -37,8 +37,8 @@ def span_burst_alert(
         found = _judged_on_table(logs, span, threshold, user, time)
     return found.select(
         user,
-        from_micros(F.col("_at"), ntz and not df.isStreaming).alias("span_start"),
-        from_micros(F.col("_at") + micros(span), ntz and not df.isStreaming).alias("span_end"),
+        from_micros(F.col("at_us"), ntz and not df.isStreaming).alias("span_start"),
+        from_micros(F.col("at_us") + micros(span), ntz and not df.isStreaming).alias("span_end"),
         "count",
     )
 
@@ -80,7 +80,7 @@ def _judged_on_table(df: DataFrame, span: str, threshold: int, user: str, time:
         logs.select(user, F.explode(steps).alias("_step"))
         .withColumn("count", F.sum("_step.change").over(by_time))
         .filter(F.col("_step.ends") & (F.col("count") > threshold))
-        .select(user, (F.col("_step.at") - length).alias("_at"), "count")
+        .select(user, (F.col("_step.at") - length).alias("at_us"), "count")
     )
 
 
@@ -88,11 +88,11 @@ def _judged_on_stream(df: DataFrame, span: str, threshold: int, user: str, time:
     key_type = df.schema[user].dataType.simpleString()
     return (
         df.filter(F.col(time).isNotNull())
-        .withColumn("_us", as_micros(time))
+        .withColumn("at_us", as_micros(time))
         .groupBy(user)
         .transformWithStateInPandas(
             SpanBurstProcessor(user, micros(span), threshold),
-            outputStructType=f"`{user}` {key_type}, _at long, count long",
+            outputStructType=f"`{user}` {key_type}, at_us long, count long",
             outputMode="append",
             timeMode="EventTime",
         )

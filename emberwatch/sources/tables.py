@@ -17,3 +17,9 @@ def events_as_logs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_type").alias("action"),
         "props",
     )
+
+
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as a file stream; a pattern as the path lets the table be one file too."""
+    schema = read_table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")

@@ -1,7 +1,8 @@
 """Keyed state for the alerts that look at every log's own time span.
 
 Spark calls the methods by keyword, so their parameter names are fixed. A user's rows of
-one micro-batch come as several frames of one call.
+one micro-batch come as several frames of one call. Spark renames columns that start with
+an underscore, so the names here do not.
 """
 
 from collections.abc import Iterator
@@ -43,7 +44,7 @@ class SpanBurstProcessor(StatefulProcessor):
             self.due.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = np.concatenate([frame["_us"].to_numpy(np.int64) for frame in rows])
+        times = np.concatenate([frame["at_us"].to_numpy(np.int64) for frame in rows])
         times, counts = np.unique(times, return_counts=True)
         self.logs.appendList(list(zip(times.tolist(), counts.tolist())))
         self._wait_for(int(times[0]))
@@ -62,7 +63,7 @@ class SpanBurstProcessor(StatefulProcessor):
             hit = inside > self.threshold
             if hit.any():
                 yield pd.DataFrame(
-                    {self.user: key[0], "_at": times[:over][hit], "count": inside[hit]}
+                    {self.user: key[0], "at_us": times[:over][hit], "count": inside[hit]}
                 )
             times, counts = times[over:], counts[over:]
             self.logs.clear()
@@ -98,42 +99,41 @@ class FollowedBySpanProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "n long, waiting boolean")
+        self.count = handle.getValueState("count", "n long")
         self.timers = handle.getListState("timers", "us long")
 
-    def _save(self, n: int, waiting: bool, timers: list[int]) -> None:
+    def _save(self, n: int, timers: list[int]) -> None:
         self.timers.clear()
         if timers:
             self.timers.put([(us,) for us in timers])
             self.handle.registerTimer(_wake_at(max(timers)))
-        if n or waiting:
-            self.count.update((n, waiting))
+        if n:
+            self.count.update((n,))
         else:
             self.count.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["_us", "_order"], kind="stable")
-        n, waiting = self.count.get() or (0, False)
+        batch = pd.concat(list(rows)).sort_values(["at_us", "at_order"], kind="stable")
+        (n,) = self.count.get() or (0,)
         timers = sorted(us for (us,) in self.timers.get())
         alerts = []
-        for us, action in zip(batch["_us"].tolist(), batch["_action"].tolist()):
+        for us, action in zip(batch["at_us"].tolist(), batch["at_action"].tolist()):
             while timers and timers[0] < us:
                 heappop(timers)
-                n, waiting = 0, False
+                n = 0
             if action == self.denied:
-                n += 1
-                if not waiting:
-                    waiting = True
+                if n == 0:
                     heappush(timers, us + self.span)
+                n += 1
             elif action == self.accessed:
                 if n >= self.threshold:
                     alerts.append((us, n))
-                n, waiting = 0, False
+                n = 0
                 if self.cancel:
                     timers.clear()
-        self._save(n, waiting, timers)
+        self._save(n, timers)
         if alerts:
-            found = pd.DataFrame(alerts, columns=["_at", "denied_count"])
+            found = pd.DataFrame(alerts, columns=["at_us", "denied_count"])
             found.insert(0, self.user, key[0])
             yield found
 
@@ -142,7 +142,7 @@ class FollowedBySpanProcessor(StatefulProcessor):
         timers = sorted(us for (us,) in self.timers.get())
         kept = [us for us in timers if us > passed]
         if len(kept) < len(timers):
-            self._save(0, False, kept)
+            self._save(0, kept)
         return iter([])
 
     def close(self) -> None:

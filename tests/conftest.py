@@ -1,0 +1,78 @@
+import json
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from emberwatch.session import build_session  # noqa: E402
+
+BASE = 1718381400  # 2024-06-14 16:10:00 UTC, on a 10-minute boundary
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = build_session(
+        "tests",
+        master="local[8]",
+        spark__sql__shuffle__partitions="4",
+        spark__ui__enabled="false",
+        spark__driver__memory="4g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+        spark__sql__streaming__noDataProgressEventInterval="100",
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def feed(spark, tmp_path):
+    """Turns lists of JSON values (one list per micro-batch) into a file stream of `value`."""
+
+    def make(*batches):
+        folder = tmp_path / "feed"
+        folder.mkdir(exist_ok=True)
+        already = len(list(folder.iterdir()))
+        for number, batch in enumerate(batches, start=already):
+            lines = [v if isinstance(v, str) else json.dumps(v) for v in batch]
+            path = folder / f"{number:04d}.txt"
+            path.write_text("".join(line + "\n" for line in lines))
+            import os
+
+            os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))
+        return spark.readStream.option("maxFilesPerTrigger", 1).text(str(folder))
+
+    return make
+
+
+@pytest.fixture
+def drain(tmp_path):
+    """Runs a stream over all that is there; gives the rows of each micro-batch and the query."""
+
+    def run(alerts, mode="append", checkpoint=None):
+        from emberwatch import run_alerts
+
+        got = []
+        query = run_alerts(
+            alerts,
+            checkpoint or str(tmp_path / "checkpoint"),
+            sink=lambda batch, number: got.append(batch.collect()),
+            mode=mode,
+            trigger="available",
+        )
+        query.awaitTermination(120)
+        return got, query
+
+    return run
+
+
+def dropped(query):
+    """Rows the watermark dropped, over all micro-batches."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )

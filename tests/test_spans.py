@@ -1,0 +1,94 @@
+import random
+from collections import Counter
+
+import pytest
+from conftest import BASE
+
+from emberwatch import event_time, parse_logs, span_burst_alert
+from emberwatch.schemas import USER_LOG
+
+CASES = {
+    "a": ((0, 10, 20, 30), [(0, 60, 3)]),
+    "b": ((0, 10, 20), []),
+    "c": ((0, 0, 0, 10), []),
+    "d": ((0, 10, 20, 60), [(0, 60, 3)]),
+    "e": ((0, 10, 20, 61), []),
+}
+
+
+def logs(user, *seconds):
+    return [{"timestamp": (BASE + s) * 1000, "username": user} for s in seconds]
+
+
+def shape(rows):
+    return [
+        (int(r.span_start.timestamp()) - BASE, int(r.span_end.timestamp()) - BASE, r["count"])
+        for r in rows
+    ]
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_cases(spark, feed, drain, case):
+    seconds, expected = CASES[case]
+    rows = [(r["timestamp"], r["username"]) for r in logs("u", *seconds)]
+    df = event_time(spark.createDataFrame(rows, USER_LOG), unit="ms")
+    assert shape(span_burst_alert(df).collect()) == expected
+    # a far-future log closes the last spans
+    parsed = parse_logs(feed(logs("u", *seconds), logs("z", 9_000)), USER_LOG, mode="strict")
+    got, _ = drain(span_burst_alert(event_time(parsed, unit="ms")))
+    assert [s for batch in got for s in shape(batch)] == expected
+
+
+def brute(logs, span, threshold):
+    found = []
+    for user in {u for u, _ in logs}:
+        times = [t for u, t in logs if u == user]
+        for t in set(times):
+            n = sum(t < other <= t + span for other in times)
+            if n > threshold:
+                found.append((user, t, n))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    # one user has most rows, and times reach over many chunks, negative ones too
+    logs = [
+        (rng.choice(["hot", "hot", "hot", "b", "c"]), rng.randrange(-3_000, 9_000) * rng.choice([1, 10]))
+        for _ in range(900)
+    ]
+    df = event_time(spark.createDataFrame(logs, "username string, timestamp long"))
+    rows = span_burst_alert(df, span="61 seconds", threshold=3).collect()
+    got = sorted((r.username, int(r.span_start.timestamp()), r["count"]) for r in rows)
+    assert got == brute(logs, 61, 3)
+    assert Counter(u for u, _, _ in got)["hot"] > 0
+
+
+def test_stream_in_many_batches_equals_table(spark, feed, drain):
+    rng = random.Random(7)
+    pairs = sorted((rng.randrange(2_000), rng.choice("abc")) for _ in range(500))
+    batches = [
+        [r for s, u in pairs[i : i + 70] for r in logs(u, s)] for i in range(0, len(pairs), 70)
+    ]
+    parsed = parse_logs(feed(*batches, logs("z", 90_000)), USER_LOG)
+    got, _ = drain(span_burst_alert(event_time(parsed, unit="ms"), threshold=4))
+    stream = sorted((r.username, *s) for b in got for r in b for s in shape([r]))
+    df = event_time(spark.createDataFrame([((BASE + s) * 1000, u) for s, u in pairs], USER_LOG), unit="ms")
+    rows = span_burst_alert(df, threshold=4).collect()
+    assert stream == sorted((r.username, *s) for r in rows for s in shape([r]))
+    assert stream
+
+
+def test_rows_out_of_order_within_the_delay(feed, drain):
+    batches = [logs("u", 30), logs("u", 0), logs("u", 20), logs("u", 10), logs("z", 9_000)]
+    parsed = parse_logs(feed(*batches), USER_LOG)
+    got, _ = drain(span_burst_alert(event_time(parsed, unit="ms"), delay="1 minute"))
+    assert [s for b in got for s in shape(b)] == [(0, 60, 3)]
+
+
+def test_many_rows_of_one_user_come_in_one_call(feed, drain):
+    rows = [r for s in range(25_000) for r in logs("u", s // 500)]
+    got, _ = drain(span_burst_alert(event_time(parse_logs(feed(rows, logs("z", 9_000)), USER_LOG), unit="ms")))
+    found = [s for b in got for s in shape(b)]
+    assert sorted(found) == [(s, s + 60, (49 - s) * 500) for s in range(49)]

@@ -1,0 +1,169 @@
+import pytest
+from conftest import BASE, dropped
+
+from emberwatch import (
+    burst_alert,
+    echo_events,
+    event_time,
+    followed_by_window,
+    format_alert,
+    parse_logs,
+    readable_time,
+    sliding_burst_alert,
+)
+from emberwatch.schemas import LOGIN_LOG, USER_LOG
+
+SAMPLE = [
+    {"timestamp": 1708228602, "username": "ayush"},
+    {"timestamp": 1718381882, "username": "snoie"},
+    {"timestamp": 1718381882, "username": "snoie"},
+    {"timestamp": 1718381882, "username": "snoie"},
+]
+
+
+def logs(user, *seconds):
+    return [{"timestamp": BASE + s, "username": user} for s in seconds]
+
+
+def table(spark, values, schema=USER_LOG):
+    import json
+
+    lines = [(v if v is None or isinstance(v, str) else json.dumps(v),) for v in values]
+    return parse_logs(spark.createDataFrame(lines, "value string"), schema)
+
+
+def test_sample_burst_and_line(spark):
+    alerts = burst_alert(event_time(table(spark, SAMPLE)))
+    [row] = alerts.withColumn("line", format_alert()).collect()
+    assert (row.username, row["count"]) == ("snoie", 3)
+    assert row.line == (
+        'Alert fired; user=snoie, window="2024-06-14 16:10:00 to 2024-06-14 16:20:00", '
+        "count=3, threshold=2, timerange=10 minutes"
+    )
+
+
+def test_sample_burst_stream(feed, drain):
+    alerts = burst_alert(event_time(parse_logs(feed(SAMPLE), USER_LOG)))
+    got, _ = drain(alerts, "update")
+    assert [(r.username, r["count"]) for batch in got for r in batch] == [("snoie", 3)]
+
+
+@pytest.mark.parametrize(
+    ("seconds", "counts"),
+    [((0, 1, 2), [3]), ((0, 1), []), ((599, 600, 601), [])],
+)
+def test_burst_threshold_and_boundary(spark, seconds, counts):
+    alerts = burst_alert(event_time(table(spark, logs("a", *seconds))))
+    assert [r["count"] for r in alerts.collect()] == counts
+
+
+def test_unparseable_logs_are_dropped(spark):
+    values = ["nonsense", None, "42", "[1,2]", '{"timestamp": "x", "username": "a"}'] * 3
+    values += ["{'timestamp': %d, 'username': \"it's\", 'more': 1}" % BASE] * 3
+    alerts = burst_alert(event_time(table(spark, values)))
+    assert [(r.username, r["count"]) for r in alerts.collect()] == [("it's", 3)]
+
+
+LATE = [logs("a", 0, 1, 2), logs("a", 3), logs("b", 2000), logs("a", 4), logs("a", 5)]
+
+
+def test_burst_update_mode_and_late_rows(feed, drain):
+    alerts = burst_alert(event_time(parse_logs(feed(*LATE), USER_LOG)))
+    got, query = drain(alerts, "update")
+    assert [[r["count"] for r in batch] for batch in got][:5] == [[3], [4], [], [5], []]
+    assert dropped(query) == 1
+
+
+def test_burst_append_mode(feed, drain):
+    alerts = burst_alert(event_time(parse_logs(feed(*LATE), USER_LOG)))
+    got, _ = drain(alerts, "append")
+    assert [r["count"] for batch in got for r in batch] == [5]
+
+
+def logins(*pairs):
+    return [{"username": "a", "timestamp": BASE + s, "login_action": what} for s, what in pairs]
+
+
+FIVE = [(s, "failed") for s in range(5)]
+
+
+@pytest.mark.parametrize(
+    ("values", "expected"),
+    [
+        (logins(*FIVE, (5, "success")), [(5, 1)]),
+        (logins((0, "success"), *[(s, "failed") for s in range(1, 6)]), [(5, 1)]),
+        (logins(*FIVE[:4], (5, "success")), []),
+        (logins(*[(s, "failed") for s in range(55, 60)], (60, "success")), []),
+        (["broken", *logins(*FIVE, (5, "success"))], [(5, 1)]),
+        (logins(*FIVE, (5, "success"), (6, "other")), [(5, 1)]),
+    ],
+)
+def test_followed_by_window(spark, feed, drain, values, expected):
+    alerts = followed_by_window(table(spark, values, LOGIN_LOG))
+    assert [(r.failed_count, r.success_count) for r in alerts.collect()] == expected
+    got, _ = drain(followed_by_window(parse_logs(feed(values), LOGIN_LOG)), "update")
+    assert [(r.failed_count, r.success_count) for batch in got for r in batch] == expected
+
+
+def test_sliding_sample(spark, feed, drain):
+    zone = "Asia/Kathmandu"
+    batch = sliding_burst_alert(event_time(table(spark, SAMPLE)))
+    stream = sliding_burst_alert(event_time(parse_logs(feed(SAMPLE), USER_LOG)))
+    got, _ = drain(stream.select("*", readable_time(stream.window_start, zone).alias("at")), "update")
+    for rows in (
+        batch.select("*", readable_time(batch.window_start, zone).alias("at")).collect(),
+        [r for b in got for r in b],
+    ):
+        assert sorted(r["at"] for r in rows) == [
+            *(f"21:{m}:00" for m in range(54, 60)),
+            *(f"22:0{m}:00" for m in range(4)),
+        ]
+        assert {(r.username, r["count"]) for r in rows} == {("snoie", 3)}
+        assert {(r.window_end - r.window_start).total_seconds() for r in rows} == {600}
+
+
+def test_sliding_with_a_slide_that_does_not_divide(spark):
+    df = event_time(table(spark, logs("a", 0, 100, 299, 300, 301)))
+    rows = sliding_burst_alert(df, "5 minutes", "2 minutes").collect()
+    expected = {}
+    for start in range(-600, 600, 120):
+        offset = BASE % 120
+        begin = start - offset
+        n = sum(begin <= s < begin + 300 for s in (0, 100, 299, 300, 301))
+        if n > 2:
+            expected[BASE + begin] = n
+    assert {int(r.window_start.timestamp()): r["count"] for r in rows} == expected
+
+
+SLIDES = [*LATE[:4], logs("b", 2001), logs("a", 5)]
+
+
+def test_sliding_lateness_refires(feed, drain):
+    alerts = sliding_burst_alert(event_time(parse_logs(feed(*SLIDES), USER_LOG)))
+    got, _ = drain(alerts, "update")
+    assert [len(batch) for batch in got][:6] == [10, 10, 0, 10, 0, 10]
+
+
+def test_sliding_without_lateness_drops(feed, drain):
+    alerts = sliding_burst_alert(event_time(parse_logs(feed(*SLIDES), USER_LOG)), delay="0 seconds")
+    got, query = drain(alerts, "update")
+    assert len(got[5]) == 0
+    assert dropped(query) == 10
+
+
+def test_readable_time_in_any_session_zone(spark):
+    df = event_time(table(spark, [{"timestamp": 1718381882, "username": "a"}]))
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert df.select(readable_time(df.timestamp)).first()[0] == "22:03:02"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_milliseconds_and_echo(spark):
+    df = event_time(table(spark, [{"timestamp": 1718381882000, "username": "a"}]), unit="ms")
+    line = echo_events(df, received=df.timestamp).first().line
+    assert line == "received @22:03:02 => a, 22:03:02"
+    with pytest.raises(ValueError):
+        event_time(df, unit="us")
