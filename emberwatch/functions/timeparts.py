@@ -1,6 +1,7 @@
 """Event time: durations, epoch numbers and readable clock times."""
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ UNIT_MICROS = {
     "week": 604_800_000_000,
 }
 
-
 def micros(duration: str) -> int:
     """Microseconds in a duration such as `10 minutes` or `1 day 6 hours`."""
     parts = re.findall(r"(\d+)\s+([a-z]+?)s?\b", duration.strip().lower())
@@ -45,14 +45,24 @@ def is_ntz(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.TimestampNTZType)
 
 
-def as_micros(column: str) -> Column:
-    """Epoch microseconds; a timestamp without zone is read in the session's zone."""
-    return F.unix_micros(F.col(column).cast("timestamp"))
+def _epoch() -> Column:
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+
+
+def as_micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970; a timestamp without zone keeps its wall clock."""
+    if not is_ntz(df, column):
+        return F.unix_micros(F.col(column))
+    since = (F.col(column) - _epoch()).cast("interval second").cast("decimal(18,6)")
+    return (since * UNIT_MICROS["second"]).cast("long")
 
 
 def from_micros(us: Column, ntz: bool) -> Column:
-    when = F.timestamp_micros(us)
-    return when.cast("timestamp_ntz") if ntz else when
+    """The reverse of `as_micros`."""
+    if not ntz:
+        return F.timestamp_micros(us)
+    seconds = (us.cast("decimal(20,0)") * F.lit(Decimal("0.000001"))).cast("decimal(18,6)")
+    return _epoch() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def watermarked(df: DataFrame, column: str, delay: str) -> DataFrame:

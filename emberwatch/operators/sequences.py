@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
-from emberwatch.operators.spans import SPANS_PER_CHUNK, chunk_start
+from emberwatch.operators.balance import STRETCHES_PER_CHUNK, chunk_start
 from emberwatch.session import shared_folder
 from emberwatch.streaming.processors import FollowedBySpanProcessor
 
@@ -44,18 +44,18 @@ def followed_by_span(
 ) -> DataFrame:
     """Accesses that follow at least `threshold` denials since the last reset.
 
-    `order` names the column that orders logs of one time, such as an offset. A table is
-    taken in order of (time, order). A stream is taken in that order inside a micro-batch
+    `order` names the column that orders a user's logs of one time, such as an offset;
+    without it denials come before accesses. A table is taken in order of (time, order). A stream is taken in that order inside a micro-batch
     and as it arrives across them; rows below the watermark are dropped, so `delay` should
     cover how late logs arrive. On a table the chains of timers are followed at once, by
     Spark jobs that keep their steps in the checkpoint folder.
     """
     ntz = is_ntz(df, time) and not df.isStreaming
-    logs = df.select(
-        user, time, F.col(action).alias("at_action"), F.col(order or time).alias("at_order")
-    )
+    what = F.col(action)
+    rank = F.col(order) if order else what == accessed
     length = micros(span)
     if df.isStreaming:
+        logs = df.select(user, time, what.alias("at_action"), rank.alias("at_order"))
         found = _on_stream(
             watermarked(logs, time, delay),
             FollowedBySpanProcessor(user, length, threshold, denied, accessed, cancel_timers),
@@ -63,13 +63,16 @@ def followed_by_span(
             time,
         )
     else:
-        # denials first among logs of one time when nothing orders them
-        rows = logs.filter(F.col("at_action").isin(denied, accessed) & F.col(time).isNotNull()).select(
+        rows = df.filter(what.isin(denied, accessed) & F.col(time).isNotNull()).select(
             F.col(user).alias("_user"),
-            as_micros(time).alias("_us"),
-            (F.col("at_order") if order else F.col("at_action") == accessed).alias("_order"),
-            (F.col("at_action") == denied).alias("_denied"),
+            as_micros(df, time).alias("_us"),
+            rank.alias("_order"),
+            (what == denied).alias("_denied"),
+            F.lit(1).alias("_n"),
         )
+        if not order:
+            # logs of one user, time and action are alike: count them before the shuffle
+            rows = rows.groupBy("_user", "_us", "_order", "_denied").agg(F.sum("_n").alias("_n"))
         found = _counted(rows, _openers(rows, length, cancel_timers), length, threshold)
         found = found.withColumnRenamed("_user", user)
     return found.select(
@@ -83,7 +86,7 @@ def _on_stream(
     key_type = df.schema[user].dataType.simpleString()
     return (
         df.filter(F.col(time).isNotNull())
-        .withColumn("at_us", as_micros(time))
+        .withColumn("at_us", as_micros(df, time))
         .groupBy(user)
         .transformWithStateInPandas(
             processor,
@@ -119,7 +122,7 @@ def _nodes(rows: DataFrame, length: int, cancel: bool) -> DataFrame:
 
     With `cancel`, only those whose timer no access stops.
     """
-    width = length * SPANS_PER_CHUNK
+    width = length * STRETCHES_PER_CHUNK
     near = _spread(rows, F.col("_us"), before=length, after=length if cancel else 0, width=width)
     group = Window.partitionBy("_user", "_chunk")
     in_order = group.orderBy("_us", "_order")
@@ -153,7 +156,7 @@ def _hops(nodes: DataFrame, length: int) -> DataFrame:
     these stretches are disjoint, so the next claim after a timer's end is the only one
     that can hold it.
     """
-    width = length * SPANS_PER_CHUNK
+    width = length * STRETCHES_PER_CHUNK
     unsure = nodes.filter(~F.col("_sure"))
     claims = _spread(
         unsure.select("_user", F.col("_us").alias("_at"), "_us", "_before", "_sure"),
@@ -234,17 +237,18 @@ def _counted(rows: DataFrame, openers: DataFrame, length: int, threshold: int) -
         (F.col("_us") + length).alias("_us"),
         F.lit(None).cast(order_type).alias("_order"),
         F.lit(None).cast("boolean").alias("_denied"),
+        F.lit(0).alias("_n"),
     )
     both = rows.withColumn("_timer", F.lit(False)).unionByName(
         timers.withColumn("_timer", F.lit(True))
     )
-    width = length * SPANS_PER_CHUNK
+    width = length * STRETCHES_PER_CHUNK
     group = Window.partitionBy("_user", "_chunk").orderBy("_us", "_timer", "_order")
     so_far = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     access = ~F.col("_timer") & ~F.col("_denied")
     return (
         _spread(both, F.col("_us"), before=length, width=width)
-        .withColumn("_total", F.count(F.when(F.col("_denied"), 1)).over(so_far))
+        .withColumn("_total", F.sum(F.when(F.col("_denied"), F.col("_n")).otherwise(0)).over(so_far))
         .withColumn("_reset", F.when(F.col("_timer") | access, F.col("_total")))
         .withColumn("_base", F.lag(F.max("_reset").over(so_far)).over(group))
         .withColumn("denied_count", F.col("_total") - F.coalesce("_base", F.lit(0)))

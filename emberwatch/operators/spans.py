@@ -1,20 +1,12 @@
 """Each log opens a span of its own; alert when enough further logs fall into it."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
+from emberwatch.operators.balance import running_balance
 from emberwatch.streaming.processors import SpanBurstProcessor
 
-# a chunk of a user's time is this many spans long, so that few spans cross its edge
-SPANS_PER_CHUNK = 8
-
-
-def chunk_start(us: Column, length: int) -> Column:
-    """Start of the stretch of `length` microseconds that `us` lies in."""
-    return us - F.pmod(us, F.lit(length))
-
-
 def span_burst_alert(
     df: DataFrame,
     span: str = "60 seconds",
@@ -44,43 +36,22 @@ def span_burst_alert(
 
 
 def _judged_on_table(df: DataFrame, span: str, threshold: int, user: str, time: str) -> DataFrame:
-    """Find the spans by a running balance over time.
+    """The balance at the end of a log's span is the number of logs in the span.
 
-    A log adds to the balance at its own time and is taken off when its span ends, so the
-    balance at that end is the number of logs in the span. A user's time is cut into
-    chunks; a span that crosses an edge also adds itself to the chunk it ends in. Thus a
-    busy user is spread over many (user, chunk) groups, the logs of one time are counted
-    before the shuffle, and no two logs are ever paired.
+    The logs of one time are counted before the shuffle. At its own end the span is
+    already taken off, so that the opening log does not count.
     """
     length = micros(span)
-    width = length * SPANS_PER_CHUNK
     logs = (
         df.filter(F.col(time).isNotNull())
-        .groupBy(user, as_micros(time).alias("_us"))
+        .groupBy(user, as_micros(df, time).alias("at_us"))
         .agg(F.count("*").alias("_n"))
     )
-    opens, closes = F.col("_us"), F.col("_us") + length
-
-    def step(chunk_of: Column, at: Column, change: Column, ends: bool) -> Column:
-        return F.struct(
-            chunk_start(chunk_of, width).alias("chunk"),
-            at.alias("at"),
-            change.alias("change"),
-            F.lit(ends).alias("ends"),
-        )
-
-    own = [step(opens, opens, F.col("_n"), False), step(closes, closes, -F.col("_n"), True)]
-    carried = step(closes, opens, F.col("_n"), False)
-    steps = F.when(
-        chunk_start(opens, width) == chunk_start(closes, width), F.array(*own)
-    ).otherwise(F.array(*own, carried))
-    # equal times are peers of the default range frame, so all of them are in the balance
-    by_time = Window.partitionBy(user, "_step.chunk").orderBy("_step.at")
+    begin = F.col("at_us")
     return (
-        logs.select(user, F.explode(steps).alias("_step"))
-        .withColumn("count", F.sum("_step.change").over(by_time))
-        .filter(F.col("_step.ends") & (F.col("count") > threshold))
-        .select(user, (F.col("_step.at") - length).alias("at_us"), "count")
+        running_balance(logs, user, begin, begin + length, F.col("_n"), length)
+        .filter(F.col("ends") & (F.col("balance") > threshold))
+        .select(user, (F.col("at") - length).alias("at_us"), F.col("balance").alias("count"))
     )
 
 
@@ -88,7 +59,7 @@ def _judged_on_stream(df: DataFrame, span: str, threshold: int, user: str, time:
     key_type = df.schema[user].dataType.simpleString()
     return (
         df.filter(F.col(time).isNotNull())
-        .withColumn("at_us", as_micros(time))
+        .withColumn("at_us", as_micros(df, time))
         .groupBy(user)
         .transformWithStateInPandas(
             SpanBurstProcessor(user, micros(span), threshold),

@@ -7,7 +7,15 @@ again whenever its count changes; in append mode once, when the watermark closes
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.timeparts import micros, readable_time, watermarked
+from emberwatch.functions.timeparts import (
+    as_micros,
+    from_micros,
+    is_ntz,
+    micros,
+    readable_time,
+    watermarked,
+)
+from emberwatch.operators.balance import running_balance
 
 
 def _flat(df: DataFrame, user: str, *counts: str) -> DataFrame:
@@ -44,26 +52,49 @@ def sliding_burst_alert(
 ) -> DataFrame:
     """Users with more than `threshold` logs in a window that moves by `slide`.
 
-    A table is first counted per slide, so that each count, not each log, is copied to
-    the windows it belongs to. A stream keeps Spark's own sliding window, which state and
-    watermark understand; `delay` is how late a log may still change its windows.
+    A stream uses Spark's own sliding window, which state and watermark understand;
+    `delay` is how late a log may still change its windows. On a table a log is not copied
+    to each of its windows: it counts as a stretch of window starts, and windows are made
+    only where enough stretches overlap.
     """
     logs = watermarked(df.select(user, time), time, delay)
-    steps, rest = divmod(micros(window), micros(slide))
-    if df.isStreaming or rest:
+    if micros(slide) > micros(window):
+        raise ValueError(f"slide {slide!r} is longer than window {window!r}")
+    if df.isStreaming:
         counts = logs.groupBy(F.window(time, window, slide), user).agg(F.count("*").alias("count"))
         return _flat(counts.filter(F.col("count") > threshold), user, "count")
-    length, step = F.expr(f"INTERVAL {window}"), F.expr(f"INTERVAL {slide}")
-    panes = logs.groupBy(user, F.window(time, slide).start.alias("_pane")).agg(
-        F.count("*").alias("_n")
+    return _slid_on_table(logs, micros(window), micros(slide), threshold, user, time)
+
+
+def _slid_on_table(
+    df: DataFrame, window: int, slide: int, threshold: int, user: str, time: str
+) -> DataFrame:
+    ntz = is_ntz(df, time)
+    us = as_micros(df, time)
+    # the windows with the log start from the first multiple of slide after us - window
+    # up to the last one that is not after us
+    stretches = (
+        df.filter(F.col(time).isNotNull())
+        .groupBy(
+            user,
+            (us - window - F.pmod(us - window, F.lit(slide)) + slide).alias("_begin"),
+            (us - F.pmod(us, F.lit(slide)) + slide).alias("_end"),
+        )
+        .agg(F.count("*").alias("_n"))
     )
-    starts = F.array(*[F.col("_pane") - step * i for i in range(steps)])
+    # all begins and ends, and so the chunk's edges, must be multiples of slide
+    longest = slide * -(-window // slide)
+    steps = running_balance(stretches, user, F.col("_begin"), F.col("_end"), F.col("_n"), longest)
+    starts = F.explode(F.sequence("at", F.col("next") - slide, F.lit(slide)))
     return (
-        panes.select(user, F.explode(starts).alias("window_start"), "_n")
-        .groupBy(user, "window_start")
-        .agg(F.sum("_n").alias("count"))
-        .filter(F.col("count") > threshold)
-        .select(user, "window_start", (F.col("window_start") + length).alias("window_end"), "count")
+        steps.filter((F.col("balance") > max(threshold, 0)) & (F.col("next") > F.col("at")))
+        .select(user, starts.alias("_start"), F.col("balance").alias("count"))
+        .select(
+            user,
+            from_micros(F.col("_start"), ntz).alias("window_start"),
+            from_micros(F.col("_start") + window, ntz).alias("window_end"),
+            "count",
+        )
     )
 
 

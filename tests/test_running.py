@@ -4,6 +4,8 @@ import json
 import pytest
 from conftest import BASE
 
+from pyspark.errors import AnalysisException
+
 from emberwatch import (
     Rule,
     alert_log,
@@ -11,6 +13,7 @@ from emberwatch import (
     burst_alert,
     event_time,
     index_logs,
+    kafka_logs,
     keyword_alert,
     latest_alerts,
     log_counts,
@@ -99,7 +102,8 @@ def test_index_of_a_table_is_repeatable_by_name(spark, tmp_path):
     for _ in range(2):
         index_logs(df, index, load="first")
     index_logs(spark.createDataFrame(records(2), ENVELOPE), index, load="second")
-    assert offsets(read_index(spark, index)) == [0, 1, 2]
+    assert offsets(read_index(spark, index)) == [0, 1, 1, 2]
+    assert offsets(search_logs(read_index(spark, index))) == [0, 1, 2]
 
 
 def test_index_times_of_all_kinds(spark, tmp_path):
@@ -121,7 +125,7 @@ def test_search_and_counts(spark, tmp_path):
     index_logs(spark.createDataFrame(records(*range(0, 200_000, 1_000)), ENVELOPE), index)
     found = read_index(spark, index)
     assert offsets(search_logs(found, term='"N": 5000')) == []
-    assert offsets(search_logs(found, term='"n": 5000')) == [5000]
+    assert offsets(search_logs(found, term='"n": 5000}')) == [5000]
     assert offsets(search_logs(found, fields={"username": "u1", "nested.n": 7000})) == [7000]
     since = dt.datetime(2024, 6, 15)
     until = dt.datetime(2024, 6, 15, 0, 30)
@@ -194,3 +198,16 @@ def test_wrong_rules():
         Rule("x", "unknown")
     with pytest.raises(ValueError):
         run_rules(None, [RULES[0], RULES[0]], "nowhere")
+
+
+def test_kafka_needs_its_package(spark):
+    for streaming in (True, False):
+        with pytest.raises(AnalysisException, match="kafka"):
+            kafka_logs(spark, "localhost:1", start="earliest", stream=streaming, max_per_trigger=10)
+
+
+def test_console(feed, tmp_path):
+    alerts = burst_alert(event_time(parse_logs(feed([{"timestamp": BASE, "username": "a"}] * 3), USER_LOG)))
+    query = run_alerts(alerts, str(tmp_path / "c"), trigger="available", name="shown")
+    query.awaitTermination(60)
+    assert query.name == "shown" and query.exception() is None

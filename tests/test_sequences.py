@@ -2,7 +2,6 @@ import random
 
 import pytest
 from conftest import BASE
-from pyspark.sql import functions as F
 
 from emberwatch import event_time, followed_by_span, format_denial_alert, parse_logs
 from emberwatch.schemas import ACCESS_LOG
@@ -111,6 +110,27 @@ def test_against_state_machine(spark, seed, cancel):
     assert got == sorted(expected)
 
 
+def test_logs_of_one_time_without_an_order(spark, feed, drain):
+    rng = random.Random(5)
+    logs = [
+        ((BASE + rng.randrange(400)) * 1000, rng.choice(["u", "v"]), rng.choice(["denied"] * 4 + ["accessed"]))
+        for _ in range(1_500)
+    ]
+    table = followed_by_span(event_time(spark.createDataFrame(logs, ACCESS_LOG), unit="ms"), "20 seconds")
+    expected = sorted(
+        (user, t // 1000 - BASE, n)
+        for user in "uv"
+        for t, n in machine(
+            [(t, a == "accessed", a) for t, u, a in logs if u == user], 20_000, 3, False
+        )
+    )
+    assert shape(table.collect()) == expected and expected
+    names = ("timestamp", "username", "action")
+    stream = event_time(parse_logs(feed([dict(zip(names, v)) for v in logs]), ACCESS_LOG), unit="ms")
+    got, _ = drain(followed_by_span(stream, "20 seconds"))
+    assert shape([r for b in got for r in b]) == expected
+
+
 @pytest.mark.parametrize("period", [1, 7])
 def test_a_chain_without_any_gap(spark, period):
     # one denial every period for many chunks: each opener follows from the one before
@@ -153,4 +173,3 @@ def test_order_of_one_micro_batch_for_many_rows(feed, drain):
     values = steps("A50") + [v for s in range(24_999) for v in steps(f"D{s % 50}")]
     got, _ = drain(followed_by_span(event_time(parse_logs(feed(values), ACCESS_LOG), unit="ms")))
     assert shape([r for b in got for r in b]) == [("a", 50, 24_999)]
-    assert F is not None
