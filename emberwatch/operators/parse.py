@@ -21,12 +21,15 @@ def parse_logs(
 
     `permissive` gives nulls for a message that does not parse (a null event time later
     drops the row); `strict` fails the query on it.
+
+    The struct is taken apart by a generator, below which no filter is pushed: a filter on
+    a plain projection would parse every message a second time.
     """
     modes = {"permissive": "PERMISSIVE", "strict": "FAILFAST"}
     if mode not in modes:
         raise ValueError(f"mode must be 'permissive' or 'strict', not {mode!r}")
     parsed = F.from_json(F.col(value).cast("string"), schema, {"mode": modes[mode]})
-    return df.select(*keep, parsed.alias("_log")).select(*keep, "_log.*")
+    return df.select(*keep, F.inline(F.array(parsed)))
 
 
 def parse_documents(df: DataFrame, value: str = "value") -> DataFrame:
@@ -37,11 +40,10 @@ def parse_documents(df: DataFrame, value: str = "value") -> DataFrame:
     message that repeats a key inside one object counts as not parseable.
     """
     text = F.try_validate_utf8(F.col(value).cast("string"))
-    return (
-        df.withColumn("text", F.translate(text, "'", '"'))
-        .withColumn("doc", F.try_parse_json("text"))
-        .filter(F.col("doc").isNotNull())
-    )
+    repaired = df.withColumn("text", F.translate(text, "'", '"'))
+    # by a generator for the same reason as in parse_logs
+    parsed = F.explode(F.array(F.try_parse_json("text"))).alias("doc")
+    return repaired.select("*", parsed).filter(F.col("doc").isNotNull())
 
 
 def normalize_logs(
@@ -68,7 +70,7 @@ def normalize_logs(
         )
 
     found = F.coalesce(*[F.when(line.rlike(p[1]), F.lit(p[0])) for p in patterns])
-    named = df.withColumn("pattern", found)
+    named = df.select("*", F.explode(F.array(found)).alias("pattern"))
     if not unmatched:
         named = named.filter(F.col("pattern").isNotNull())
     return named.withColumns({name: field_of(name) for name in names})

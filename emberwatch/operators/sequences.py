@@ -20,7 +20,9 @@ form follows the chains of openers by joins:
 All ordered work is done in (user, chunk of time) groups with one span of overlap.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
@@ -28,6 +30,9 @@ from emberwatch.operators.balance import STRETCHES_PER_CHUNK, chunk_start
 from emberwatch.session import shared_folder
 from emberwatch.streaming.processors import FollowedBySpanProcessor
 
+# this many (user, chunk) keys, or fewer, are broadcast to leave out rows early
+MOST_BROADCAST = 200_000
+
 
 def followed_by_span(
     df: DataFrame,
@@ -45,9 +50,9 @@ def followed_by_span(
     """Accesses that follow at least `threshold` denials since the last reset.
 
     `order` names the column that orders a user's logs of one time, such as an offset;
-    without it denials come before accesses. A table is taken in order of (time, order). A stream is taken in that order inside a micro-batch
-    and as it arrives across them; rows below the watermark are dropped, so `delay` should
-    cover how late logs arrive. On a table the chains of timers are followed at once, by
+    without it denials come before accesses. A table is taken in order of (time, order).
+    A stream is taken in that order inside a micro-batch and as it arrives across them;
+    rows below the watermark are dropped, so `delay` should cover how late logs arrive. On a table the chains of timers are followed at once, by
     Spark jobs that keep their steps in the checkpoint folder.
     """
     ntz = is_ntz(df, time) and not df.isStreaming
@@ -73,7 +78,7 @@ def followed_by_span(
         if not order:
             # logs of one user, time and action are alike: count them before the shuffle
             rows = rows.groupBy("_user", "_us", "_order", "_denied").agg(F.sum("_n").alias("_n"))
-        found = _counted(rows, _openers(rows, length, cancel_timers), length, threshold)
+        found = _on_table(rows, length, threshold, cancel_timers)
         found = found.withColumnRenamed("_user", user)
     return found.select(
         user, from_micros(F.col("at_us"), ntz).alias("accessed_at"), "denied_count"
@@ -117,35 +122,52 @@ def _spread(df: DataFrame, at: Column, before: int = 0, after: int = 0, width: i
     )
 
 
-def _nodes(rows: DataFrame, length: int, cancel: bool) -> DataFrame:
-    """Denials that are or may be openers: `_sure`, and `_before`, the denial right before.
+def _since_access(in_order: WindowSpec, resets: Column) -> tuple[Column, Column]:
+    """Denials so far, and how many of them came up to the last of the `resets` before."""
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum(F.when(F.col("_denied"), F.col("_n")).otherwise(0)).over(so_far)
+    base = F.coalesce(F.max(F.when(resets, F.col("_total"))).over(before), F.lit(0))
+    return total, base
+
+
+def _marked(rows: DataFrame, length: int, threshold: int, cancel: bool) -> DataFrame:
+    """What matters further on: (user, time, kind) and for a denial the one right before it.
 
-    With `cancel`, only those whose timer no access stops.
+    The kinds are denials that are `sure` openers or `maybe` so, and accesses that `may`
+    be alerts: timers aside, there are enough denials since the last access. With
+    `cancel`, only denials whose timer no access stops are marked.
     """
     width = length * STRETCHES_PER_CHUNK
     near = _spread(rows, F.col("_us"), before=length, after=length if cancel else 0, width=width)
     group = Window.partitionBy("_user", "_chunk")
     in_order = group.orderBy("_us", "_order")
-    previous = F.lag(F.struct("_us", "_denied")).over(in_order)
-    nodes = near.withColumn("_previous", previous)
+    total, base = _since_access(in_order, ~F.col("_denied"))
+    marked = (
+        near.withColumn("_previous", F.lag(F.struct("_us", "_denied")).over(in_order))
+        .withColumn("_total", total)
+        .withColumn("_base", base)
+    )
+    stopped = F.lit(False)
     if cancel:
         backwards = group.orderBy(F.desc("_us"), F.desc("_order")).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
         stop = F.last(F.when(~F.col("_denied"), F.col("_us")), ignorenulls=True).over(backwards)
-        nodes = nodes.withColumn("_stop", stop).filter(
-            F.col("_stop").isNull() | (F.col("_stop") > F.col("_us") + length)
-        )
-    follows = (
-        F.col("_previous").isNotNull()
-        & F.col("_previous._denied")
-        & (F.col("_us") - F.col("_previous._us") <= length)
+        marked = marked.withColumn("_stop", stop)
+        stopped = F.coalesce(F.col("_stop") <= F.col("_us") + length, F.lit(False))
+    previous = F.col("_previous")
+    close = previous["_denied"] & (F.col("_us") - previous["_us"] <= length)
+    kind = (
+        F.when(~F.col("_denied"), F.when(F.col("_total") - F.col("_base") >= threshold, "may"))
+        .when(stopped, None)
+        .when(previous.isNull() | ~close, "sure")
+        .when(F.col("_us") > previous["_us"], "maybe")
     )
     return (
-        nodes.filter(F.col("_own") & F.col("_denied"))
-        .withColumn("_sure", ~follows)
-        .filter(F.col("_sure") | (F.col("_us") > F.col("_previous._us")))
-        .select("_user", "_us", "_sure", F.col("_previous._us").alias("_before"))
+        marked.filter("_own")
+        .select("_user", "_us", kind.alias("_kind"), previous["_us"].alias("_before"))
+        .filter(F.col("_kind").isNotNull())
     )
 
 
@@ -157,6 +179,7 @@ def _hops(nodes: DataFrame, length: int) -> DataFrame:
     that can hold it.
     """
     width = length * STRETCHES_PER_CHUNK
+    nodes = nodes.withColumn("_sure", F.col("_kind") == "sure")
     unsure = nodes.filter(~F.col("_sure"))
     claims = _spread(
         unsure.select("_user", F.col("_us").alias("_at"), "_us", "_before", "_sure"),
@@ -195,18 +218,14 @@ def _same(left: str, right: str) -> Column:
     return F.col("l._user").eqNullSafe(F.col("r._user")) & (F.col(left) == F.col(right))
 
 
-def _openers(rows: DataFrame, length: int, cancel: bool) -> DataFrame:
+def _openers(nodes: DataFrame, length: int) -> DataFrame:
     """(user, time) of every opener whose timer counts.
 
     After round i, `known` holds what is at most 2^i - 1 hops from a sure opener, and
     `hops` leads 2^i hops on; the rounds end when no chain is that long.
     """
-    shared_folder(rows.sparkSession)
-    nodes = _nodes(rows, length, cancel).checkpoint()
-    sure = nodes.filter("_sure").select("_user", "_us")
+    sure = nodes.filter(F.col("_kind") == "sure").select("_user", "_us")
     hops = _hops(nodes, length).checkpoint()
-    if hops.isEmpty():
-        return sure.distinct()
     known = hops.filter("_sure").select("_user", F.col("_from").alias("_us")).distinct()
     hops = hops.drop("_sure")
     while not hops.isEmpty():
@@ -225,33 +244,54 @@ def _openers(rows: DataFrame, length: int, cancel: bool) -> DataFrame:
     return sure.union(known).distinct()
 
 
-def _counted(rows: DataFrame, openers: DataFrame, length: int, threshold: int) -> DataFrame:
-    """Accesses with the denials since the last reset, where these reach the threshold.
+def _counted(
+    rows: DataFrame, openers: DataFrame, chunks: DataFrame, length: int, threshold: int
+) -> DataFrame:
+    """Accesses in the `chunks` whose denials since the last reset reach the threshold.
 
     The denials that count lie within one span before the access, so the overlap of the
     chunks holds them, and the running count less its value at the last reset is theirs.
     """
-    order_type = rows.schema["_order"].dataType
     timers = openers.select(
         "_user",
         (F.col("_us") + length).alias("_us"),
-        F.lit(None).cast(order_type).alias("_order"),
+        F.lit(None).cast(rows.schema["_order"].dataType).alias("_order"),
         F.lit(None).cast("boolean").alias("_denied"),
         F.lit(0).alias("_n"),
     )
     both = rows.withColumn("_timer", F.lit(False)).unionByName(
         timers.withColumn("_timer", F.lit(True))
     )
-    width = length * STRETCHES_PER_CHUNK
-    group = Window.partitionBy("_user", "_chunk").orderBy("_us", "_timer", "_order")
-    so_far = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = _spread(both, F.col("_us"), before=length, width=length * STRETCHES_PER_CHUNK)
     access = ~F.col("_timer") & ~F.col("_denied")
+    in_order = Window.partitionBy("_user", "_chunk").orderBy("_us", "_timer", "_order")
+    total, base = _since_access(in_order, F.col("_timer") | access)
     return (
-        _spread(both, F.col("_us"), before=length, width=width)
-        .withColumn("_total", F.sum(F.when(F.col("_denied"), F.col("_n")).otherwise(0)).over(so_far))
-        .withColumn("_reset", F.when(F.col("_timer") | access, F.col("_total")))
-        .withColumn("_base", F.lag(F.max("_reset").over(so_far)).over(group))
-        .withColumn("denied_count", F.col("_total") - F.coalesce("_base", F.lit(0)))
+        _narrowed(near, chunks)
+        .withColumn("_total", total)
+        .withColumn("denied_count", F.col("_total") - base)
         .filter(F.col("_own") & access & (F.col("denied_count") >= threshold))
         .select("_user", F.col("_us").alias("at_us"), "denied_count")
     )
+
+
+def _narrowed(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `df` with `wanted` keys; all rows where these are too many to broadcast."""
+    if wanted.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        return df
+    same = reduce(
+        Column.__and__, [F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) for key in wanted.columns]
+    )
+    return df.alias("l").join(F.broadcast(wanted).alias("r"), same, "left_semi")
+
+
+def _on_table(rows: DataFrame, length: int, threshold: int, cancel: bool) -> DataFrame:
+    shared_folder(rows.sparkSession)
+    # read twice, and parsing or scanning the logs is the dear part
+    rows = rows.checkpoint()
+    marked = _marked(rows, length, threshold, cancel).checkpoint()
+    # mostly few users, and few chunks of theirs, come close to an alert
+    start = chunk_start(F.col("_us"), length * STRETCHES_PER_CHUNK).alias("_chunk")
+    chunks = marked.filter(F.col("_kind") == "may").select("_user", start).distinct()
+    nodes = _narrowed(marked.filter(F.col("_kind") != "may"), chunks.select("_user").distinct())
+    return _counted(rows, _openers(nodes, length), chunks, length, threshold)

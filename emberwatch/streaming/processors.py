@@ -106,7 +106,6 @@ class FollowedBySpanProcessor(StatefulProcessor):
         self.timers.clear()
         if timers:
             self.timers.put([(us,) for us in timers])
-            self.handle.registerTimer(_wake_at(max(timers)))
         if n:
             self.count.update((n,))
         else:
@@ -116,6 +115,7 @@ class FollowedBySpanProcessor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["at_us", "at_order"], kind="stable")
         (n,) = self.count.get() or (0,)
         timers = sorted(us for (us,) in self.timers.get())
+        latest = timers[-1:]
         alerts = []
         for us, action in zip(batch["at_us"].tolist(), batch["at_action"].tolist()):
             while timers and timers[0] < us:
@@ -132,6 +132,8 @@ class FollowedBySpanProcessor(StatefulProcessor):
                 if self.cancel:
                     timers.clear()
         self._save(n, timers)
+        if timers and [max(timers)] != latest:
+            self.handle.registerTimer(_wake_at(max(timers)))
         if alerts:
             found = pd.DataFrame(alerts, columns=["at_us", "denied_count"])
             found.insert(0, self.user, key[0])

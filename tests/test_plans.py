@@ -1,0 +1,99 @@
+"""What the plans must look like to hold on large, uneven data."""
+
+import re
+
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from emberwatch import (
+    burst_alert,
+    events_as_logs,
+    followed_by_span,
+    followed_by_window,
+    keyword_alert,
+    read_table,
+    sliding_burst_alert,
+    span_burst_alert,
+)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffles(text):
+    return re.findall(r"hashpartitioning\(([^)]*)\)", text)
+
+
+def logs(spark):
+    return events_as_logs(spark, SF)
+
+
+WORDS = {"denied": "error", "accessed": "purchase"}
+ALERTS = {
+    "burst": lambda df: burst_alert(df, "1 day"),
+    "sliding": lambda df: sliding_burst_alert(df, "1 day", "6 hours"),
+    "login": lambda df: followed_by_window(df, "7 days", action="action", failed="error", success="purchase"),
+    "span": lambda df: span_burst_alert(df, "1 day"),
+    "sequence": lambda df: followed_by_span(df, "3 days", 2, order="event_id", **WORDS),
+    "sequence without order": lambda df: followed_by_span(df, "3 days", 2, **WORDS),
+}
+
+
+@pytest.mark.parametrize("name", ALERTS)
+def test_no_user_is_one_group(spark, name):
+    text = plan(ALERTS[name](logs(spark)))
+    keys = [[re.sub(r"#\d+L?", "", k.strip()) for k in s.split(",")] for s in shuffles(text)]
+    assert keys
+    for names in keys:
+        # the last entry is the number of partitions
+        assert len(names) > 2, f"shuffled by {names} alone"
+    for wrong in ("Python", "Pandas", "CartesianProduct", "NestedLoop", "collect_list", "collect_set"):
+        assert wrong not in text
+
+
+@pytest.mark.parametrize("name", ["burst", "sliding", "login", "span", "sequence without order"])
+def test_counted_before_the_shuffle(spark, name):
+    assert "partial_" in plan(ALERTS[name](logs(spark)))
+
+
+def test_one_shuffle_for_tumbling_windows(spark):
+    assert len(shuffles(plan(ALERTS["burst"](logs(spark))))) == 1
+    assert len(shuffles(plan(ALERTS["login"](logs(spark))))) == 1
+
+
+def test_two_shuffles_for_sliding_windows_and_spans(spark):
+    assert len(shuffles(plan(ALERTS["sliding"](logs(spark))))) == 2
+    assert len(shuffles(plan(ALERTS["span"](logs(spark))))) == 2
+
+
+def test_pushdown(spark):
+    text = plan(keyword_alert(read_table(spark, SF, "documents"), "threat", "text").select("doc_id"))
+    assert "StringContains(text,threat)" in text
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
+    assert "Exchange" not in text
+    text = plan(ALERTS["login"](logs(spark)))
+    assert "In(event_type, [error,purchase])" in text
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string>" in text
+
+
+@pytest.mark.parametrize("name", ALERTS)
+@pytest.mark.parametrize("zone", ["Asia/Kathmandu", "America/New_York"])
+def test_any_session_zone(spark, name, zone):
+    def rows():
+        return sorted(map(str, ALERTS[name](logs(spark)).collect()))
+
+    expected = rows()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert rows() == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("name", ALERTS)
+def test_zoned_and_plain_times_agree(spark, name):
+    zoned = ALERTS[name](logs(spark).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    assert "timestamp" in dict(zoned.dtypes).values()
+    assert sorted(map(str, zoned.collect())) == sorted(map(str, ALERTS[name](logs(spark)).collect()))

@@ -173,3 +173,13 @@ def test_order_of_one_micro_batch_for_many_rows(feed, drain):
     values = steps("A50") + [v for s in range(24_999) for v in steps(f"D{s % 50}")]
     got, _ = drain(followed_by_span(event_time(parse_logs(feed(values), ACCESS_LOG), unit="ms")))
     assert shape([r for b in got for r in b]) == [("a", 50, 24_999)]
+
+
+def test_restart_keeps_counts(feed, drain, tmp_path):
+    checkpoint = str(tmp_path / "kept")
+    seen = []
+    for text in ("D0 D1", "D2", "A50"):
+        parsed = event_time(parse_logs(feed(steps(text)), ACCESS_LOG), unit="ms")
+        got, _ = drain(followed_by_span(parsed), checkpoint=checkpoint)
+        seen += shape([r for b in got for r in b])
+    assert seen == [("a", 50, 3)]

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import BASE
+from conftest import BASE, dropped
 
 from emberwatch import event_time, parse_logs, span_burst_alert
 from emberwatch.schemas import USER_LOG
@@ -92,3 +92,22 @@ def test_many_rows_of_one_user_come_in_one_call(feed, drain):
     got, _ = drain(span_burst_alert(event_time(parse_logs(feed(rows, logs("z", 9_000)), USER_LOG), unit="ms")))
     found = [s for b in got for s in shape(b)]
     assert sorted(found) == [(s, s + 60, (49 - s) * 500) for s in range(49)]
+
+
+def test_late_rows_are_dropped(feed, drain):
+    # lateness is judged by the watermark of the batch before, hence the spare batch
+    batches = [logs("u", 0), logs("z", 9_000), logs("z", 9_001), logs("u", 10, 20, 30), logs("z", 20_000)]
+    parsed = parse_logs(feed(*batches), USER_LOG)
+    got, query = drain(span_burst_alert(event_time(parsed, unit="ms")))
+    assert not any(got)
+    assert dropped(query) == 3
+
+
+def test_restart_keeps_open_spans(feed, drain, tmp_path):
+    checkpoint = str(tmp_path / "kept")
+    seen = []
+    for batch in (logs("u", 0, 10), logs("u", 20), logs("u", 30), logs("z", 9_000)):
+        parsed = parse_logs(feed(batch), USER_LOG)
+        got, _ = drain(span_burst_alert(event_time(parsed, unit="ms")), checkpoint=checkpoint)
+        seen += [s for b in got for s in shape(b)]
+    assert seen == [(0, 60, 3)]

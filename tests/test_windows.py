@@ -14,10 +14,10 @@ from emberwatch import (
 from emberwatch.schemas import LOGIN_LOG, USER_LOG
 
 SAMPLE = [
-    {"timestamp": 1708228602, "username": "ayush"},
-    {"timestamp": 1718381882, "username": "snoie"},
-    {"timestamp": 1718381882, "username": "snoie"},
-    {"timestamp": 1718381882, "username": "snoie"},
+    {"timestamp": 1708228800, "username": "ann"},
+    {"timestamp": 1718381882, "username": "ben"},
+    {"timestamp": 1718381882, "username": "ben"},
+    {"timestamp": 1718381882, "username": "ben"},
 ]
 
 
@@ -35,9 +35,9 @@ def table(spark, values, schema=USER_LOG):
 def test_sample_burst_and_line(spark):
     alerts = burst_alert(event_time(table(spark, SAMPLE)))
     [row] = alerts.withColumn("line", format_alert()).collect()
-    assert (row.username, row["count"]) == ("snoie", 3)
+    assert (row.username, row["count"]) == ("ben", 3)
     assert row.line == (
-        'Alert fired; user=snoie, window="2024-06-14 16:10:00 to 2024-06-14 16:20:00", '
+        'Alert fired; user=ben, window="2024-06-14 16:10:00 to 2024-06-14 16:20:00", '
         "count=3, threshold=2, timerange=10 minutes"
     )
 
@@ -45,7 +45,7 @@ def test_sample_burst_and_line(spark):
 def test_sample_burst_stream(feed, drain):
     alerts = burst_alert(event_time(parse_logs(feed(SAMPLE), USER_LOG)))
     got, _ = drain(alerts, "update")
-    assert [(r.username, r["count"]) for batch in got for r in batch] == [("snoie", 3)]
+    assert [(r.username, r["count"]) for batch in got for r in batch] == [("ben", 3)]
 
 
 @pytest.mark.parametrize(
@@ -118,7 +118,7 @@ def test_sliding_sample(spark, feed, drain):
             *(f"21:{m}:00" for m in range(54, 60)),
             *(f"22:0{m}:00" for m in range(4)),
         ]
-        assert {(r.username, r["count"]) for r in rows} == {("snoie", 3)}
+        assert {(r.username, r["count"]) for r in rows} == {("ben", 3)}
         assert {(r.window_end - r.window_start).total_seconds() for r in rows} == {600}
 
 
