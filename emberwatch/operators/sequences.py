@@ -20,8 +20,6 @@ form follows the chains of openers by joins:
 All ordered work is done in (user, chunk of time) groups with one span of overlap.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -214,40 +212,46 @@ def _hops(nodes: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _same_user() -> Column:
+    return F.col("l._user").eqNullSafe(F.col("r._user"))
+
+
 def _same(left: str, right: str) -> Column:
-    return F.col("l._user").eqNullSafe(F.col("r._user")) & (F.col(left) == F.col(right))
+    return _same_user() & (F.col(left) == F.col(right))
 
 
 def _openers(nodes: DataFrame, length: int) -> DataFrame:
     """(user, time) of every opener whose timer counts.
 
-    After round i, `known` holds what is at most 2^i - 1 hops from a sure opener, and
-    `hops` leads 2^i hops on; the rounds end when no chain is that long.
+    The first table of hops leads one hop on, each further one twice as far as the one
+    before; the last is where no chain is longer. Any number of hops is a choice among
+    the tables, so the openers are found by taking or leaving each of them in turn.
     """
-    sure = nodes.filter(F.col("_kind") == "sure").select("_user", "_us")
     hops = _hops(nodes, length).checkpoint()
     known = hops.filter("_sure").select("_user", F.col("_from").alias("_us")).distinct()
     hops = hops.drop("_sure")
     while not hops.isEmpty():
-        led_to = (
+        both = F.array_compact(F.array("l._us", "r._to"))
+        known = (
             known.alias("l")
-            .join(hops.alias("r"), _same("l._us", "r._from"))
-            .select("l._user", F.col("r._to").alias("_us"))
+            .join(hops.alias("r"), _same("l._us", "r._from"), "left")
+            .select("l._user", F.explode(both).alias("_us"))
+            .distinct()
         )
-        known = known.union(led_to).distinct().checkpoint()
         hops = (
             hops.alias("l")
             .join(hops.alias("r"), _same("l._to", "r._from"))
             .select("l._user", "l._from", "r._to")
             .checkpoint()
         )
+    sure = nodes.filter(F.col("_kind") == "sure").select("_user", "_us")
     return sure.union(known).distinct()
 
 
 def _counted(
-    rows: DataFrame, openers: DataFrame, chunks: DataFrame, length: int, threshold: int
+    rows: DataFrame, openers: DataFrame, chunks: DataFrame | None, length: int, threshold: int
 ) -> DataFrame:
-    """Accesses in the `chunks` whose denials since the last reset reach the threshold.
+    """Accesses, only in `chunks` if given, whose denials since the last reset reach the threshold.
 
     The denials that count lie within one span before the access, so the overlap of the
     chunks holds them, and the running count less its value at the last reset is theirs.
@@ -263,35 +267,31 @@ def _counted(
         timers.withColumn("_timer", F.lit(True))
     )
     near = _spread(both, F.col("_us"), before=length, width=length * STRETCHES_PER_CHUNK)
+    if chunks is not None:
+        near = near.alias("l").join(
+            F.broadcast(chunks.alias("r")), _same("l._chunk", "r._chunk"), "left_semi"
+        )
     access = ~F.col("_timer") & ~F.col("_denied")
     in_order = Window.partitionBy("_user", "_chunk").orderBy("_us", "_timer", "_order")
     total, base = _since_access(in_order, F.col("_timer") | access)
     return (
-        _narrowed(near, chunks)
-        .withColumn("_total", total)
+        near.withColumn("_total", total)
         .withColumn("denied_count", F.col("_total") - base)
         .filter(F.col("_own") & access & (F.col("denied_count") >= threshold))
         .select("_user", F.col("_us").alias("at_us"), "denied_count")
     )
 
 
-def _narrowed(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of `df` with `wanted` keys; all rows where these are too many to broadcast."""
-    if wanted.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
-        return df
-    same = reduce(
-        Column.__and__, [F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) for key in wanted.columns]
-    )
-    return df.alias("l").join(F.broadcast(wanted).alias("r"), same, "left_semi")
-
-
 def _on_table(rows: DataFrame, length: int, threshold: int, cancel: bool) -> DataFrame:
     shared_folder(rows.sparkSession)
     # read twice, and parsing or scanning the logs is the dear part
     rows = rows.checkpoint()
     marked = _marked(rows, length, threshold, cancel).checkpoint()
+    nodes = marked.filter(F.col("_kind") != "may")
     # mostly few users, and few chunks of theirs, come close to an alert
     start = chunk_start(F.col("_us"), length * STRETCHES_PER_CHUNK).alias("_chunk")
     chunks = marked.filter(F.col("_kind") == "may").select("_user", start).distinct()
-    nodes = _narrowed(marked.filter(F.col("_kind") != "may"), chunks.select("_user").distinct())
+    if chunks.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        return _counted(rows, _openers(nodes, length), None, length, threshold)
+    nodes = nodes.alias("l").join(F.broadcast(chunks.alias("r")), _same_user(), "left_semi")
     return _counted(rows, _openers(nodes, length), chunks, length, threshold)
