@@ -12,7 +12,7 @@ from emberwatch.operators.windows import (
     followed_by_window,
     sliding_burst_alert,
 )
-from emberwatch.plans.rules import Rule, apply_rules, run_rules
+from emberwatch.plans.rules import Rule, apply_rules, load_rules, run_rules
 from emberwatch.plans.search import log_counts, read_index, search_logs
 from emberwatch.sources.files import as_envelope, file_logs
 from emberwatch.sources.kafka import kafka_logs
@@ -44,6 +44,7 @@ __all__ = [
     "kafka_logs",
     "keyword_alert",
     "latest_alerts",
+    "load_rules",
     "log_counts",
     "normalize_logs",
     "notify_per_batch",

@@ -1,49 +1,100 @@
-"""Run one job on a Kafka topic: `spark-submit ... -m emberwatch burst --servers host:9092 ...`."""
+"""Run a job on a Kafka topic until it is interrupted."""
 
 import argparse
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from emberwatch.functions.timeparts import event_time
+from emberwatch.operators.parse import parse_logs
 from emberwatch.plans.jobs import CHANGING, JOBS, STARTS, TOPICS
+from emberwatch.plans.rules import Rule, load_rules, run_rules
+from emberwatch.schemas import ACCESS_LOG
 from emberwatch.session import build_session
 from emberwatch.sources.kafka import kafka_logs
 from emberwatch.streaming.index import index_logs
 from emberwatch.streaming.runner import notify_per_batch, run_alerts, run_with_retry
 
 
-def main(arguments: list[str] | None = None) -> None:
+def starters(
+    given: argparse.Namespace, read: Callable[[], DataFrame]
+) -> dict[str, Callable[[], StreamingQuery]]:
+    """How to start each query of the job, by name: one, or one for each rule."""
+
+    def job() -> StreamingQuery:
+        if given.job == "index":
+            return index_logs(read(), given.table, given.checkpoint, trigger=given.trigger)
+        return run_alerts(
+            JOBS[given.job](read()),
+            given.checkpoint,
+            sink=notify_per_batch() if given.job == "keyword" else "console",
+            mode="update" if given.job in CHANGING else "append",
+            trigger=given.trigger,
+            **({} if given.job == "keyword" else {"truncate": "false"}),
+        )
+
+    def rule_query(rule: Rule) -> Callable[[], StreamingQuery]:
+        def start() -> StreamingQuery:
+            messages = read()
+            if rule.kind != "keyword":
+                messages = event_time(parse_logs(messages, given.schema), unit=given.unit)
+            return run_rules(messages, [rule], given.checkpoint, trigger=given.trigger)[rule.name]
+
+        return start
+
+    if given.job != "rules":
+        return {given.job: job}
+    return {rule.name: rule_query(rule) for rule in load_rules(Path(given.rules).read_text())}
+
+
+def arguments(told: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="emberwatch", description=__doc__)
-    parser.add_argument("job", choices=[*JOBS, "index"])
+    parser.add_argument("job", choices=[*JOBS, "index", "rules"])
     parser.add_argument("--servers", required=True, help="Kafka bootstrap servers")
     parser.add_argument("--checkpoint", required=True, help="folder all executors can reach")
     parser.add_argument("--topic")
     parser.add_argument("--start", help="earliest or latest")
-    parser.add_argument("--table", help="folder of the index, for the job `index`")
+    parser.add_argument("--max-per-trigger", type=int, help="most records in a micro-batch")
     parser.add_argument("--trigger", help="such as `10 seconds`; default: as fast as possible")
     parser.add_argument("--restarts", type=int, help="give up after so many errors; default: never")
-    given = parser.parse_args(arguments)
-    if given.job == "index" and not given.table:
-        parser.error("the job `index` needs --table")
+    parser.add_argument("--table", help="for the job `index`: its folder")
+    parser.add_argument("--rules", help="for the job `rules`: a JSON file")
+    parser.add_argument("--schema", default=ACCESS_LOG, help="for the job `rules`: of the messages")
+    parser.add_argument("--unit", default="s", help="for the job `rules`: of the time, s or ms")
+    given = parser.parse_args(told)
+    for job, needed in (("index", "table"), ("rules", "rules")):
+        if given.job == job and not getattr(given, needed):
+            parser.error(f"the job `{job}` needs --{needed}")
+    return given
 
+
+def main() -> None:
+    given = arguments()
     spark = build_session(f"emberwatch {given.job}")
 
-    def start():
-        messages = kafka_logs(
+    def read() -> DataFrame:
+        return kafka_logs(
             spark,
             given.servers,
             given.topic or TOPICS.get(given.job, "logs"),
             given.start or STARTS.get(given.job, "latest"),
-        )
-        if given.job == "index":
-            return index_logs(messages, given.table, given.checkpoint, trigger=given.trigger)
-        return run_alerts(
-            JOBS[given.job](messages),
-            given.checkpoint,
-            sink=notify_per_batch() if given.job == "keyword" else "console",
-            mode="update" if given.job in CHANGING else "append",
-            trigger=given.trigger,
-            truncate="false",
+            max_per_trigger=given.max_per_trigger,
         )
 
-    run_with_retry(start, restarts=given.restarts)
+    starts = starters(given, read)
+    with ThreadPoolExecutor(len(starts)) as pool:
+        running = [
+            pool.submit(run_with_retry, start, restarts=given.restarts) for start in starts.values()
+        ]
+        try:
+            for each in running:
+                each.result()
+        finally:
+            for query in spark.streams.active:
+                query.stop()
     spark.stop()
 
 

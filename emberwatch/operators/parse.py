@@ -32,18 +32,27 @@ def parse_logs(
     return df.select(*keep, F.inline(F.array(parsed)))
 
 
-def parse_documents(df: DataFrame, value: str = "value") -> DataFrame:
+def parse_documents(
+    df: DataFrame, value: str = "value", observed: str | None = None
+) -> DataFrame:
     """Parse any JSON message into a variant column `doc`; messages that do not parse go.
 
     The message must be valid UTF-8. Single quotes are first made double quotes, which
     repairs `{'a': 1}` and breaks `{"a": "it's"}`; `text` is the repaired message. A
-    message that repeats a key inside one object counts as not parseable.
+    message that repeats a key inside one object counts as not parseable. Under the name
+    `observed`, a streaming query's progress tells how many `messages` came and how many
+    `documents` they gave.
     """
     text = F.try_validate_utf8(F.col(value).cast("string"))
     repaired = df.withColumn("text", F.translate(text, "'", '"'))
     # by a generator for the same reason as in parse_logs
     parsed = F.explode(F.array(F.try_parse_json("text"))).alias("doc")
-    return repaired.select("*", parsed).filter(F.col("doc").isNotNull())
+    documents = repaired.select("*", parsed)
+    if observed:
+        documents = documents.observe(
+            observed, F.count("*").alias("messages"), F.count("doc").alias("documents")
+        )
+    return documents.filter(F.col("doc").isNotNull())
 
 
 def normalize_logs(

@@ -1,5 +1,6 @@
 """Alert rules as data: a name, a kind of alert and its parameters."""
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -42,6 +43,11 @@ class Rule:
         return KINDS[self.kind](logs, **self.params)
 
 
+def load_rules(text: str) -> list[Rule]:
+    """Rules from JSON: a list of objects with `name`, `kind` and, if need be, `params`."""
+    return list(_checked([Rule(**told) for told in json.loads(text)]))
+
+
 def _checked(rules: Sequence[Rule]) -> Sequence[Rule]:
     names = [rule.name for rule in rules]
     if len(set(names)) < len(names):

@@ -36,7 +36,8 @@ def documents(
     Besides the whole document, `fields` (name to type) become columns of their own, so
     that a search on them reads only these columns and can skip row groups.
     """
-    parsed = parse_documents(df).withColumn("log_time", _log_time(time_field, unit))
+    observed = "index" if df.isStreaming else None
+    parsed = parse_documents(df, observed=observed).withColumn("log_time", _log_time(time_field, unit))
     return parsed.select(
         *ID,
         "log_time",
@@ -82,7 +83,8 @@ def index_logs(
     The index is partitioned by the logs' own date and by load. A micro-batch is a load
     named by query and number, so one that is replayed after a failure replaces itself. A
     table's load may be named to be repeatable in the same way. A record that comes again
-    otherwise, as when a new checkpoint starts over, is given once by `search_logs`.
+    otherwise, as when a new checkpoint starts over, is given once by `search_logs`. The
+    progress of a stream's query counts messages and documents under `index`.
     """
     fields = {"username": "string"} if fields is None else fields
     rows = documents(df, fields, time_field, unit)

@@ -25,6 +25,7 @@ from emberwatch import (
     run_with_retry,
     search_logs,
 )
+from emberwatch.__main__ import arguments, starters
 from emberwatch.schemas import ENVELOPE, USER_LOG
 
 
@@ -96,6 +97,16 @@ def test_index_restart_and_replay(spark, tmp_path):
     assert offsets(search_logs(read_index(spark, index))) == [0, 1, 2, 3, 4]
 
 
+def test_index_counts_what_it_skips(spark, tmp_path):
+    source = str(tmp_path / "in")
+    broken = [(b"broken", "logs", 0, 9, None), (None, "logs", 0, 10, None)]
+    write(spark, source, records(0, 1, 2) + broken)
+    query = index_logs(stream(spark, source), str(tmp_path / "i"), str(tmp_path / "c"), trigger="available")
+    query.awaitTermination(60)
+    [seen] = [p["observedMetrics"]["index"] for p in query.recentProgress if p["numInputRows"]]
+    assert (seen["messages"], seen["documents"]) == (5, 3)
+
+
 def test_index_of_a_table_is_repeatable_by_name(spark, tmp_path):
     index = str(tmp_path / "index")
     df = spark.createDataFrame(records(0, 1, 1), ENVELOPE)
@@ -193,6 +204,56 @@ def test_rules_on_tables_and_streams(spark, feed, tmp_path):
     assert (tmp_path / "checks" / "many").is_dir() and (tmp_path / "checks" / "close").is_dir()
 
 
+def test_command_line_jobs(feed, tmp_path, monkeypatch):
+    """Each job, with a file stream in the place of the topic."""
+    rules = tmp_path / "rules.json"
+    rules.write_text(
+        json.dumps(
+            [
+                {"name": "many", "kind": "burst"},
+                {"name": "bad word", "kind": "keyword", "params": {"word": "denied"}},
+            ]
+        )
+    )
+    lines = [
+        {"timestamp": BASE + s, "username": "a", "action": "denied", "login_action": "failed"}
+        for s in range(5)
+    ]
+    line = (
+        'Alert fired; user=a, window="2024-06-14 16:10:00 to 2024-06-14 16:20:00", '
+        "count=6, threshold=2, timerange=10 minutes"
+    )
+    lines.append({"timestamp": BASE + 5, "username": "a", "action": "accessed", "login_action": "success"})
+    source = feed(lines)
+    got = []
+
+    def collected(alerts, checkpoint, sink="console", **settings):
+        settings = {k: v for k, v in settings.items() if k in ("mode", "trigger", "name")}
+        return run_alerts(alerts, checkpoint, lambda batch, n: got.extend(batch.collect()), **settings)
+
+    monkeypatch.setattr("emberwatch.__main__.run_alerts", collected)
+    monkeypatch.setattr("emberwatch.plans.rules.run_alerts", collected)
+    for job, columns, expected in [
+        ("burst", ["alert"], [line]),
+        ("login", ["failed_count", "success_count"], [(5, 1)]),
+        ("keyword", [], []),
+        ("sliding-burst", ["count"], [6] * 10),
+        ("access", ["alert"], ["ALERT: User a accessed after 5 denials"]),
+        ("rules", [], None),
+    ]:
+        got.clear()
+        told = [job, "--servers", "none", "--checkpoint", str(tmp_path / job), "--trigger", "available"]
+        for start in starters(arguments([*told, "--rules", str(rules)]), lambda: source).values():
+            assert run_with_retry(start, restarts=0) == 0
+        if job == "rules":
+            assert sorted(len(row) for row in got) == [1] * 5 + [4]
+        else:
+            values = [tuple(row[c] for c in columns) for row in got]
+            assert values == [v if isinstance(v, tuple) else (v,) for v in expected]
+    with pytest.raises(SystemExit):
+        arguments(["index", "--servers", "x", "--checkpoint", "y"])
+
+
 def test_wrong_rules():
     with pytest.raises(ValueError):
         Rule("x", "unknown")
