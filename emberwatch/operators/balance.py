@@ -18,6 +18,25 @@ def chunk_start(us: Column, width: int) -> Column:
     return us - F.pmod(us, F.lit(width))
 
 
+def spread(df: DataFrame, at: Column, before: int = 0, after: int = 0, width: int = 1) -> DataFrame:
+    """Give each row its chunk, `at_chunk`, and a copy to a chunk it is close to.
+
+    A chunk then also holds the rows up to `before` ahead of it and `after` behind it;
+    `at_own` is false for them.
+    """
+    start = chunk_start(at, width)
+
+    def home(chunk: Column, own: bool) -> Column:
+        return F.struct(chunk.alias("at_chunk"), F.lit(own).alias("at_own"))
+
+    homes = [home(start, True)]
+    if before:
+        homes.append(F.when(at >= start + width - before, home(start + width, False)))
+    if after:
+        homes.append(F.when(at < start + after, home(start - width, False)))
+    return df.select("*", F.inline(F.array_compact(F.array(*homes))))
+
+
 def running_balance(
     df: DataFrame, user: str, begin: Column, end: Column, amount: Column, longest: int
 ) -> DataFrame:

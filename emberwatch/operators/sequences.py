@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
-from emberwatch.operators.balance import STRETCHES_PER_CHUNK, chunk_start
+from emberwatch.operators.balance import STRETCHES_PER_CHUNK, chunk_start, spread
 from emberwatch.session import shared_folder
 from emberwatch.streaming.processors import FollowedBySpanProcessor
 
@@ -59,9 +59,15 @@ def followed_by_span(
     length = micros(span)
     if df.isStreaming:
         logs = df.select(user, time, what.alias("at_action"), rank.alias("at_order"))
+        logs = watermarked(logs, time, delay)
+        # other actions go by a generator: a filter would be pushed below the watermark,
+        # which all logs are to move
+        denial = F.when(F.col("at_action") == denied, F.array(F.lit(True))).when(
+            F.col("at_action") == accessed, F.array(F.lit(False))
+        )
         found = _on_stream(
-            watermarked(logs, time, delay),
-            FollowedBySpanProcessor(user, length, threshold, denied, accessed, cancel_timers),
+            logs.select(user, time, "at_order", F.explode(denial).alias("at_denied")),
+            FollowedBySpanProcessor(user, length, threshold, cancel_timers),
             user,
             time,
         )
@@ -100,26 +106,6 @@ def _on_stream(
     )
 
 
-def _spread(df: DataFrame, at: Column, before: int = 0, after: int = 0, width: int = 1) -> DataFrame:
-    """Give each row its chunk, and a copy (`_own` false) to a neighbour it is close to.
-
-    A chunk then also holds the rows up to `before` ahead of it and `after` behind it.
-    """
-    start = chunk_start(at, width)
-    homes = [F.struct(start.alias("chunk"), F.lit(True).alias("own"))]
-    if before:
-        following = F.struct((start + width).alias("chunk"), F.lit(False).alias("own"))
-        homes.append(F.when(at >= start + width - before, following))
-    if after:
-        preceding = F.struct((start - width).alias("chunk"), F.lit(False).alias("own"))
-        homes.append(F.when(at < start + after, preceding))
-    return (
-        df.withColumn("_home", F.explode(F.filter(F.array(*homes), lambda home: home.isNotNull())))
-        .withColumns({"_chunk": F.col("_home.chunk"), "_own": F.col("_home.own")})
-        .drop("_home")
-    )
-
-
 def _since_access(in_order: WindowSpec, resets: Column) -> tuple[Column, Column]:
     """Denials so far, and how many of them came up to the last of the `resets` before."""
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -137,8 +123,8 @@ def _marked(rows: DataFrame, length: int, threshold: int, cancel: bool) -> DataF
     `cancel`, only denials whose timer no access stops are marked.
     """
     width = length * STRETCHES_PER_CHUNK
-    near = _spread(rows, F.col("_us"), before=length, after=length if cancel else 0, width=width)
-    group = Window.partitionBy("_user", "_chunk")
+    near = spread(rows, F.col("_us"), before=length, after=length if cancel else 0, width=width)
+    group = Window.partitionBy("_user", "at_chunk")
     in_order = group.orderBy("_us", "_order")
     total, base = _since_access(in_order, ~F.col("_denied"))
     marked = (
@@ -163,7 +149,7 @@ def _marked(rows: DataFrame, length: int, threshold: int, cancel: bool) -> DataF
         .when(F.col("_us") > previous["_us"], "maybe")
     )
     return (
-        marked.filter("_own")
+        marked.filter("at_own")
         .select("_user", "_us", kind.alias("_kind"), previous["_us"].alias("_before"))
         .filter(F.col("_kind").isNotNull())
     )
@@ -179,13 +165,13 @@ def _hops(nodes: DataFrame, length: int) -> DataFrame:
     width = length * STRETCHES_PER_CHUNK
     nodes = nodes.withColumn("_sure", F.col("_kind") == "sure")
     unsure = nodes.filter(~F.col("_sure"))
-    claims = _spread(
+    claims = spread(
         unsure.select("_user", F.col("_us").alias("_at"), "_us", "_before", "_sure"),
         F.col("_at"),
         after=length,
         width=width,
     )
-    ends = _spread(
+    ends = spread(
         nodes.select(
             "_user",
             (F.col("_us") + length).alias("_at"),
@@ -198,7 +184,7 @@ def _hops(nodes: DataFrame, length: int) -> DataFrame:
     )
     # from late to early; a claim at the timer's own end comes after it, for it lies outside
     backwards = (
-        Window.partitionBy("_user", "_chunk")
+        Window.partitionBy("_user", "at_chunk")
         .orderBy(F.desc("_at"), F.col("_before").isNotNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -266,18 +252,18 @@ def _counted(
     both = rows.withColumn("_timer", F.lit(False)).unionByName(
         timers.withColumn("_timer", F.lit(True))
     )
-    near = _spread(both, F.col("_us"), before=length, width=length * STRETCHES_PER_CHUNK)
+    near = spread(both, F.col("_us"), before=length, width=length * STRETCHES_PER_CHUNK)
     if chunks is not None:
         near = near.alias("l").join(
-            F.broadcast(chunks.alias("r")), _same("l._chunk", "r._chunk"), "left_semi"
+            F.broadcast(chunks.alias("r")), _same("l.at_chunk", "r.at_chunk"), "left_semi"
         )
     access = ~F.col("_timer") & ~F.col("_denied")
-    in_order = Window.partitionBy("_user", "_chunk").orderBy("_us", "_timer", "_order")
+    in_order = Window.partitionBy("_user", "at_chunk").orderBy("_us", "_timer", "_order")
     total, base = _since_access(in_order, F.col("_timer") | access)
     return (
         near.withColumn("_total", total)
         .withColumn("denied_count", F.col("_total") - base)
-        .filter(F.col("_own") & access & (F.col("denied_count") >= threshold))
+        .filter(F.col("at_own") & access & (F.col("denied_count") >= threshold))
         .select("_user", F.col("_us").alias("at_us"), "denied_count")
     )
 
@@ -289,7 +275,7 @@ def _on_table(rows: DataFrame, length: int, threshold: int, cancel: bool) -> Dat
     marked = _marked(rows, length, threshold, cancel).checkpoint()
     nodes = marked.filter(F.col("_kind") != "may")
     # mostly few users, and few chunks of theirs, come close to an alert
-    start = chunk_start(F.col("_us"), length * STRETCHES_PER_CHUNK).alias("_chunk")
+    start = chunk_start(F.col("_us"), length * STRETCHES_PER_CHUNK).alias("at_chunk")
     chunks = marked.filter(F.col("_kind") == "may").select("_user", start).distinct()
     if chunks.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
         return _counted(rows, _openers(nodes, length), None, length, threshold)

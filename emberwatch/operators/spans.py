@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
-from emberwatch.operators.balance import running_balance
+from emberwatch.operators.balance import STRETCHES_PER_CHUNK, running_balance, spread
 from emberwatch.streaming.processors import SpanBurstProcessor
 
 def span_burst_alert(
@@ -56,13 +56,19 @@ def _judged_on_table(df: DataFrame, span: str, threshold: int, user: str, time:
 
 
 def _judged_on_stream(df: DataFrame, span: str, threshold: int, user: str, time: str) -> DataFrame:
+    """State is kept per user and chunk of time, so that a busy user's backlog is spread.
+
+    A chunk also gets the logs up to one span behind it, which its last spans hold.
+    """
+    length = micros(span)
+    width = length * STRETCHES_PER_CHUNK
     key_type = df.schema[user].dataType.simpleString()
+    logs = df.filter(F.col(time).isNotNull()).withColumn("at_us", as_micros(df, time))
     return (
-        df.filter(F.col(time).isNotNull())
-        .withColumn("at_us", as_micros(df, time))
-        .groupBy(user)
+        spread(logs, F.col("at_us"), after=length, width=width)
+        .groupBy(user, "at_chunk")
         .transformWithStateInPandas(
-            SpanBurstProcessor(user, micros(span), threshold),
+            SpanBurstProcessor(user, length, width, threshold),
             outputStructType=f"`{user}` {key_type}, at_us long, count long",
             outputMode="append",
             timeMode="EventTime",

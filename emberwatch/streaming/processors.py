@@ -19,16 +19,18 @@ def _wake_at(us: int) -> int:
 
 
 class SpanBurstProcessor(StatefulProcessor):
-    """Keeps, per user, the log times whose span is still open, with a count for each.
+    """Keeps, per user and chunk, the log times whose span is open, with a count for each.
 
-    One timer per user waits for the earliest span to end; it then judges every span the
+    Logs behind the chunk are kept for the spans of the chunk that hold them, but open no
+    span here. One timer waits for the earliest span to end; it then judges every span the
     watermark has passed, drops those times and waits for the next one. No log at or below
     the watermark can still arrive, so a judged count is final.
     """
 
-    def __init__(self, user: str, span: int, threshold: int) -> None:
+    def __init__(self, user: str, span: int, width: int, threshold: int) -> None:
         self.user = user
         self.span = span
+        self.width = width
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -36,8 +38,9 @@ class SpanBurstProcessor(StatefulProcessor):
         self.logs = handle.getListState("logs", "us long, n long")
         self.due = handle.getValueState("due", "ms long")
 
-    def _wait_for(self, us: int) -> None:
-        ms = _wake_at(us + self.span)
+    def _wait_for(self, first: int, end: int) -> None:
+        """Wait for the first span to end; without any span, for the end of the chunk."""
+        ms = _wake_at(first + self.span if first < end else end)
         waiting = self.due.get()
         if waiting is None or ms < waiting[0]:
             self.handle.registerTimer(ms)
@@ -46,16 +49,22 @@ class SpanBurstProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = np.concatenate([frame["at_us"].to_numpy(np.int64) for frame in rows])
         times, counts = np.unique(times, return_counts=True)
+        first, end = int(times[0]), key[1] + self.width
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        if first >= end and passed >= end and not self.logs.exists():
+            # no span of this chunk is open or can still be opened
+            return iter([])
         self.logs.appendList(list(zip(times.tolist(), counts.tolist())))
-        self._wait_for(int(times[0]))
+        self._wait_for(first, end)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        passed, end = timerValues.getCurrentWatermarkInMs() * 1000, key[1] + self.width
         kept = np.array(list(self.logs.get()), dtype=np.int64).reshape(-1, 2)
         times, where = np.unique(kept[:, 0], return_inverse=True)
         counts = np.bincount(where, weights=kept[:, 1], minlength=len(times)).astype(np.int64)
-        over = int(np.searchsorted(times, passed - self.span, side="right"))
+        openers = int(np.searchsorted(times, end))
+        over = min(openers, int(np.searchsorted(times, passed - self.span, side="right")))
         if over:
             total = np.cumsum(counts)
             last = np.searchsorted(times, times[:over] + self.span, side="right") - 1
@@ -65,7 +74,10 @@ class SpanBurstProcessor(StatefulProcessor):
                 yield pd.DataFrame(
                     {self.user: key[0], "at_us": times[:over][hit], "count": inside[hit]}
                 )
-            times, counts = times[over:], counts[over:]
+        if over == openers and passed >= end:
+            over = len(times)
+        times, counts = times[over:], counts[over:]
+        if over:
             self.logs.clear()
             if len(times):
                 self.logs.put(list(zip(times.tolist(), counts.tolist())))
@@ -73,7 +85,7 @@ class SpanBurstProcessor(StatefulProcessor):
         if waiting is not None and waiting[0] <= expiredTimerInfo.getExpiryTimeInMs():
             self.due.clear()
             if len(times):
-                self._wait_for(int(times[0]))
+                self._wait_for(int(times[0]), end)
 
     def close(self) -> None:
         pass
@@ -87,14 +99,10 @@ class FollowedBySpanProcessor(StatefulProcessor):
     own timers only free the state, because they fire after all rows of a micro-batch.
     """
 
-    def __init__(
-        self, user: str, span: int, threshold: int, denied: str, accessed: str, cancel: bool
-    ) -> None:
+    def __init__(self, user: str, span: int, threshold: int, cancel: bool) -> None:
         self.user = user
         self.span = span
         self.threshold = threshold
-        self.denied = denied
-        self.accessed = accessed
         self.cancel = cancel
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -117,15 +125,15 @@ class FollowedBySpanProcessor(StatefulProcessor):
         timers = sorted(us for (us,) in self.timers.get())
         latest = timers[-1:]
         alerts = []
-        for us, action in zip(batch["at_us"].tolist(), batch["at_action"].tolist()):
+        for us, denied in zip(batch["at_us"].tolist(), batch["at_denied"].tolist()):
             while timers and timers[0] < us:
                 heappop(timers)
                 n = 0
-            if action == self.denied:
+            if denied:
                 if n == 0:
                     heappush(timers, us + self.span)
                 n += 1
-            elif action == self.accessed:
+            else:
                 if n >= self.threshold:
                     alerts.append((us, n))
                 n = 0
