@@ -1,7 +1,8 @@
 """The ready-made jobs: from raw messages to alerts, with their usual settings.
 
 Each takes a DataFrame with a `value` column (table or stream) and gives alerts with a
-printable `alert` line where the job has one. Settings go to the alert underneath.
+printable `alert` line where the job has one. Settings go to the alert underneath. A job
+with a `mode` fails on a message that does not parse, unless it is set to `permissive`.
 """
 
 from collections.abc import Callable
@@ -46,22 +47,24 @@ def keyword(messages: DataFrame, word: str = "threat") -> DataFrame:
     return keyword_alert(messages, word).select("value")
 
 
-def sliding_burst(messages: DataFrame, **settings) -> DataFrame:
+def sliding_burst(messages: DataFrame, mode: str = "strict", **settings) -> DataFrame:
     """More than two logs of a user in ten minutes, looked at every minute; time in seconds."""
-    logs = event_time(parse_logs(messages, USER_LOG, mode="strict"), unit="s")
+    logs = event_time(parse_logs(messages, USER_LOG, mode=mode), unit="s")
     return _clock(sliding_burst_alert(logs, **settings), "window_start", "window_end")
 
 
-def span_burst(messages: DataFrame, **settings) -> DataFrame:
+def span_burst(messages: DataFrame, mode: str = "strict", **settings) -> DataFrame:
     """More than two further logs of a user in the minute after a log; time in milliseconds."""
-    logs = event_time(parse_logs(messages, USER_LOG, mode="strict"), unit="ms")
+    logs = event_time(parse_logs(messages, USER_LOG, mode=mode), unit="ms")
     return _clock(span_burst_alert(logs, **settings), "span_start", "span_end")
 
 
-def access(messages: DataFrame, order: str | None = None, **settings) -> DataFrame:
+def access(
+    messages: DataFrame, order: str | None = None, mode: str = "strict", **settings
+) -> DataFrame:
     """An access after three denials within a minute; time in milliseconds."""
     keep = [order] if order else []
-    logs = event_time(parse_logs(messages, ACCESS_LOG, mode="strict", keep=keep), unit="ms")
+    logs = event_time(parse_logs(messages, ACCESS_LOG, mode=mode, keep=keep), unit="ms")
     alerts = followed_by_span(logs, order=order, **settings)
     return alerts.withColumn("alert", format_denial_alert())
 

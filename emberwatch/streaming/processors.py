@@ -22,9 +22,9 @@ class SpanBurstProcessor(StatefulProcessor):
     """Keeps, per user and chunk, the log times whose span is open, with a count for each.
 
     Logs behind the chunk are kept for the spans of the chunk that hold them, but open no
-    span here. One timer waits for the earliest span to end; it then judges every span the
-    watermark has passed, drops those times and waits for the next one. No log at or below
-    the watermark can still arrive, so a judged count is final.
+    span here. A timer waits for the earliest span of a micro-batch to end; it then judges
+    every span the watermark has passed, drops those times and waits for the next one. No
+    log at or below the watermark can still arrive, so a judged count is final.
     """
 
     def __init__(self, user: str, span: int, width: int, threshold: int) -> None:
@@ -36,15 +36,10 @@ class SpanBurstProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.logs = handle.getListState("logs", "us long, n long")
-        self.due = handle.getValueState("due", "ms long")
 
-    def _wait_for(self, first: int, end: int) -> None:
-        """Wait for the first span to end; without any span, for the end of the chunk."""
-        ms = _wake_at(first + self.span if first < end else end)
-        waiting = self.due.get()
-        if waiting is None or ms < waiting[0]:
-            self.handle.registerTimer(ms)
-            self.due.update((ms,))
+    def _next(self, first: int, end: int) -> int:
+        """The end of the first span; where only logs behind are left, of the chunk."""
+        return _wake_at(first + self.span if first < end else end)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = np.concatenate([frame["at_us"].to_numpy(np.int64) for frame in rows])
@@ -55,7 +50,7 @@ class SpanBurstProcessor(StatefulProcessor):
             # no span of this chunk is open or can still be opened
             return iter([])
         self.logs.appendList(list(zip(times.tolist(), counts.tolist())))
-        self._wait_for(first, end)
+        self.handle.registerTimer(self._next(first, end))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -81,11 +76,10 @@ class SpanBurstProcessor(StatefulProcessor):
             self.logs.clear()
             if len(times):
                 self.logs.put(list(zip(times.tolist(), counts.tolist())))
-        waiting = self.due.get()
-        if waiting is not None and waiting[0] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.due.clear()
-            if len(times):
-                self._wait_for(int(times[0]), end)
+        if len(times):
+            ms = self._next(int(times[0]), end)
+            if ms not in set(self.handle.listTimers()):
+                self.handle.registerTimer(ms)
 
     def close(self) -> None:
         pass

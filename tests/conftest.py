@@ -1,4 +1,5 @@
 import json
+import os
 import sys
 from pathlib import Path
 
@@ -6,6 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from emberwatch import file_logs  # noqa: E402
 from emberwatch.session import build_session  # noqa: E402
 
 BASE = 1718381400  # 2024-06-14 16:10:00 UTC, on a 10-minute boundary
@@ -40,10 +42,8 @@ def feed(spark, tmp_path):
             lines = [v if isinstance(v, str) else json.dumps(v) for v in batch]
             path = folder / f"{number:04d}.txt"
             path.write_text("".join(line + "\n" for line in lines))
-            import os
-
             os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))
-        return spark.readStream.option("maxFilesPerTrigger", 1).text(str(folder))
+        return file_logs(spark, str(folder), max_files=1)
 
     return make
 

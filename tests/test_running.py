@@ -12,6 +12,7 @@ from emberwatch import (
     apply_rules,
     burst_alert,
     event_time,
+    file_logs,
     index_logs,
     kafka_logs,
     keyword_alert,
@@ -68,7 +69,7 @@ def write(spark, folder, rows):
 
 
 def stream(spark, folder):
-    return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", 1).parquet(folder)
+    return file_logs(spark, folder, ENVELOPE, max_files=1)
 
 
 def offsets(df):

@@ -5,6 +5,7 @@ from emberwatch import (
     burst_alert,
     echo_events,
     event_time,
+    file_logs,
     followed_by_window,
     format_alert,
     parse_logs,
@@ -167,3 +168,11 @@ def test_milliseconds_and_echo(spark):
     assert line == "received @22:03:02 => a, 22:03:02"
     with pytest.raises(ValueError):
         event_time(df, unit="us")
+
+
+def test_echo_on_a_stream(spark, feed, drain, tmp_path):
+    stream = event_time(parse_logs(feed(SAMPLE[:1]), USER_LOG))
+    got, _ = drain(echo_events(stream))
+    [row] = [r for batch in got for r in batch]
+    assert row.line.startswith("received @") and row.line.endswith("=> ann, 09:45:00")
+    assert file_logs(spark, str(tmp_path / "feed"), stream=False).count() == 1
