@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
 from emberwatch.operators.balance import STRETCHES_PER_CHUNK, chunk_start, spread
 from emberwatch.session import shared_folder
+from emberwatch.streaming.buckets import BUCKETS, in_buckets, out_of_buckets
 from emberwatch.streaming.processors import FollowedBySpanProcessor
 
 # this many (user, chunk) keys, or fewer, are broadcast to leave out rows early
@@ -44,14 +45,16 @@ def followed_by_span(
     denied: str = "denied",
     accessed: str = "accessed",
     order: str | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Accesses that follow at least `threshold` denials since the last reset.
 
     `order` names the column that orders a user's logs of one time, such as an offset;
     without it denials come before accesses. A table is taken in order of (time, order).
     A stream is taken in that order inside a micro-batch and as it arrives across them;
-    rows below the watermark are dropped, so `delay` should cover how late logs arrive. On a table the chains of timers are followed at once, by
-    Spark jobs that keep their steps in the checkpoint folder.
+    rows below the watermark are dropped, so `delay` should cover how late logs arrive;
+    the state of the users is kept in so many `buckets`. On a table the chains of timers
+    are followed at once, by Spark jobs that keep their steps in the checkpoint folder.
     """
     ntz = is_ntz(df, time) and not df.isStreaming
     what = F.col(action)
@@ -67,9 +70,10 @@ def followed_by_span(
         )
         found = _on_stream(
             logs.select(user, time, "at_order", F.explode(denial).alias("at_denied")),
-            FollowedBySpanProcessor(user, length, threshold, cancel_timers),
+            FollowedBySpanProcessor(length, threshold, cancel_timers),
             user,
             time,
+            buckets,
         )
     else:
         rows = df.filter(what.isin(denied, accessed) & F.col(time).isNotNull()).select(
@@ -90,20 +94,20 @@ def followed_by_span(
 
 
 def _on_stream(
-    df: DataFrame, processor: FollowedBySpanProcessor, user: str, time: str
+    df: DataFrame, processor: FollowedBySpanProcessor, user: str, time: str, buckets: int
 ) -> DataFrame:
-    key_type = df.schema[user].dataType.simpleString()
-    return (
-        df.filter(F.col(time).isNotNull())
-        .withColumn("at_us", as_micros(df, time))
-        .groupBy(user)
+    logs = df.filter(F.col(time).isNotNull()).withColumn("at_us", as_micros(df, time))
+    found = (
+        in_buckets(logs, user, buckets)
+        .groupBy("at_bucket")
         .transformWithStateInPandas(
             processor,
-            outputStructType=f"`{user}` {key_type}, at_us long, denied_count long",
+            outputStructType="at_who string, at_us long, denied_count long",
             outputMode="append",
             timeMode="EventTime",
         )
     )
+    return out_of_buckets(found, df, user)
 
 
 def _since_access(in_order: WindowSpec, resets: Column) -> tuple[Column, Column]:

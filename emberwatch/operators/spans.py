@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
 from emberwatch.operators.balance import STRETCHES_PER_CHUNK, running_balance, spread
+from emberwatch.streaming.buckets import BUCKETS, in_buckets, out_of_buckets
 from emberwatch.streaming.processors import SpanBurstProcessor
 
 def span_burst_alert(
@@ -14,17 +15,20 @@ def span_burst_alert(
     delay: str = "0 seconds",
     user: str = "username",
     time: str = "timestamp",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Spans `(t, t + span]` after a user's log at t that hold more than `threshold` logs.
 
     The opening log and others of the very same time do not count, and logs of one time
     open one span. On a stream a span is judged when the watermark passes its end; logs
-    below the watermark are dropped, so `delay` should cover how late logs arrive.
+    below the watermark are dropped, so `delay` should cover how late logs arrive; the
+    state of the users is kept in so many `buckets`.
     """
     ntz = is_ntz(df, time)
     logs = df.select(user, time)
     if df.isStreaming:
-        found = _judged_on_stream(watermarked(logs, time, delay), span, threshold, user, time)
+        logs = watermarked(logs, time, delay)
+        found = _judged_on_stream(logs, span, threshold, user, time, buckets)
     else:
         found = _judged_on_table(logs, span, threshold, user, time)
     return found.select(
@@ -55,22 +59,25 @@ def _judged_on_table(df: DataFrame, span: str, threshold: int, user: str, time:
     )
 
 
-def _judged_on_stream(df: DataFrame, span: str, threshold: int, user: str, time: str) -> DataFrame:
-    """State is kept per user and chunk of time, so that a busy user's backlog is spread.
+def _judged_on_stream(
+    df: DataFrame, span: str, threshold: int, user: str, time: str, buckets: int
+) -> DataFrame:
+    """State is kept for (user, chunk of time) pairs, so that a user's backlog is spread.
 
     A chunk also gets the logs up to one span behind it, which its last spans hold.
     """
     length = micros(span)
     width = length * STRETCHES_PER_CHUNK
-    key_type = df.schema[user].dataType.simpleString()
     logs = df.filter(F.col(time).isNotNull()).withColumn("at_us", as_micros(df, time))
-    return (
-        spread(logs, F.col("at_us"), after=length, width=width)
-        .groupBy(user, "at_chunk")
+    near = spread(logs, F.col("at_us"), after=length, width=width)
+    found = (
+        in_buckets(near, user, buckets, "at_chunk")
+        .groupBy("at_bucket")
         .transformWithStateInPandas(
-            SpanBurstProcessor(user, length, width, threshold),
-            outputStructType=f"`{user}` {key_type}, at_us long, count long",
+            SpanBurstProcessor(length, width, threshold),
+            outputStructType="at_who string, at_us long, count long",
             outputMode="append",
             timeMode="EventTime",
         )
     )
+    return out_of_buckets(found, df, user)

@@ -1,10 +1,11 @@
 """Keyed state for the alerts that look at every log's own time span.
 
-Spark calls the methods by keyword, so their parameter names are fixed. A user's rows of
-one micro-batch come as several frames of one call. Spark renames columns that start with
-an underscore, so the names here do not.
+A key holds a bucket of users. Spark calls the methods by keyword, so their parameter names
+are fixed, and renames columns that start with an underscore, so the names here do not. The
+rows of a key in one micro-batch come as several frames of one call.
 """
 
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -18,136 +19,165 @@ def _wake_at(us: int) -> int:
     return us // 1000 + 1
 
 
+LOG = ["at_who", "at_chunk", "at_us"]
+
+
 class SpanBurstProcessor(StatefulProcessor):
-    """Keeps, per user and chunk, the log times whose span is open, with a count for each.
+    """Keeps, for users and chunks of time, the log times whose span is open, with counts.
 
-    Logs behind the chunk are kept for the spans of the chunk that hold them, but open no
-    span here. A timer waits for the earliest span of a micro-batch to end; it then judges
-    every span the watermark has passed, drops those times and waits for the next one. No
-    log at or below the watermark can still arrive, so a judged count is final.
+    Logs behind a chunk are kept for the spans of the chunk that hold them, but open no
+    span there. One timer waits for the earliest span to end; it then judges every span the
+    watermark has passed, drops those times and waits for the next one. No log at or below
+    the watermark can still arrive, so a judged count is final.
     """
 
-    def __init__(self, user: str, span: int, width: int, threshold: int) -> None:
-        self.user = user
+    def __init__(self, span: int, width: int, threshold: int) -> None:
         self.span = span
         self.width = width
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.logs = handle.getListState("logs", "us long, n long")
+        self.logs = handle.getListState("logs", "who string, chunk long, us long, n long")
+        self.due = handle.getValueState("due", "ms long")
+
+    def _until(self, logs: pd.DataFrame) -> pd.Series:
+        """How long a log is needed: to the end of its span, or of all spans of the chunk."""
+        return np.minimum(logs["at_us"], logs["at_chunk"] + self.width) + self.span
 
-    def _next(self, first: int, end: int) -> int:
-        """The end of the first span; where only logs behind are left, of the chunk."""
-        return _wake_at(first + self.span if first < end else end)
+    def _wait_for(self, us: int) -> None:
+        waiting = self.due.get()
+        if waiting is None or _wake_at(us) < waiting[0]:
+            self.handle.registerTimer(_wake_at(us))
+            self.due.update((_wake_at(us),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = np.concatenate([frame["at_us"].to_numpy(np.int64) for frame in rows])
-        times, counts = np.unique(times, return_counts=True)
-        first, end = int(times[0]), key[1] + self.width
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        if first >= end and passed >= end and not self.logs.exists():
-            # no span of this chunk is open or can still be opened
-            return iter([])
-        self.logs.appendList(list(zip(times.tolist(), counts.tolist())))
-        self.handle.registerTimer(self._next(first, end))
+        logs = pd.concat([_counted(frame.assign(n=1)) for frame in rows])
+        self.logs.appendList(_tuples(logs))
+        self._wait_for(int(self._until(logs).min()))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, end = timerValues.getCurrentWatermarkInMs() * 1000, key[1] + self.width
-        kept = np.array(list(self.logs.get()), dtype=np.int64).reshape(-1, 2)
-        times, where = np.unique(kept[:, 0], return_inverse=True)
-        counts = np.bincount(where, weights=kept[:, 1], minlength=len(times)).astype(np.int64)
-        openers = int(np.searchsorted(times, end))
-        over = min(openers, int(np.searchsorted(times, passed - self.span, side="right")))
-        if over:
-            total = np.cumsum(counts)
-            last = np.searchsorted(times, times[:over] + self.span, side="right") - 1
-            inside = total[last] - total[:over]
-            hit = inside > self.threshold
-            if hit.any():
-                yield pd.DataFrame(
-                    {self.user: key[0], "at_us": times[:over][hit], "count": inside[hit]}
-                )
-        if over == openers and passed >= end:
-            over = len(times)
-        times, counts = times[over:], counts[over:]
-        if over:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        logs = _counted(pd.DataFrame(list(self.logs.get()), columns=[*LOG, "n"]))
+        until = self._until(logs)
+        done = until <= passed
+        alerts = self._held(logs, done & (logs["at_us"] < logs["at_chunk"] + self.width))
+        if len(alerts):
+            yield alerts
+        if done.any():
             self.logs.clear()
-            if len(times):
-                self.logs.put(list(zip(times.tolist(), counts.tolist())))
-        if len(times):
-            ms = self._next(int(times[0]), end)
-            if ms not in set(self.handle.listTimers()):
-                self.handle.registerTimer(ms)
+            if not done.all():
+                self.logs.put(_tuples(logs[~done]))
+        waiting = self.due.get()
+        if waiting is not None and waiting[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.due.clear()
+            if not done.all():
+                self._wait_for(int(until[~done].min()))
+
+    def _held(self, logs: pd.DataFrame, judged: pd.Series) -> pd.DataFrame:
+        """The judged spans with enough logs in them.
+
+        All logs and all ends of judged spans are put in order of group and time; between a
+        log and the end of its span the running count grows by what the span holds.
+        """
+        spans = logs[judged]
+        groups = logs.groupby(["at_who", "at_chunk"], dropna=False, sort=False).ngroup().to_numpy()
+        group = np.concatenate([groups, groups[judged]])
+        at = np.concatenate([logs["at_us"], spans["at_us"] + self.span])
+        n = np.concatenate([logs["n"], np.zeros(len(spans), dtype=np.int64)])
+        is_end = np.arange(len(at)) >= len(logs)
+        order = np.lexsort((is_end, at, group))
+        count = np.empty(len(at), dtype=np.int64)
+        count[order] = np.cumsum(n[order])
+        held = count[is_end] - count[~is_end][judged]
+        found = spans.assign(count=held)[held > self.threshold]
+        return found[["at_who", "at_us", "count"]]
 
     def close(self) -> None:
         pass
 
 
 class FollowedBySpanProcessor(StatefulProcessor):
-    """Counts a user's denials since the last reset; an access reads and resets the count.
+    """Counts each user's denials since the last reset; an access reads and resets the count.
 
     The first denial after a reset starts a timer, whose end resets too. A timer ends by
     event time: before a row, the timers earlier than the row's time have ended. Spark's
     own timers only free the state, because they fire after all rows of a micro-batch.
     """
 
-    def __init__(self, user: str, span: int, threshold: int, cancel: bool) -> None:
-        self.user = user
+    def __init__(self, span: int, threshold: int, cancel: bool) -> None:
         self.span = span
         self.threshold = threshold
         self.cancel = cancel
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "n long")
-        self.timers = handle.getListState("timers", "us long")
-
-    def _save(self, n: int, timers: list[int]) -> None:
-        self.timers.clear()
-        if timers:
-            self.timers.put([(us,) for us in timers])
-        if n:
-            self.count.update((n,))
-        else:
-            self.count.clear()
+        self.counts = handle.getListState("counts", "who string, n long")
+        self.timers = handle.getListState("timers", "who string, us long")
+
+    def _load(self) -> tuple[dict[str, int], dict[str, list[int]]]:
+        timers = defaultdict(list)
+        for who, us in self.timers.get():
+            heappush(timers[who], us)
+        return dict(self.counts.get()), timers
+
+    def _save(self, counts: dict[str, int], timers: dict[str, list[int]], passed: int) -> list[int]:
+        """Store what the watermark has not ended; returns the timers left."""
+        for who, ends in timers.items():
+            if ends and ends[0] <= passed:
+                timers[who] = [us for us in ends if us > passed]
+                counts[who] = 0
+        left = [(who, us) for who, ends in timers.items() for us in ends]
+        for state, values in (
+            (self.counts, [(who, n) for who, n in counts.items() if n]),
+            (self.timers, left),
+        ):
+            state.clear()
+            if values:
+                state.put(values)
+        return [us for _, us in left]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at_us", "at_order"], kind="stable")
-        (n,) = self.count.get() or (0,)
-        timers = sorted(us for (us,) in self.timers.get())
-        latest = timers[-1:]
+        counts, timers = self._load()
+        latest = max((us for ends in timers.values() for us in ends), default=None)
         alerts = []
-        for us, denied in zip(batch["at_us"].tolist(), batch["at_denied"].tolist()):
-            while timers and timers[0] < us:
-                heappop(timers)
-                n = 0
+        columns = (batch[name].tolist() for name in ("at_who", "at_us", "at_denied"))
+        for who, us, denied in zip(*columns):
+            ends = timers[who]
+            while ends and ends[0] < us:
+                heappop(ends)
+                counts[who] = 0
+            n = counts.get(who, 0)
             if denied:
                 if n == 0:
-                    heappush(timers, us + self.span)
-                n += 1
+                    heappush(ends, us + self.span)
+                counts[who] = n + 1
             else:
                 if n >= self.threshold:
-                    alerts.append((us, n))
-                n = 0
+                    alerts.append((who, us, n))
+                counts[who] = 0
                 if self.cancel:
-                    timers.clear()
-        self._save(n, timers)
-        if timers and [max(timers)] != latest:
-            self.handle.registerTimer(_wake_at(max(timers)))
+                    ends.clear()
+        left = self._save(counts, timers, timerValues.getCurrentWatermarkInMs() * 1000)
+        if left and max(left) != latest:
+            self.handle.registerTimer(_wake_at(max(left)))
         if alerts:
-            found = pd.DataFrame(alerts, columns=["at_us", "denied_count"])
-            found.insert(0, self.user, key[0])
-            yield found
+            yield pd.DataFrame(alerts, columns=["at_who", "at_us", "denied_count"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        timers = sorted(us for (us,) in self.timers.get())
-        kept = [us for us in timers if us > passed]
-        if len(kept) < len(timers):
-            self._save(0, kept)
+        self._save(*self._load(), timerValues.getCurrentWatermarkInMs() * 1000)
         return iter([])
 
     def close(self) -> None:
         pass
+
+
+def _counted(logs: pd.DataFrame) -> pd.DataFrame:
+    return logs.groupby(LOG, dropna=False, sort=False, as_index=False)["n"].sum()
+
+
+def _tuples(logs: pd.DataFrame) -> list[tuple[str | None, int, int, int]]:
+    who = [None if pd.isna(value) else value for value in logs["at_who"].tolist()]
+    return list(zip(who, *(logs[name].tolist() for name in ("at_chunk", "at_us", "n"))))
