@@ -57,7 +57,9 @@ def arguments(told: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--checkpoint", required=True, help="folder all executors can reach")
     parser.add_argument("--topic")
     parser.add_argument("--start", help="earliest or latest")
-    parser.add_argument("--max-per-trigger", type=int, help="most records in a micro-batch")
+    parser.add_argument(
+        "--max-per-trigger", type=int, default=10_000_000, help="most records in a micro-batch"
+    )
     parser.add_argument("--trigger", help="such as `10 seconds`; default: as fast as possible")
     parser.add_argument("--restarts", type=int, help="give up after so many errors; default: never")
     parser.add_argument("--table", help="for the job `index`: its folder")

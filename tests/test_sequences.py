@@ -183,3 +183,33 @@ def test_restart_keeps_counts(feed, drain, tmp_path):
         got, _ = drain(followed_by_span(parsed), checkpoint=checkpoint)
         seen += shape([r for b in got for r in b])
     assert seen == [("a", 50, 3)]
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_logs_without_a_user_on_a_stream(feed, drain, buckets):
+    batches = [steps("D0 D1", None) + steps("D0"), steps("D2 A3", None) + steps("A3")]
+    parsed = event_time(parse_logs(feed(*batches), ACCESS_LOG), unit="ms")
+    got, _ = drain(followed_by_span(parsed, buckets=buckets))
+    assert [(r.username, r.denied_count) for b in got for r in b] == [(None, 3)]
+
+
+@pytest.mark.parametrize("cancel", [False, True])
+def test_stream_of_many_users_against_state_machine(feed, drain, cancel):
+    rng = random.Random(11)
+    logs = sorted(
+        (rng.randrange(900), rng.choice("abcdefgh"), rng.choices(["denied", "accessed"], [3, 1])[0])
+        for _ in range(1_200)
+    )
+    # one log per user and second, so that the order is plain
+    logs = list({(t, u): (t, u, a) for t, u, a in logs}.values())
+    values = [{"timestamp": (BASE + t) * 1000, "username": u, "action": a} for t, u, a in logs]
+    cuts = [next(i for i, log in enumerate(logs) if log[0] >= t) for t in range(0, 900, 150)]
+    batches = [values[i:j] for i, j in zip(cuts, [*cuts[1:], len(values)])]
+    parsed = event_time(parse_logs(feed(*batches), ACCESS_LOG), unit="ms")
+    got, _ = drain(followed_by_span(parsed, "20 seconds", 2, cancel_timers=cancel, buckets=3))
+    expected = sorted(
+        (u, t, n)
+        for u in "abcdefgh"
+        for t, n in machine([(t, 0, a) for t, who, a in logs if who == u], 20, 2, cancel)
+    )
+    assert shape([r for b in got for r in b]) == expected and expected

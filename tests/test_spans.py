@@ -111,3 +111,11 @@ def test_restart_keeps_open_spans(feed, drain, tmp_path):
         got, _ = drain(span_burst_alert(event_time(parsed, unit="ms")), checkpoint=checkpoint)
         seen += [s for b in got for s in shape(b)]
     assert seen == [(0, 60, 3)]
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_logs_without_a_user_on_a_stream(feed, drain, buckets):
+    batches = [logs(None, 0, 10) + logs("u", 5), logs(None, 20, 30) + logs("u", 6), logs("z", 9_000)]
+    parsed = event_time(parse_logs(feed(*batches), USER_LOG), unit="ms")
+    got, _ = drain(span_burst_alert(parsed, buckets=buckets))
+    assert [(r.username, *shape([r])) for b in got for r in b] == [(None, (0, 60, 3))]
