@@ -19,6 +19,10 @@ def _field(index: DataFrame, name: str) -> Column:
     return F.try_variant_get("doc", f"$.{name}", "string")
 
 
+def _in_utc(when: dt.datetime) -> dt.datetime:
+    return (when if when.tzinfo else when.replace(tzinfo=dt.UTC)).astimezone(dt.UTC)
+
+
 def search_logs(
     index: DataFrame,
     term: str | None = None,
@@ -28,14 +32,17 @@ def search_logs(
 ) -> DataFrame:
     """Logs that contain `term`, have all the given field values and lie in [since, until).
 
-    The time range also picks the date partitions. A record indexed more than once is
+    The time range also picks the date partitions; times without a zone are UTC. A record indexed more than once is
     given once; only what was found is shuffled for that.
     """
     found = index
+    date, time = F.col("log_date"), F.col("log_time")
     if since is not None:
-        found = found.filter((F.col("log_date") >= F.lit(since.date())) & (F.col("log_time") >= F.lit(since)))
+        start = _in_utc(since)
+        found = found.filter((date >= F.lit(start.date())) & (time >= F.lit(start)))
     if until is not None:
-        found = found.filter((F.col("log_date") <= F.lit(until.date())) & (F.col("log_time") < F.lit(until)))
+        end = _in_utc(until)
+        found = found.filter((date <= F.lit(end.date())) & (time < F.lit(end)))
     for name, value in (fields or {}).items():
         column = F.col(name) == value if name in index.columns else _field(index, name) == str(value)
         found = found.filter(column)

@@ -19,9 +19,8 @@ def _log_time(field: str, unit: str) -> Column:
     """A document's own time: an epoch number, else a time in text, else null."""
     number = F.try_variant_get("doc", f"$.{field}", "decimal(24,6)")
     seconds = number / 1000 if unit == "ms" else number
-    return F.coalesce(
-        F.when(seconds.between(0, LAST_SECOND), F.timestamp_seconds(seconds)),
-        F.try_variant_get("doc", f"$.{field}", "timestamp"),
+    return F.when(seconds.between(0, LAST_SECOND), F.timestamp_seconds(seconds)).when(
+        number.isNull(), F.try_variant_get("doc", f"$.{field}", "timestamp")
     )
 
 
@@ -44,7 +43,8 @@ def documents(
         *[F.try_variant_get("doc", f"$.{name}", kind).alias(name) for name, kind in fields.items()],
         "text",
         "doc",
-        F.to_date("log_time").alias("log_date"),
+        # the date in UTC, whatever zone a session has
+        F.date_from_unix_date(F.floor(F.unix_seconds("log_time") / 86400).cast("int")).alias("log_date"),
     )
 
 

@@ -21,6 +21,8 @@ def _wake_at(us: int) -> int:
 
 LOG = ["at_who", "at_chunk", "at_us"]
 
+MANY = 1_000
+
 
 class SpanBurstProcessor(StatefulProcessor):
     """Keeps, for users and chunks of time, the log times whose span is open, with counts.
@@ -52,7 +54,9 @@ class SpanBurstProcessor(StatefulProcessor):
             self.due.update((_wake_at(us),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        logs = pd.concat([_counted(frame.assign(n=1)) for frame in rows])
+        frames = [frame.assign(n=1) for frame in rows]
+        # a busy user's logs of one time are worth counting before they are kept
+        logs = pd.concat([_counted(f) if len(f) > MANY else f for f in frames])
         self.logs.appendList(_tuples(logs))
         self._wait_for(int(self._until(logs).min()))
         return iter([])

@@ -129,7 +129,22 @@ def test_index_times_of_all_kinds(spark, tmp_path):
     rows = {r.offset: r.log_time for r in read_index(spark, index).collect()}
     base = dt.datetime(2024, 6, 14, 16, 10)
     assert [rows[i] for i in range(3)] == [base, base + dt.timedelta(seconds=0.5), base]
-    assert len(rows) == 7 and rows[5] is None and rows[6] is None
+    assert len(rows) == 7 and [rows[i] for i in range(3, 7)] == [None] * 4
+
+
+@pytest.mark.parametrize("zone", ["Asia/Kathmandu", "America/New_York"])
+def test_index_and_search_in_any_session_zone(spark, tmp_path, zone):
+    index = str(tmp_path / "index")
+    df = spark.createDataFrame(records(*range(0, 200_000, 1_000)), ENVELOPE)
+    since, until = dt.datetime(2024, 6, 15), dt.datetime(2024, 6, 15, 23)
+    start = int((since - dt.datetime(2024, 6, 14, 16, 10)).total_seconds())
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        index_logs(df, index)
+        found = offsets(search_logs(read_index(spark, index), since=since, until=until))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found == [o for o in range(0, 200_000, 1_000) if start <= o < start + 23 * 3_600]
 
 
 def test_search_and_counts(spark, tmp_path):
