@@ -11,6 +11,7 @@ import datetime as dt
 import sys
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import emberwatch as ew  # noqa: E402
 from emberwatch.plans import jobs  # noqa: E402
+from emberwatch.plans.rules import CHANGING  # noqa: E402
 from emberwatch.schemas import ACCESS_LOG, LOGIN_LOG, USER_LOG  # noqa: E402
 from emberwatch.session import ROCKSDB, shared_folder  # noqa: E402
 
@@ -291,6 +293,28 @@ def apply_rules(spark: SparkSession, folder: str) -> DataFrame:
     return alerts.select("rule", F.get_json_object("alert", "$.username").alias("username"))
 
 
+def run_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """One stream per rule, each rule's alerts read back from its own table."""
+    path = _new_folder(_prepare(spark))
+    running = ew.run_rules(
+        _log_stream(spark, folder),
+        RULES,
+        f"{path}/checkpoints",
+        sink=lambda rule: ew.alert_log(f"{path}/{rule.kind}"),
+        trigger="available",
+    )
+    told = []
+    for rule in RULES:
+        running[rule.name].awaitTermination()
+        if rule.kind in CHANGING:
+            keys = ["username", "window_start", "window_end"]
+            alerts = ew.latest_alerts(spark, f"{path}/{rule.kind}", keys)
+        else:
+            alerts = spark.read.parquet(f"{path}/{rule.kind}")
+        told.append(alerts.select(F.lit(rule.name).alias("rule"), F.col("username").cast("string")))
+    return reduce(DataFrame.unionByName, told)
+
+
 def queries() -> dict[str, Query]:
     return {
         query.__name__: query
@@ -328,6 +352,7 @@ def queries() -> dict[str, Query]:
             search_fields,
             log_counts,
             apply_rules,
+            run_rules,
         )
     }
 
@@ -408,6 +433,18 @@ def _clock(ts: str) -> str:
     return f"strftime({ts} + INTERVAL 345 MINUTE, '%H:%M:%S')"
 
 
+def _rules(closed: str = "") -> str:
+    bad = f"{FAILED} >= 4 AND {SUCCESS} >= 1"
+    return f"""
+        SELECT 'busy day' AS rule, username::VARCHAR AS username
+        FROM ({_tumbling("1 DAY", "count(*) AS count", "count(*) > 4")})
+        UNION ALL
+        SELECT 'busy span', username::VARCHAR
+        FROM ({_spans("12 HOUR")}) WHERE count > 3 {closed}
+        UNION ALL
+        SELECT 'bad week', username::VARCHAR FROM ({_tumbling("7 DAY", BOTH, bad)})"""
+
+
 DAY_BURST = _tumbling("1 DAY", "count(*) AS count", "count(*) > 2")
 FAILED = "count(*) FILTER (WHERE event_type = 'error')"
 SUCCESS = "count(*) FILTER (WHERE event_type = 'purchase')"
@@ -448,7 +485,9 @@ def oracle_sql() -> dict[str, str]:
                    {_clock("window_end")} AS "end", count::INTEGER AS count FROM ({_sliding()})""",
         "followed_by_window": LOGIN,
         "followed_by_window_stream": LOGIN,
-        "job_login": _tumbling("7 DAY", BOTH, f"{FAILED} >= 4 AND {SUCCESS} >= 1", _whole("second")),
+        "job_login": _tumbling(
+            "7 DAY", BOTH, f"{FAILED} >= 4 AND {SUCCESS} >= 1", _whole("second")
+        ),
         "span_burst_alert": f"SELECT * FROM ({_spans('1 DAY')}) WHERE count > 2",
         "span_burst_stream": f"""
             SELECT * FROM ({_spans('1 DAY')}) WHERE count > 2
@@ -512,12 +551,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT time_bucket(INTERVAL 6 HOUR, log_time, {EPOCH}) AS since, action,
                    count(*) AS count
             FROM ({INDEX}) WHERE log_time >= TIMESTAMP '2024-01-10' GROUP BY ALL""",
-        "apply_rules": f"""
-            SELECT 'busy day' AS rule, username::VARCHAR AS username
-            FROM ({_tumbling("1 DAY", "count(*) AS count", "count(*) > 4")})
-            UNION ALL
-            SELECT 'busy span', username::VARCHAR FROM ({_spans("12 HOUR")}) WHERE count > 3
-            UNION ALL
-            SELECT 'bad week', username::VARCHAR
-            FROM ({_tumbling("7 DAY", BOTH, f"{FAILED} >= 4 AND {SUCCESS} >= 1")})""",
+        "apply_rules": _rules(),
+        "run_rules": _rules(
+            "AND span_end <= (SELECT date_trunc('millisecond', max(ts)) FROM events)"
+        ),
     }
