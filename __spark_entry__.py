@@ -450,7 +450,8 @@ FAILED = "count(*) FILTER (WHERE event_type = 'error')"
 SUCCESS = "count(*) FILTER (WHERE event_type = 'purchase')"
 BOTH = f"{FAILED} AS failed_count, {SUCCESS} AS success_count"
 LOGIN = _tumbling("7 DAY", BOTH, f"{FAILED} >= 5 AND {SUCCESS} >= 1")
-DOCUMENT = """'{"timestamp":' || epoch_ms(date_trunc('millisecond', ts)) || ',"username":"' || user_id || '","action":"'
+DOCUMENT = """'{"timestamp":' || epoch_ms(date_trunc('millisecond', ts))
+              || ',"username":"' || user_id || '","action":"'
               || event_type || '"}'"""
 INDEX = f"""
     SELECT 'logs' AS topic, 0::INTEGER AS partition, event_id AS "offset",
@@ -546,7 +547,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT "offset", log_time, username FROM ({INDEX})
             WHERE contains(text, 'error') AND log_date = DATE '2024-01-10'""",
         "search_fields": f"""
-            SELECT "offset", log_time FROM ({INDEX}) WHERE username = '7' AND action = 'purchase'""",
+            SELECT "offset", log_time FROM ({INDEX})
+            WHERE username = '7' AND action = 'purchase'""",
         "log_counts": f"""
             SELECT time_bucket(INTERVAL 6 HOUR, log_time, {EPOCH}) AS since, action,
                    count(*) AS count

@@ -69,7 +69,9 @@ def normalize_logs(
 
     def first_match(result) -> Column:
         start = F.when(F.lit(False), F.lit(None).cast("string"))
-        return reduce(lambda chain, p: chain.when(F.col("pattern") == p[0], result(p)), patterns, start)
+        return reduce(
+            lambda chain, p: chain.when(F.col("pattern") == p[0], result(p)), patterns, start
+        )
 
     def field_of(name: str) -> Column:
         return first_match(

@@ -30,7 +30,9 @@ def _clock(alerts: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def burst(messages: DataFrame, window: str = "10 minutes", threshold: int = 2, **settings) -> DataFrame:
+def burst(
+    messages: DataFrame, window: str = "10 minutes", threshold: int = 2, **settings
+) -> DataFrame:
     """More than two logs of a user in ten minutes; time in seconds."""
     logs = event_time(parse_logs(messages, USER_LOG), unit="s")
     alerts = burst_alert(logs, window, threshold, **settings)

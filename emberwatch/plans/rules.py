@@ -37,7 +37,8 @@ class Rule:
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
-            raise ValueError(f"rule {self.name!r}: unknown kind {self.kind!r}, not one of {sorted(KINDS)}")
+            kinds = ", ".join(sorted(KINDS))
+            raise ValueError(f"rule {self.name!r}: {self.kind!r} is no kind; kinds are {kinds}")
 
     def alerts(self, logs: DataFrame) -> DataFrame:
         return KINDS[self.kind](logs, **self.params)
@@ -58,7 +59,9 @@ def _checked(rules: Sequence[Rule]) -> Sequence[Rule]:
 def apply_rules(logs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """All rules' alerts on a table: the rule's name and the alert as JSON."""
     named = [
-        alerts.select(F.lit(rule.name).alias("rule"), F.to_json(F.struct(*alerts.columns)).alias("alert"))
+        alerts.select(
+            F.lit(rule.name).alias("rule"), F.to_json(F.struct(*alerts.columns)).alias("alert")
+        )
         for rule in _checked(rules)
         for alerts in [rule.alerts(logs)]
     ]

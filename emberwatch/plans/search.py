@@ -32,8 +32,8 @@ def search_logs(
 ) -> DataFrame:
     """Logs that contain `term`, have all the given field values and lie in [since, until).
 
-    The time range also picks the date partitions; times without a zone are UTC. A record indexed more than once is
-    given once; only what was found is shuffled for that.
+    The time range also picks the date partitions; times without a zone are UTC. A record
+    indexed more than once is given once; only what was found is shuffled for that.
     """
     found = index
     date, time = F.col("log_date"), F.col("log_time")
@@ -44,8 +44,8 @@ def search_logs(
         end = _in_utc(until)
         found = found.filter((date <= F.lit(end.date())) & (time < F.lit(end)))
     for name, value in (fields or {}).items():
-        column = F.col(name) == value if name in index.columns else _field(index, name) == str(value)
-        found = found.filter(column)
+        own = name in index.columns
+        found = found.filter(F.col(name) == value if own else _field(index, name) == str(value))
     if term is not None:
         found = found.filter(F.col("text").contains(term))
     return found.dropDuplicates(ID)

@@ -39,7 +39,8 @@ def as_envelope(
     `offset` and `time` name the columns that stand for the record's own offset and time;
     without an offset the messages have no place in the topic yet.
     """
-    columns = [F.to_json(F.struct(*fields)).cast("binary").alias("value"), F.lit(topic).alias("topic")]
+    value = F.to_json(F.struct(*fields)).cast("binary")
+    columns = [value.alias("value"), F.lit(topic).alias("topic")]
     if offset:
         columns += [F.lit(0).alias("partition"), F.col(offset).cast("long").alias("offset")]
     if time:

@@ -36,15 +36,17 @@ def documents(
     that a search on them reads only these columns and can skip row groups.
     """
     observed = "index" if df.isStreaming else None
-    parsed = parse_documents(df, observed=observed).withColumn("log_time", _log_time(time_field, unit))
-    return parsed.select(
+    parsed = parse_documents(df, observed=observed)
+    timed = parsed.withColumn("log_time", _log_time(time_field, unit))
+    # the date in UTC, whatever zone a session has
+    date = F.date_from_unix_date(F.floor(F.unix_seconds("log_time") / 86400).cast("int"))
+    return timed.select(
         *ID,
         "log_time",
         *[F.try_variant_get("doc", f"$.{name}", kind).alias(name) for name, kind in fields.items()],
         "text",
         "doc",
-        # the date in UTC, whatever zone a session has
-        F.date_from_unix_date(F.floor(F.unix_seconds("log_time") / 86400).cast("int")).alias("log_date"),
+        date.alias("log_date"),
     )
 
 
