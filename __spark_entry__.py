@@ -89,6 +89,11 @@ def _new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def _buckets(spark: SparkSession) -> int:
+    """A few buckets of users for each state task; each run has a checkpoint of its own."""
+    return 4 * int(_prepare(spark).conf.get("spark.sql.shuffle.partitions"))
+
+
 def _drained(alerts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there into a table; with `keys`, the last value of each."""
     spark = alerts.sparkSession
@@ -170,7 +175,8 @@ def span_burst_alert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def span_burst_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return _drained(ew.span_burst_alert(_log_stream(spark, folder), "1 day"))
+    logs = _log_stream(spark, folder)
+    return _drained(ew.span_burst_alert(logs, "1 day", buckets=_buckets(spark)))
 
 
 def job_span_burst(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,7 +195,10 @@ def followed_by_span_cancelled(spark: SparkSession, folder: str) -> DataFrame:
 
 def followed_by_span_stream(spark: SparkSession, folder: str) -> DataFrame:
     logs = _log_stream(spark, folder)
-    return _drained(ew.followed_by_span(logs, "3 days", 2, order="event_id", **ACCESS_WORDS))
+    alerts = ew.followed_by_span(
+        logs, "3 days", 2, order="event_id", buckets=_buckets(spark), **ACCESS_WORDS
+    )
+    return _drained(alerts)
 
 
 def job_access(spark: SparkSession, folder: str) -> DataFrame:
