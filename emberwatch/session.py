@@ -1,8 +1,9 @@
 """Session defaults and the folder shared by all executors."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,3 +42,22 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberwatch-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back.
+
+    What follows starts from the files: nothing before them is computed twice, and a lost
+    executor costs only the tasks it ran.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
