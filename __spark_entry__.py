@@ -25,6 +25,14 @@ from emberwatch.plans.rules import CHANGING  # noqa: E402
 from emberwatch.schemas import ACCESS_LOG, LOGIN_LOG, USER_LOG  # noqa: E402
 from emberwatch.session import ROCKSDB, shared_folder  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from emberwatch.llm import queries as llm
+except ModuleNotFoundError as missing:  # both go together; any other missing module is a fault
+    if not str(missing.name).startswith(("corpus_pipeline", "emberwatch.llm")):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 LOGIN_WORDS = {"action": "action", "failed": "error", "success": "purchase"}
@@ -325,7 +333,8 @@ def run_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
+    more = {**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}
+    return more | {
         query.__name__: query
         for query in (
             keyword_alert,
@@ -471,7 +480,7 @@ PAGED, PLAIN = (f"'{pattern}'" for _, pattern, _ in URL_PATTERNS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return (llm.SQL if llm else {}) | {
         "keyword_alert": "SELECT doc_id, text FROM documents WHERE contains(text, 'threat')",
         "keyword_alert_stream": """
             SELECT doc_id, length(text)::INTEGER AS length FROM documents
