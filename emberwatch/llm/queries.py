@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberwatch.llm.bpe import op10_bpe
+from emberwatch.llm.contamination import OP5_SQL, op5_decontamination
 from emberwatch.llm.lines import OP8_SQL, op8_line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
+        op5_decontamination,
         op8_line_dedup,
+        op10_bpe,
     )
 }
 
-SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL}
