@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.llm.bpe import op10_bpe
 from emberwatch.llm.contamination import OP5_SQL, op5_decontamination
+from emberwatch.llm.kdtree import op9_kd_sharding
 from emberwatch.llm.lines import OP8_SQL, op8_line_dedup
+from emberwatch.llm.simhash import op3_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
+        op3_simhash,
         op5_decontamination,
         op8_line_dedup,
+        op9_kd_sharding,
         op10_bpe,
     )
 }
