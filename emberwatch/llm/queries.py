@@ -10,11 +10,13 @@ from emberwatch.llm.bpe import op10_bpe
 from emberwatch.llm.contamination import OP5_SQL, op5_decontamination
 from emberwatch.llm.kdtree import op9_kd_sharding
 from emberwatch.llm.lines import OP8_SQL, op8_line_dedup
+from emberwatch.llm.rules import OP1_SQL, op1_quality_rules
 from emberwatch.llm.simhash import op3_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
+        op1_quality_rules,
         op3_simhash,
         op5_decontamination,
         op8_line_dedup,
@@ -23,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL}
