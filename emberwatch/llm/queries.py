@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.llm.bpe import op10_bpe
 from emberwatch.llm.contamination import OP5_SQL, op5_decontamination
+from emberwatch.llm.html import op4_html_extraction
 from emberwatch.llm.kdtree import op9_kd_sharding
 from emberwatch.llm.lines import OP8_SQL, op8_line_dedup
 from emberwatch.llm.rules import OP1_SQL, op1_quality_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_quality_rules,
         op3_simhash,
+        op4_html_extraction,
         op5_decontamination,
         op8_line_dedup,
         op9_kd_sharding,
