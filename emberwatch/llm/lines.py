@@ -48,7 +48,7 @@ def shared_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     repeated under one doc_id. The largest doc_id that holds a key keeps its lines.
     """
     pairs = stored(line_keys(docs, least_chars))
-    shared = (
+    shared = stored(  # read from a table, so that a join can split a key most documents hold
         pairs.groupBy("key")
         .agg(F.count_distinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n") >= least_docs)
