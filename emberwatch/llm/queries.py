@@ -13,6 +13,7 @@ from emberwatch.llm.kdtree import op9_kd_sharding
 from emberwatch.llm.lines import OP8_SQL, op8_line_dedup
 from emberwatch.llm.rules import OP1_SQL, op1_quality_rules
 from emberwatch.llm.simhash import op3_simhash
+from emberwatch.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_simhash,
         op4_html_extraction,
         op5_decontamination,
+        op6_toxicity,
         op8_line_dedup,
         op9_kd_sharding,
         op10_bpe,
