@@ -11,6 +11,7 @@ from emberwatch.llm.contamination import OP5_SQL, op5_decontamination
 from emberwatch.llm.html import op4_html_extraction
 from emberwatch.llm.kdtree import op9_kd_sharding
 from emberwatch.llm.lines import OP8_SQL, op8_line_dedup
+from emberwatch.llm.ngram import op2_quality_classifier
 from emberwatch.llm.pii import op7_pii
 from emberwatch.llm.rules import OP1_SQL, op1_quality_rules
 from emberwatch.llm.simhash import op3_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_quality_rules,
+        op2_quality_classifier,
         op3_simhash,
         op4_html_extraction,
         op5_decontamination,

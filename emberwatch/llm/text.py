@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -38,8 +37,16 @@ def per_batch(
     return df.mapInArrow(run, schema)
 
 
-def texts_of(series: pd.Series) -> list[str]:
-    return ["" if text is None else text for text in series]
+def runs(texts: Sequence[str | None], most_chars: int = 1_000_000) -> Iterator[slice]:
+    """Slices of consecutive texts with at most so many characters, or one longer text."""
+    start = chars = 0
+    for i, text in enumerate(texts):
+        chars += len(text or "")
+        if chars > most_chars and i > start:
+            yield slice(start, i)
+            start, chars = i, len(text or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 #: Rows handled at a time inside a task; bounds memory, never changes a result.

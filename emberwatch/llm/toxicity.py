@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.text import ROWS, encoded, per_batch
+from emberwatch.llm.text import encoded, per_batch, runs
 
 #: The kernel compares subsequences of three characters that span SPAN characters at most; each
 #: character left out in between weighs DECAY.
@@ -70,7 +70,7 @@ def _triples(codes: np.ndarray):
     """For each step within the span: the places where it stays in a word, and its triple."""
     edges = np.flatnonzero(codes == _EDGE)
     after = np.r_[edges[np.searchsorted(edges, np.arange(len(codes) - 1), "right")], 0]
-    room = after - np.arange(len(codes))
+    room = (after - np.arange(len(codes))).astype(np.int32)
     wide = codes.astype(np.int32)
     place = np.flatnonzero(room >= 2)
     for a, b in _STEPS:
@@ -153,8 +153,8 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
-        for i in range(0, len(texts), ROWS):
-            out[i : i + ROWS] = self.pooled(texts[i : i + ROWS]) @ self.curve[:-1] + self.curve[-1]
+        for part in runs(texts):
+            out[part] = self.pooled(texts[part]) @ self.curve[:-1] + self.curve[-1]
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
@@ -303,8 +303,8 @@ def margin_of(model: Model, word: Column) -> Column:
 def pooled_of(model: Model, text: Column) -> Column:
     @F.pandas_udf("array<double>")
     def pooled(texts: pd.Series) -> pd.Series:
-        parts = [model.pooled(list(texts[i : i + ROWS])) for i in range(0, len(texts), ROWS)]
-        return pd.Series([row for part in parts for row in part])
+        rows = list(texts)
+        return pd.Series([row for part in runs(rows) for row in model.pooled(rows[part])])
 
     return pooled(text)
 
