@@ -82,7 +82,7 @@ def find_windows(text: str | None, block: Windows) -> tuple[int, list[list[int]]
     words = normal_words(text)
     ranges: list[list[int]] = []
     items: set[str] = set()
-    if words:
+    if words and block:
         line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
         at = seen = 0  # `at`: words that end before character `seen`
         for last, (length, count, found) in _automaton(block).iter(line):
@@ -161,13 +161,16 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of `docs`, all columns, without a window of any benchmark text."""
     for shared in _blocks(docs.sparkSession, benchmark, size, block_chars):
+        docs = docs.filter(_clean(shared)(docs["text"]))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared: Broadcast = shared) -> pd.Series:
-            return pd.Series([not find_windows(text, shared.value)[1] for text in texts])
 
-        docs = docs.filter(clean(docs["text"]))
-    return docs
+def _clean(shared: Broadcast):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not find_windows(t, shared.value)[1] for t in texts], dtype="boolean")
+
+    return clean
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:

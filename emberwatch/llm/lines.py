@@ -92,13 +92,9 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     drops = shared_lines(docs, least_chars, least_docs).withColumnRenamed("doc_id", "_drop_id")
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]), "left")
     kept = without(docs["text"], drops["drops"])
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    told = joined.select(*[docs[c] for c in others], kept.alias("_kept"))
-    return told.select(
-        *[F.col("_kept.text").alias("text") if c == "text" else F.col(c)
-          for c in docs.columns if c in ("text", *others)],
-        "_kept.n_lines", "_kept.n_dropped",
-    )
+    told = [kept["text"].alias("text") if c == "text" else docs[c] for c in docs.columns
+            if c not in ("n_lines", "n_dropped")]
+    return joined.select(*told, kept["n_lines"].alias("n_lines"), kept["n_dropped"].alias("n_dropped"))
 
 
 def op8_line_dedup(spark, folder: str) -> DataFrame:

@@ -324,13 +324,16 @@ def _told(spans: Column) -> Column:
     )
 
 
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     return personal_spans(docs).select(
         "doc_id",
         *[
-            F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-            for kind in BASE_KINDS
+            F.size(F.filter("base", _is(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS
         ],
         F.sha2(_told(F.col("base")), 256).alias("base_sha256"),
         _told(F.col("spans")).alias("spans"),

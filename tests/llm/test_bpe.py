@@ -1,0 +1,70 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from emberwatch.llm import bpe
+from emberwatch.llm.bpe import ChunkEncoder, bpe_digests, bpe_encode, cut_points
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    "", "  \n", "a", "x" * 5000, "a b", "<|endoftext|> hi<|startoftext|>x", "é é ΣΑΣ Σ İ ﬁ ½",
+    "don't we'll '  's", "\x85\x1c\x1d a\x00b", "日本語 テキスト", "🎉👩‍👩‍👧 ok", " ́x ́",
+]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def same(encoder, tokenizer, texts):
+    for text, (n, ids, told) in zip(texts, encoder.encode(texts), strict=True):
+        want = tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and n == len(want)
+        assert told == tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_equal_to_the_library(small, tokenizer):
+    texts = [r.text for r in small["documents"].select("text").collect()]
+    same(ChunkEncoder(PATH), tokenizer, texts + ODD)
+
+
+def test_joins_at_every_cut(tokenizer, monkeypatch):
+    """Cuts within words, white space and characters of several bytes."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aé 日\n't1.") for _ in range(200)) for _ in range(30)]
+    for width in (1, 2, 3, 7):
+        monkeypatch.setattr(bpe, "cut_points", lambda data, w=width: [*range(w, len(data), w), len(data)])
+        same(ChunkEncoder(PATH), tokenizer, texts)
+
+
+def test_small_stores(small, tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_CHUNKS", 3)
+    monkeypatch.setattr(bpe, "MOST_WORDS", 50)
+    texts = [r.text for r in small["documents"].select("text").limit(40).collect()]
+    encoder = ChunkEncoder(PATH)
+    for i in range(0, len(texts), 4):
+        same(encoder, tokenizer, texts[i : i + 4])
+
+
+def test_equal_passages_are_cut_alike():
+    rng = random.Random(3)
+    passage = bytes(rng.randrange(97, 123) for _ in range(5000))
+    a, b = b"short " + passage, bytes(1000) + passage
+    ends = [{len(x) - end for end in cut_points(x) if end > len(x) - 4900} for x in (a, b)]
+    assert ends[0] == ends[1] and len(ends[0]) > 5
+
+
+def test_rows(odd, nothing, tokenizer):
+    rows = odd.select("doc_id", "text").collect()
+    got = bpe_encode(odd).collect()
+    assert sorted((r.doc_id or 0, tuple(r.token_ids)) for r in got) == sorted(
+        (r.doc_id or 0, tuple(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in rows
+    )
+    told = {r.doc_id: r for r in bpe_digests(odd).collect()}
+    assert told[2].ids_sha256 == told[1].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+    assert bpe_digests(nothing).count() == 0

@@ -1,0 +1,138 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from emberwatch.llm.simhash import (
+    GrayIndex, _linked, connected, fingerprint, first_of_each, gray_rank, mark_links,
+    near_duplicates, shingle_hashes, split_masks,
+)
+
+UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def slow_mark(text, size=3):
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(UPPER))
+    runs = [" ".join(w[i : i + size]) for i in range(max(min(1, len(w)), len(w) - size + 1))]
+    hashes = [xxhash.xxh64_intdigest(run.encode(), 42) for run in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def roots(marks, most=3):
+    parent = list(range(len(marks)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    marks = np.array(marks, np.uint64)
+    for i in range(len(marks)):
+        for j in np.flatnonzero(np.bitwise_count(marks[i + 1 :] ^ marks[i]) <= most) + i + 1:
+            a, b = find(i), find(int(j))
+            parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(marks))]
+
+
+def grouping(labels):
+    first = {}
+    return [first.setdefault(x, i) for i, x in enumerate(labels)]
+
+
+def test_fingerprints(small, odd):
+    for df in (small["documents"].limit(40), odd):
+        for r in df.select("text").collect():
+            if len(r.text or "") < 20_000:
+                assert fingerprint(shingle_hashes(r.text)) % 2**64 == slow_mark(r.text)
+
+
+def test_spark_hashes_alike(spark, odd):
+    assert spark.sql("select xxhash64('a b c') h").first().h % 2**64 == shingle_hashes("A b\tc")[0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 17, 300, 3000])
+def test_index_connects_as_brute_force(n):
+    """Close marks, far ones and a few in chains, in several buckets."""
+    rng = random.Random(n)
+    centres = [rng.getrandbits(64) for _ in range(max(1, n // 40))]
+    marks = set()
+    while len(marks) < n:
+        mark = rng.choice(centres)
+        for _ in range(rng.randrange(9)):
+            mark ^= 1 << rng.randrange(64)
+        marks.add(mark)
+    marks = np.array(sorted(marks), np.uint64)
+    buckets = np.array([int(m) % 3 for m in marks])
+    order = np.lexsort((gray_rank(marks), buckets))
+    marks, buckets = marks[order], buckets[order]
+    got = GrayIndex(marks, buckets).components(3)
+    for b in range(3):
+        own = buckets == b
+        assert grouping(got[own].tolist()) == grouping(roots(marks[own]))
+
+
+def test_index_of_one_tight_group():
+    marks = np.array([x ^ (x >> 1) for x in range(1 << 13)], np.uint64)
+    a, b = _linked(marks, np.zeros(len(marks), int), 3)
+    assert len(a) == len(marks) - 1 and len(set(b.tolist())) == 1
+
+
+def test_every_split_keeps_close_marks_together():
+    rng = random.Random(1)
+    for _ in range(500):
+        mark = rng.getrandbits(64)
+        other = mark
+        for _ in range(3):
+            other ^= 1 << rng.randrange(64)
+        masks = [0]
+        for _ in range(5):
+            masks = [m for x in masks for m in split_masks(x) if (mark ^ other) & m % 2**64 == 0]
+            assert masks
+            masks = masks[:2]
+
+
+@pytest.mark.parametrize("bucket_rows", [50_000, 30])
+def test_as_brute_force(spark, small, odd, bucket_rows):
+    """Also where most buckets are dealt out anew, several times over."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    base = [rng.choice(words) for _ in range(400)]
+    copies = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(i % 7):
+            text[rng.randrange(400)] = rng.choice(words)
+        copies.append((1000 + i, " ".join(text)))
+    docs = small["documents"].select("doc_id", "text").union(spark.createDataFrame(copies, "doc_id long, text string"))
+    for df in (docs, odd.filter("doc_id IS NOT NULL")):
+        rows = sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect() if True) if df is docs else sorted(
+            {(r.doc_id, r.text or "") for r in df.collect()})
+        label = roots([fingerprint(shingle_hashes(t)) % 2**64 for _, t in rows])
+        want = {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+        got = near_duplicates(df, bucket_rows=bucket_rows).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+        assert len(got) == df.count()
+
+
+def test_no_pairs_within_a_group(spark):
+    marks = spark.range(1 << 12).selectExpr("id AS mark")
+    links = mark_links(marks)
+    assert links.count() <= 4 * (1 << 12)
+
+
+def test_long_chains(spark):
+    rng = random.Random(4)
+    names = rng.sample(range(10**6), 300)
+    links = spark.createDataFrame([(max(p), min(p)) for p in zip(names, names[1:])], "a long, b long")
+    got = connected(links).collect()
+    assert len(got) == 300 and len({r.root for r in got}) == 1
+    assert connected(links.limit(0)).count() == 0
+
+
+def test_one_of_each_stays(odd, nothing):
+    kept = first_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted({r.doc_id for r in kept.collect() if r.doc_id}) == [1, 4, 5, 6, 7, 8, 9, 11, 12, 13]
+    assert near_duplicates(nothing).count() == 0
