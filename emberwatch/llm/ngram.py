@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,8 +87,8 @@ def _mixed(hashes: np.ndarray, size: int, kind: np.uint64) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))) * kind | np.uint64(1)
 
 
-def keys_of(words: np.ndarray, kind: np.uint64) -> np.ndarray:
-    """The keys that runs of characters have in a table."""
+def keys_of(words: list[str], context: np.ndarray) -> np.ndarray:
+    """The keys that runs of characters have in a table, as runs or as histories."""
     out = np.empty(len(words), np.uint64)
     sizes = np.array([len(word) for word in words], np.int64)
     for size in np.unique(sizes).tolist():
@@ -99,10 +100,20 @@ def keys_of(words: np.ndarray, kind: np.uint64) -> np.ndarray:
             for back in range(size):
                 hashes += codes[:, size - 1 - back].astype(np.uint64) * power
                 power = np.uint64(int(power) * int(_STEP) % 2**64)
-        out[own] = _mixed(hashes, size, kind)
+        out[own] = np.where(
+            context[own], _mixed(hashes, size, _CONTEXT), _mixed(hashes, size, _GRAM)
+        )
     return out
 
 
+def _key(run: str, context: str) -> Column:
+    @F.pandas_udf("long")
+    def keys(runs: pd.Series, contexts: pd.Series) -> pd.Series:
+        return pd.Series(keys_of(runs.tolist(), contexts.to_numpy(bool)).view(np.int64))
+
+    return keys(run, context)
+
+
 # counts and probabilities
 
 
@@ -200,7 +211,10 @@ def sharded(model: DataFrame, shard_rows: int = SHARD_ROWS) -> list[DataFrame]:
     pair = F.when(F.col("context"), F.substring("run", -2, 2)).otherwise(
         F.substring(F.expr("left(run, length(run) - 1)"), -2, 2)
     )
-    tagged = stored(model.withColumn("pair", F.when(F.length(pair) == 2, pair)))
+    tagged = stored(
+        model.select("lang", F.when(F.length(pair) == 2, pair).alias("pair"),
+                     _key("run", "context").alias("key"), F.col("value").cast("float").alias("value"))
+    )
     sizes = tagged.groupBy("lang", "pair").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("lang").orderBy("pair")
     dealt = stored(
@@ -277,12 +291,11 @@ def load_shards(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Iterator[tupl
             pairs = dealt.filter(own & (F.col("shard") == shard)).select("pair")
             rows = tagged.filter(own)
             if last:
-                rows = rows.join(pairs, "pair", "left_semi").select("context", "run", "value").union(
-                    rows.filter("pair IS NULL").select("context", "run", "value")
+                rows = rows.join(pairs, "pair", "left_semi").select("key", "value").union(
+                    rows.filter("pair IS NULL").select("key", "value")
                 )
-            got = rows.select("context", "run", "value").toPandas()
-            words, context = got["run"].to_numpy(object), got["context"].to_numpy(bool)
-            keys = np.where(context, keys_of(words, _CONTEXT), keys_of(words, _GRAM))
+            got = rows.select("key", "value").toArrow()
+            keys = got["key"].to_numpy().view(np.uint64)
             if not last:
                 mine = None
             elif shard:
@@ -290,7 +303,7 @@ def load_shards(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Iterator[tupl
             else:  # the first shard answers for all pairs that no other has, unknown ones too
                 others = dealt.filter(own & (F.col("shard") > 0)).select("pair")
                 mine = ({r.pair for r in others.collect()}, False)
-            yield ({lang: (keys, got["value"].to_numpy(np.float32))}, mine)
+            yield ({lang: (keys, got["value"].to_numpy())}, mine)
 
 
 def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -113,6 +113,10 @@ def _words(words: Sequence[str]) -> str:
     return rf"(?i)(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"
 
 
+#: How far each labeler is believed at first, before its reliability is known.
+TRUST = (1, 1, 3, 2, 2, 1)
+
+
 def labelers(match: Column, kind: Column, before: Column, after: Column) -> list[Column]:
     """Votes on one candidate: 1 personal, 0 not, -1 no opinion."""
 
@@ -157,6 +161,7 @@ def features(match: Column, kind: Column, before: Column, after: Column) -> list
         F.concat(F.lit("assigned "), near.rlike("[=:]").cast("string")),
         F.concat(F.lit("quoted "), near.rlike("[\"']$").cast("string"), after.rlike("^[\"']").cast("string")),
         F.concat(F.lit("owner "), before.rlike(_words(OWNERS)).cast("string")),
+        F.concat(F.lit("stranger "), before.rlike(_words(STRANGERS)).cast("string")),
     ]
 
 
@@ -225,8 +230,9 @@ def estimate(patterns: list[Row], n_labelers: int, rounds: int = 50) -> dict[tup
     counts = [(tuple(row["votes"]), row["n"]) for row in patterns]
 
     def start(votes: tuple[int, ...]) -> float:
-        said = [v for v in votes if v >= 0]
-        return (sum(said) + 0.5) / (len(said) + 1)
+        trust = TRUST[:n_labelers] if n_labelers <= len(TRUST) else [1] * n_labelers
+        said = [(v, t) for v, t in zip(votes, trust, strict=True) if v >= 0]
+        return (sum(v * t for v, t in said) + 0.5) / (sum(t for _, t in said) + 1)
 
     belief = {votes: start(votes) for votes, _ in counts}
     for _ in range(rounds):

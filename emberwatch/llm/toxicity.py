@@ -282,13 +282,18 @@ def fit(witnesses: list[str], bad: list[str], others: list[str], hard: list[str]
     kept = values > 1e-6 * values.max()
     project = vectors[:, kept] / np.sqrt(values[kept])
     groups = (bad, others, hard)
-    mapped = [features(words, columns) @ landmarks.T @ project for words in groups if words]
+    onto = landmarks.T @ project
+    mapped = [
+        features(words[i : i + 100], columns) @ onto
+        for words in groups
+        for i in range(0, len(words), 100)
+    ]
     sizes = [len(words) for words in groups]
     y = np.repeat([1.0, -1.0, -1.0], sizes)
     weight = np.repeat([1 / max(n, 1) for n in sizes], sizes)
     beta = fit_svm(np.concatenate(mapped), y, weight, 1e-4)
     weights = np.zeros(_CODES**3, np.float32)
-    weights[columns] = landmarks.T @ (project @ beta[:-1])
+    weights[columns] = onto @ beta[:-1]
     return Model(weights, float(beta[-1]), np.zeros(POOLED + 1))
 
 
