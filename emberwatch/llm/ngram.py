@@ -16,8 +16,9 @@ from emberwatch.session import stored
 
 #: Characters of the longest n-gram.
 ORDER = 5
-#: Entries of one shard of the model, which is what a broadcast and a worker hold at most.
-SHARD_ROWS = 1_000_000
+#: Entries of one shard of the model, which is what a broadcast (12 bytes each) and a worker (up
+#: to 60 bytes each) hold at most. Each further shard is a pass of its own, with its own workers.
+SHARD_ROWS = 4_000_000
 #: Places looked at together in a worker.
 PIECE = 500_000
 _PAD, _DIGIT = 2, 48
@@ -382,7 +383,9 @@ def quality_by_perplexity(
     own = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
-    model = kneser_ney(gram_counts(own.join(good.filter(~apart), "doc_id", "left_semi"), order), order)
+    # labels grow with the corpus: the same join at every size, without a broadcast of them
+    trusted = own.join(good.filter(~apart).hint("merge"), "doc_id", "left_semi")
+    model = kneser_ney(gram_counts(trusted, order), order)
     scored = stored(losses(own, model, order, shard_rows).withColumn("row", F.lit(1)))
     held = scored.join(good.filter(apart), "doc_id", "left_semi")
     limits = held.groupBy("lang").agg(F.percentile_approx("loss", quantile, 10_000).alias("limit"))
