@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime as dt
 import sys
-import uuid
 from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
@@ -23,7 +22,7 @@ import emberwatch as ew  # noqa: E402
 from emberwatch.plans import jobs  # noqa: E402
 from emberwatch.plans.rules import CHANGING  # noqa: E402
 from emberwatch.schemas import ACCESS_LOG, LOGIN_LOG, USER_LOG  # noqa: E402
-from emberwatch.session import ROCKSDB, shared_folder  # noqa: E402
+from emberwatch.session import ROCKSDB, scratch_folder  # noqa: E402
 
 try:
     import corpus_pipeline
@@ -55,6 +54,7 @@ RULES = [
 def _prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     local = spark.sparkContext.master.startswith("local")
     if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
@@ -94,7 +94,7 @@ def _naive(df: DataFrame) -> DataFrame:
 
 
 def _new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    return scratch_folder(spark)
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -115,7 +115,7 @@ def _drained(alerts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     ).awaitTermination()
     if keys:
         return _naive(ew.latest_alerts(spark, f"{folder}/alerts", keys))
-    return _naive(spark.read.parquet(f"{folder}/alerts").drop("batch"))
+    return _naive(ew.read_alerts(spark, f"{folder}/alerts"))
 
 
 # queries
@@ -129,7 +129,15 @@ def keyword_alert(spark: SparkSession, folder: str) -> DataFrame:
 def keyword_alert_stream(spark: SparkSession, folder: str) -> DataFrame:
     documents = ew.stream_table(_prepare(spark), folder, "documents")
     messages = documents.select("doc_id", F.col("text").cast("binary").alias("value"))
-    return _drained(ew.keyword_alert(messages).select("doc_id", F.length("value").alias("length")))
+    return _drained(
+        ew.keyword_alert(messages).select("doc_id", F.col("value").cast("string").alias("text"))
+    )
+
+
+def job_keyword(spark: SparkSession, folder: str) -> DataFrame:
+    documents = ew.read_table(_prepare(spark), folder, "documents")
+    found = jobs.keyword(documents.select(F.col("text").cast("binary").alias("value")), "thing")
+    return found.select(F.col("value").cast("string").alias("text"))
 
 
 def burst_alert(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,9 +239,10 @@ def parse_login_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Clicks with single quotes, signups cut short, all other properties as they are."""
+    """Clicks with single quotes, views with a key twice, signups cut short, others as they are."""
     value = (
         F.when(F.col("action") == "click", F.translate("props", '"', "'"))
+        .when(F.col("action") == "view", F.concat(F.lit('{"k": 0, '), F.substring("props", 2, 99)))
         .when(F.col("action") == "signup", F.rtrim("props", F.lit("}")))
         .otherwise(F.col("props"))
     )
@@ -327,7 +336,7 @@ def run_rules(spark: SparkSession, folder: str) -> DataFrame:
             keys = ["username", "window_start", "window_end"]
             alerts = ew.latest_alerts(spark, f"{path}/{rule.kind}", keys)
         else:
-            alerts = spark.read.parquet(f"{path}/{rule.kind}")
+            alerts = ew.read_alerts(spark, f"{path}/{rule.kind}")
         told.append(alerts.select(F.lit(rule.name).alias("rule"), F.col("username").cast("string")))
     return reduce(DataFrame.unionByName, told)
 
@@ -339,6 +348,7 @@ def queries() -> dict[str, Query]:
         for query in (
             keyword_alert,
             keyword_alert_stream,
+            job_keyword,
             burst_alert,
             burst_alert_stream,
             burst_alert_closed,
@@ -482,9 +492,8 @@ PAGED, PLAIN = (f"'{pattern}'" for _, pattern, _ in URL_PATTERNS)
 def oracle_sql() -> dict[str, str]:
     return (llm.SQL if llm else {}) | {
         "keyword_alert": "SELECT doc_id, text FROM documents WHERE contains(text, 'threat')",
-        "keyword_alert_stream": """
-            SELECT doc_id, length(text)::INTEGER AS length FROM documents
-            WHERE contains(text, 'threat')""",
+        "keyword_alert_stream": "SELECT doc_id, text FROM documents WHERE contains(text, 'threat')",
+        "job_keyword": "SELECT text FROM documents WHERE contains(text, 'thing')",
         "burst_alert": DAY_BURST,
         "burst_alert_stream": DAY_BURST,
         "burst_alert_closed": f"""
@@ -532,7 +541,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id AS "offset", user_id::VARCHAR AS username,
                    date_trunc('second', ts) AS timestamp, event_type AS login_action FROM events""",
         "parse_documents": """
-            SELECT event_id, props AS text, json_extract_string(props, '$.k')::BIGINT AS k
+            SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k,
+                   CASE WHEN event_type = 'view' THEN '{"k": 0, ' || substr(props, 2, 99)
+                        ELSE props END AS text
             FROM events WHERE event_type <> 'signup'""",
         "readable_time": f"SELECT event_id, {_clock('ts')} AS clock FROM events",
         "echo_events": f"""

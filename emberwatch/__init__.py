@@ -22,6 +22,8 @@ from emberwatch.streaming.runner import (
     alert_log,
     latest_alerts,
     notify_per_batch,
+    print_alerts,
+    read_alerts,
     run_alerts,
     run_with_retry,
 )
@@ -50,6 +52,8 @@ __all__ = [
     "notify_per_batch",
     "parse_documents",
     "parse_logs",
+    "print_alerts",
+    "read_alerts",
     "read_index",
     "read_table",
     "readable_time",

@@ -1,22 +1,52 @@
 """Run a job on a Kafka topic until it is interrupted."""
 
 import argparse
+import threading
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from emberwatch.functions.timeparts import event_time
-from emberwatch.operators.parse import parse_logs
 from emberwatch.plans.jobs import CHANGING, JOBS, STARTS, TOPICS
-from emberwatch.plans.rules import Rule, load_rules, run_rules
+from emberwatch.plans.rules import CHANGING as CHANGING_RULES
+from emberwatch.plans.rules import Rule, load_rules
 from emberwatch.schemas import ACCESS_LOG
 from emberwatch.session import build_session
 from emberwatch.sources.kafka import kafka_logs
 from emberwatch.streaming.index import index_logs
-from emberwatch.streaming.runner import notify_per_batch, run_alerts, run_with_retry
+from emberwatch.streaming.runner import (
+    alert_log,
+    notify_per_batch,
+    print_alerts,
+    run_alerts,
+    run_with_retry,
+)
+
+
+def deliver(
+    given: argparse.Namespace, alerts: DataFrame, name: str, changing: bool, notice: bool = False
+) -> StreamingQuery:
+    """Start one query with the sink that was asked for; each keeps every alert."""
+    own = quote(name, safe=" ")
+    checkpoint = given.checkpoint if given.job != "rules" else f"{given.checkpoint}/{own}"
+    settings = {
+        "mode": "update" if changing else "append",
+        "trigger": given.trigger,
+        "name": name,
+    }
+    if given.sink == "topic":
+        value = F.to_json(F.struct(*alerts.columns)).alias("value")
+        options = {"kafka.bootstrap.servers": given.servers, "topic": given.output}
+        return run_alerts(alerts.select(value), checkpoint, "kafka", **settings, **options)
+    if given.sink == "table":
+        table = given.output if given.job != "rules" else f"{given.output}/{own}"
+        return run_alerts(alerts, checkpoint, alert_log(table), **settings)
+    sink = notify_per_batch() if notice else print_alerts()
+    return run_alerts(alerts, checkpoint, sink, **settings)
 
 
 def starters(
@@ -26,22 +56,15 @@ def starters(
 
     def job() -> StreamingQuery:
         if given.job == "index":
-            return index_logs(read(), given.table, given.checkpoint, trigger=given.trigger)
-        return run_alerts(
-            JOBS[given.job](read()),
-            given.checkpoint,
-            sink=notify_per_batch() if given.job == "keyword" else "console",
-            mode="update" if given.job in CHANGING else "append",
-            trigger=given.trigger,
-            **({} if given.job == "keyword" else {"truncate": "false"}),
-        )
+            unit = given.unit or "auto"
+            return index_logs(read(), given.table, given.checkpoint, unit=unit, trigger=given.trigger)
+        alerts = JOBS[given.job](read())
+        return deliver(given, alerts, given.job, given.job in CHANGING, given.job == "keyword")
 
     def rule_query(rule: Rule) -> Callable[[], StreamingQuery]:
         def start() -> StreamingQuery:
-            messages = read()
-            if rule.kind != "keyword":
-                messages = event_time(parse_logs(messages, given.schema), unit=given.unit)
-            return run_rules(messages, [rule], given.checkpoint, trigger=given.trigger)[rule.name]
+            logs = rule.logs(read(), given.schema, given.unit or "s")
+            return deliver(given, rule.alerts(logs), rule.name, rule.kind in CHANGING_RULES)
 
         return start
 
@@ -64,15 +87,56 @@ def arguments(told: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--restarts", type=int, help="give up after so many errors; default: never")
     parser.add_argument("--table", help="for the job `index`: its folder")
     parser.add_argument("--rules", help="for the job `rules`: a JSON file")
-    parser.add_argument("--schema", default=ACCESS_LOG, help="for the job `rules`: of the messages")
-    parser.add_argument("--unit", default="s", help="for the job `rules`: of the time, s or ms")
+    parser.add_argument(
+        "--schema", default=ACCESS_LOG, help="for the job `rules`: of messages, if a rule has none"
+    )
+    parser.add_argument(
+        "--unit",
+        choices=["s", "ms", "auto"],
+        help="of the time: for `rules` s (default) or ms, for `index` also auto (default)",
+    )
+    parser.add_argument(
+        "--sink",
+        default="console",
+        choices=["console", "table", "topic"],
+        help="where alerts go; every one of them goes there",
+    )
+    parser.add_argument("--output", help="folder of the table, or name of the topic, of alerts")
     given = parser.parse_args(told)
     for job, needed in (("index", "table"), ("rules", "rules")):
         if given.job == job and not getattr(given, needed):
             parser.error(f"the job `{job}` needs --{needed}")
+    if given.sink != "console" and not given.output:
+        parser.error(f"the sink `{given.sink}` needs --output")
+    if given.job == "rules" and given.unit == "auto":
+        parser.error("the job `rules` needs the unit s or ms")
     return given
 
 
+def run_all(
+    starts: dict[str, Callable[[], StreamingQuery]],
+    stop_queries: Callable[[], None],
+    restarts: int | None = None,
+    pause: float = 5.0,
+) -> None:
+    """Keep all queries running until an interrupt, or until one gives up, which is raised."""
+    stop = threading.Event()
+    with ThreadPoolExecutor(len(starts)) as pool:
+        running = {
+            pool.submit(run_with_retry, start, pause, restarts, stop) for start in starts.values()
+        }
+        try:
+            while running:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                for each in done:
+                    each.result()
+        except KeyboardInterrupt:
+            pass
+        finally:
+            stop.set()
+            stop_queries()
+
+
 def main() -> None:
     given = arguments()
     spark = build_session(f"emberwatch {given.job}")
@@ -86,17 +150,11 @@ def main() -> None:
             max_per_trigger=given.max_per_trigger,
         )
 
-    starts = starters(given, read)
-    with ThreadPoolExecutor(len(starts)) as pool:
-        running = [
-            pool.submit(run_with_retry, start, restarts=given.restarts) for start in starts.values()
-        ]
-        try:
-            for each in running:
-                each.result()
-        finally:
-            for query in spark.streams.active:
-                query.stop()
+    def stop_queries() -> None:
+        for query in spark.streams.active:
+            query.stop()
+
+    run_all(starters(given, read), stop_queries, given.restarts)
     spark.stop()
 
 

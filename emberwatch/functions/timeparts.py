@@ -36,8 +36,13 @@ def event_time(df: DataFrame, column: str = "timestamp", unit: str = "s") -> Dat
 
 
 def readable_time(when: Column, zone: str = "Asia/Kathmandu", pattern: str = "HH:mm:ss") -> Column:
-    """Clock time of an instant in `zone`, whatever the session's zone is."""
-    local = F.convert_timezone(F.current_timezone(), F.lit(zone), when.cast("timestamp_ntz"))
+    """Clock time of an instant in `zone`, whatever the session's zone is.
+
+    The instant's own microseconds are used: the session's wall clock shows the hour that
+    the clocks go back twice.
+    """
+    utc = from_micros(F.unix_micros(when.cast("timestamp")), ntz=True)
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     return F.date_format(local, pattern)
 
 

@@ -39,7 +39,9 @@ def parse_documents(
 
     The message must be valid UTF-8. Single quotes are first made double quotes, which
     repairs `{'a': 1}` and breaks `{"a": "it's"}`; `text` is the repaired message. A
-    message that repeats a key inside one object counts as not parseable. Under the name
+    key repeated inside one object has its last value, if the session sets
+    `spark.sql.variant.allowDuplicateKeys` as `build_session` does; else the message counts
+    as not parseable. Under the name
     `observed`, a streaming query's progress tells how many `messages` came and how many
     `documents` they gave.
     """

@@ -24,15 +24,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
-from emberwatch.operators.balance import STRETCHES_PER_CHUNK, chunk_start, spread
-from emberwatch.session import shared_folder
+from emberwatch.operators.balance import STRETCHES_PER_CHUNK, spread
+from emberwatch.session import stored
 from emberwatch.streaming.buckets import BUCKETS, in_buckets, out_of_buckets
 from emberwatch.streaming.processors import FollowedBySpanProcessor
 
-# this many (user, chunk) keys, or fewer, are broadcast to leave out rows early
-MOST_BROADCAST = 200_000
-
-
 def followed_by_span(
     df: DataFrame,
     span: str = "60 seconds",
@@ -54,7 +50,8 @@ def followed_by_span(
     A stream is taken in that order inside a micro-batch and as it arrives across them;
     rows below the watermark are dropped, so `delay` should cover how late logs arrive;
     the state of the users is kept in so many `buckets`. On a table the chains of timers
-    are followed at once, by Spark jobs that keep their steps in the checkpoint folder.
+    are followed at once, by Spark jobs that keep their steps as tables in the checkpoint
+    folder until the driver ends.
     """
     ntz = is_ntz(df, time) and not df.isStreaming
     what = F.col(action)
@@ -119,23 +116,16 @@ def _since_access(in_order: WindowSpec, resets: Column) -> tuple[Column, Column]
     return total, base
 
 
-def _marked(rows: DataFrame, length: int, threshold: int, cancel: bool) -> DataFrame:
-    """What matters further on: (user, time, kind) and for a denial the one right before it.
+def _marked(rows: DataFrame, length: int, cancel: bool) -> DataFrame:
+    """Denials that are `sure` openers or `maybe` so: (user, time, kind), the one right before.
 
-    The kinds are denials that are `sure` openers or `maybe` so, and accesses that `may`
-    be alerts: timers aside, there are enough denials since the last access. With
-    `cancel`, only denials whose timer no access stops are marked.
+    With `cancel`, only denials whose timer no access stops are marked.
     """
     width = length * STRETCHES_PER_CHUNK
     near = spread(rows, F.col("_us"), before=length, after=length if cancel else 0, width=width)
     group = Window.partitionBy("_user", "at_chunk")
     in_order = group.orderBy("_us", "_order")
-    total, base = _since_access(in_order, ~F.col("_denied"))
-    marked = (
-        near.withColumn("_previous", F.lag(F.struct("_us", "_denied")).over(in_order))
-        .withColumn("_total", total)
-        .withColumn("_base", base)
-    )
+    marked = near.withColumn("_previous", F.lag(F.struct("_us", "_denied")).over(in_order))
     stopped = F.lit(False)
     if cancel:
         backwards = group.orderBy(F.desc("_us"), F.desc("_order")).rowsBetween(
@@ -147,8 +137,7 @@ def _marked(rows: DataFrame, length: int, threshold: int, cancel: bool) -> DataF
     previous = F.col("_previous")
     close = previous["_denied"] & (F.col("_us") - previous["_us"] <= length)
     kind = (
-        F.when(~F.col("_denied"), F.when(F.col("_total") - F.col("_base") >= threshold, "may"))
-        .when(stopped, None)
+        F.when(~F.col("_denied") | stopped, None)
         .when(previous.isNull() | ~close, "sure")
         .when(F.col("_us") > previous["_us"], "maybe")
     )
@@ -217,7 +206,7 @@ def _openers(nodes: DataFrame, length: int) -> DataFrame:
     before; the last is where no chain is longer. Any number of hops is a choice among
     the tables, so the openers are found by taking or leaving each of them in turn.
     """
-    hops = _hops(nodes, length).checkpoint()
+    hops = stored(_hops(nodes, length))
     known = hops.filter("_sure").select("_user", F.col("_from").alias("_us")).distinct()
     hops = hops.drop("_sure")
     while not hops.isEmpty():
@@ -228,20 +217,17 @@ def _openers(nodes: DataFrame, length: int) -> DataFrame:
             .select("l._user", F.explode(both).alias("_us"))
             .distinct()
         )
-        hops = (
+        hops = stored(
             hops.alias("l")
             .join(hops.alias("r"), _same("l._to", "r._from"))
             .select("l._user", "l._from", "r._to")
-            .checkpoint()
         )
     sure = nodes.filter(F.col("_kind") == "sure").select("_user", "_us")
     return sure.union(known).distinct()
 
 
-def _counted(
-    rows: DataFrame, openers: DataFrame, chunks: DataFrame | None, length: int, threshold: int
-) -> DataFrame:
-    """Accesses, only in `chunks` if given, whose denials since the last reset reach the threshold.
+def _counted(rows: DataFrame, openers: DataFrame, length: int, threshold: int) -> DataFrame:
+    """Accesses whose denials since the last reset reach the threshold.
 
     The denials that count lie within one span before the access, so the overlap of the
     chunks holds them, and the running count less its value at the last reset is theirs.
@@ -257,10 +243,6 @@ def _counted(
         timers.withColumn("_timer", F.lit(True))
     )
     near = spread(both, F.col("_us"), before=length, width=length * STRETCHES_PER_CHUNK)
-    if chunks is not None:
-        near = near.alias("l").join(
-            F.broadcast(chunks.alias("r")), _same("l.at_chunk", "r.at_chunk"), "left_semi"
-        )
     access = ~F.col("_timer") & ~F.col("_denied")
     in_order = Window.partitionBy("_user", "at_chunk").orderBy("_us", "_timer", "_order")
     total, base = _since_access(in_order, F.col("_timer") | access)
@@ -273,15 +255,7 @@ def _counted(
 
 
 def _on_table(rows: DataFrame, length: int, threshold: int, cancel: bool) -> DataFrame:
-    shared_folder(rows.sparkSession)
     # read twice, and parsing or scanning the logs is the dear part
-    rows = rows.checkpoint()
-    marked = _marked(rows, length, threshold, cancel).checkpoint()
-    nodes = marked.filter(F.col("_kind") != "may")
-    # mostly few users, and few chunks of theirs, come close to an alert
-    start = chunk_start(F.col("_us"), length * STRETCHES_PER_CHUNK).alias("at_chunk")
-    chunks = marked.filter(F.col("_kind") == "may").select("_user", start).distinct()
-    if chunks.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
-        return _counted(rows, _openers(nodes, length), None, length, threshold)
-    nodes = nodes.alias("l").join(F.broadcast(chunks.alias("r")), _same_user(), "left_semi")
-    return _counted(rows, _openers(nodes, length), chunks, length, threshold)
+    rows = stored(rows)
+    nodes = stored(_marked(rows, length, cancel))
+    return _counted(rows, _openers(nodes, length), length, threshold)

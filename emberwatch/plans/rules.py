@@ -5,12 +5,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from emberwatch.functions.timeparts import event_time
 from emberwatch.operators.keyword import keyword_alert
+from emberwatch.operators.parse import parse_logs
 from emberwatch.operators.sequences import followed_by_span
 from emberwatch.operators.spans import span_burst_alert
 from emberwatch.operators.windows import burst_alert, followed_by_window, sliding_burst_alert
@@ -31,21 +34,42 @@ CHANGING = {"burst", "sliding_burst", "followed_by_window"}
 
 @dataclass(frozen=True)
 class Rule:
+    """A kind of alert with its parameters, and how the messages it looks at are laid out.
+
+    `schema`, `unit` (of a time that is a number) and `mode` are needed only where the rule
+    is to read messages; `order` columns and the like belong into `params`.
+    """
+
     name: str
     kind: str
     params: dict[str, Any] = field(default_factory=dict)
+    schema: str | None = None
+    unit: str | None = None
+    mode: str = "permissive"
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
             kinds = ", ".join(sorted(KINDS))
             raise ValueError(f"rule {self.name!r}: {self.kind!r} is no kind; kinds are {kinds}")
 
+    def logs(self, messages: DataFrame, schema: str, unit: str = "s") -> DataFrame:
+        """What the rule looks at: parsed messages, with its own layout or the one given."""
+        if self.kind == "keyword":
+            return messages
+        time = self.params.get("time", "timestamp")
+        order = self.params.get("order")
+        keep = [order] if order in messages.columns else []
+        parsed = parse_logs(messages, self.schema or schema, mode=self.mode, keep=keep)
+        if parsed.schema[time].dataType.typeName() in ("long", "integer"):
+            return event_time(parsed, time, self.unit or unit)
+        return parsed
+
     def alerts(self, logs: DataFrame) -> DataFrame:
         return KINDS[self.kind](logs, **self.params)
 
 
 def load_rules(text: str) -> list[Rule]:
-    """Rules from JSON: a list of objects with `name`, `kind` and, if need be, `params`."""
+    """Rules from JSON: a list of objects with `name`, `kind` and, if need be, the others."""
     return list(_checked([Rule(**told) for told in json.loads(text)]))
 
 
@@ -79,7 +103,7 @@ def run_rules(
     return {
         rule.name: run_alerts(
             rule.alerts(logs),
-            f"{checkpoints}/{rule.name}",
+            f"{checkpoints}/{quote(rule.name, safe=' ')}",
             sink if isinstance(sink, str) else sink(rule),
             mode="update" if rule.kind in CHANGING else "append",
             trigger=trigger,

@@ -9,8 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberwatch.operators.parse import parse_documents
 
-# fixed value: the last epoch second of year 9999, the latest a timestamp should hold
-LAST_SECOND = 253402300799
+# fixed values: the epoch seconds a timestamp should hold, from year 1 to year 9999
+FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799
+
+# with the unit `auto`, larger numbers are milliseconds: as seconds they lie after year 5000,
+# as milliseconds from 1973 on
+LARGEST_SECONDS = 100_000_000_000
 
 ID = ["topic", "partition", "offset"]
 
@@ -18,8 +22,15 @@ ID = ["topic", "partition", "offset"]
 def _log_time(field: str, unit: str) -> Column:
     """A document's own time: an epoch number, else a time in text, else null."""
     number = F.try_variant_get("doc", f"$.{field}", "decimal(24,6)")
-    seconds = number / 1000 if unit == "ms" else number
-    return F.when(seconds.between(0, LAST_SECOND), F.timestamp_seconds(seconds)).when(
+    if unit not in ("s", "ms", "auto"):
+        raise ValueError(f"unit must be 's', 'ms' or 'auto', not {unit!r}")
+    thousandth = (number / 1000).cast("decimal(24,6)")
+    seconds = {
+        "s": number,
+        "ms": thousandth,
+        "auto": F.when(F.abs(number) > LARGEST_SECONDS, thousandth).otherwise(number),
+    }[unit]
+    return F.when(seconds.between(FIRST_SECOND, LAST_SECOND), F.timestamp_seconds(seconds)).when(
         number.isNull(), F.try_variant_get("doc", f"$.{field}", "timestamp")
     )
 
@@ -28,12 +39,13 @@ def documents(
     df: DataFrame,
     fields: Mapping[str, str],
     time_field: str = "timestamp",
-    unit: str = "s",
+    unit: str = "auto",
 ) -> DataFrame:
     """Rows of the index from records with `value` and the id columns.
 
     Besides the whole document, `fields` (name to type) become columns of their own, so
-    that a search on them reads only these columns and can skip row groups.
+    that a search on them reads only these columns and can skip row groups. `unit` is that
+    of a number in `time_field`: `s`, `ms`, or `auto` to tell by its size.
     """
     observed = "index" if df.isStreaming else None
     parsed = parse_documents(df, observed=observed)
@@ -76,7 +88,7 @@ def index_logs(
     checkpoint: str | None = None,
     fields: Mapping[str, str] | None = None,
     time_field: str = "timestamp",
-    unit: str = "s",
+    unit: str = "auto",
     load: str | None = None,
     trigger: str | None = None,
 ) -> StreamingQuery | None:

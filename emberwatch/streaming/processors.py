@@ -21,8 +21,6 @@ def _wake_at(us: int) -> int:
 
 LOG = ["at_who", "at_chunk", "at_us"]
 
-MANY = 1_000
-
 
 class SpanBurstProcessor(StatefulProcessor):
     """Keeps, for users and chunks of time, the log times whose span is open, with counts.
@@ -54,9 +52,8 @@ class SpanBurstProcessor(StatefulProcessor):
             self.due.update((_wake_at(us),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [frame.assign(n=1) for frame in rows]
         # a busy user's logs of one time are worth counting before they are kept
-        logs = pd.concat([_counted(f) if len(f) > MANY else f for f in frames])
+        logs = pd.concat([_counted(frame.assign(n=1)) for frame in rows])
         self.logs.appendList(_tuples(logs))
         self._wait_for(int(self._until(logs).min()))
         return iter([])
@@ -143,7 +140,9 @@ class FollowedBySpanProcessor(StatefulProcessor):
         return [us for _, us in left]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_us", "at_order"], kind="stable")
+        batch = pd.concat(list(rows)).sort_values(
+            ["at_us", "at_order"], kind="stable", na_position="first"
+        )
         counts, timers = self._load()
         latest = max((us for ends in timers.values() for us in ends), default=None)
         alerts = []

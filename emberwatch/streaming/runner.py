@@ -1,7 +1,7 @@
 """Start alerts as streaming queries, and keep them running."""
 
 import logging
-import time
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,20 +51,46 @@ def notify_per_batch(notify: Callable[[str], None] = print, text: str = "Alert f
     return sink
 
 
+def print_alerts(tell: Callable[[str], None] = print) -> BatchSink:
+    """A sink that tells every alert: its line if it has one, else the row as JSON.
+
+    Rows come to the driver one partition at a time.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        line = F.col("alert") if "alert" in batch.columns else F.to_json(F.struct(*batch.columns))
+        for row in batch.select(line.alias("line")).toLocalIterator():
+            tell(row.line)
+
+    return sink
+
+
 def alert_log(path: str) -> BatchSink:
-    """A sink that keeps each micro-batch in a folder of its own, replaced if replayed."""
+    """A sink that keeps each micro-batch in a folder of its own, replaced if replayed.
+
+    Folders are named by query and number, so further queries, and a query that starts over
+    with a new checkpoint, add to the same log. `sent` says when a micro-batch was written.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        told = batch.withColumn("sent", F.current_timestamp())
+        told.write.mode("overwrite").parquet(f"{path}/query={query or 'table'}/batch={number}")
 
     return sink
 
 
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """All alerts of an `alert_log`."""
+    return spark.read.parquet(path).drop("query", "batch", "sent")
+
+
 def latest_alerts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """From an `alert_log` written in update mode, the last value of every alert."""
     sent = spark.read.parquet(path)
-    values = [name for name in sent.columns if name not in (*keys, "batch")]
-    last = sent.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    values = [name for name in sent.columns if name not in (*keys, "query", "batch", "sent")]
+    order = F.struct("sent", "batch")
+    last = sent.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("last"))
     return last.select(*keys, "last.*")
 
 
@@ -72,28 +98,35 @@ def run_with_retry(
     start: Callable[[], StreamingQuery],
     pause: float = 5.0,
     restarts: int | None = None,
+    stop: threading.Event | None = None,
 ) -> int:
     """Run a query to its end, starting it again after an error; returns the restarts.
 
     `start` must use one checkpoint, so that each start goes on where the last one
     stopped. Without `restarts` it tries forever. An interrupt, or any other way out,
-    stops the query first.
+    stops the query first. Once `stop` is set, by another thread, nothing is started again;
+    it ends a pause at once.
     """
     done = 0
-    while True:
-        query = None
-        try:
-            query = start()
-            query.awaitTermination()
-            return done
-        except KeyboardInterrupt:
-            return done
-        except Exception as error:
-            if restarts is not None and done >= restarts:
-                raise
+    stop = stop or threading.Event()
+    try:
+        while not stop.is_set():
+            query = None
+            try:
+                query = start()
+                query.awaitTermination()
+                return done
+            except Exception as error:
+                if stop.is_set():
+                    return done
+                if restarts is not None and done >= restarts:
+                    raise
+                log.error("query failed, starting again in %s s: %s", pause, error)
+            finally:
+                if query is not None and query.isActive:
+                    query.stop()
             done += 1
-            log.error("query failed, starting again in %s s: %s", pause, error)
-            time.sleep(pause)
-        finally:
-            if query is not None and query.isActive:
-                query.stop()
+            stop.wait(pause)
+    except KeyboardInterrupt:
+        pass
+    return done

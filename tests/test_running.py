@@ -1,10 +1,15 @@
 import datetime as dt
 import json
+import os
+import signal
+import threading
+import time
 
 import pytest
 from conftest import BASE
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from emberwatch import (
     Rule,
@@ -13,6 +18,7 @@ from emberwatch import (
     burst_alert,
     event_time,
     file_logs,
+    format_alert,
     index_logs,
     kafka_logs,
     keyword_alert,
@@ -20,14 +26,16 @@ from emberwatch import (
     log_counts,
     notify_per_batch,
     parse_logs,
+    print_alerts,
+    read_alerts,
     read_index,
     run_alerts,
     run_rules,
     run_with_retry,
     search_logs,
 )
-from emberwatch.__main__ import arguments, starters
-from emberwatch.schemas import ENVELOPE, USER_LOG
+from emberwatch.__main__ import arguments, run_all, starters
+from emberwatch.schemas import ENVELOPE, LOGIN_LOG, USER_LOG
 
 
 def test_one_notice_per_batch_with_a_hit(feed, tmp_path):
@@ -48,7 +56,76 @@ def test_alert_log_keeps_the_last_value(spark, feed, tmp_path):
     query.awaitTermination(60)
     last = latest_alerts(spark, path, ["username", "window_start", "window_end"])
     assert [r["count"] for r in last.collect()] == [9]
-    assert spark.read.parquet(path).count() == 3
+    assert read_alerts(spark, path).count() == 3
+    # a query that starts over with a new checkpoint adds to the log
+    again = run_alerts(alerts, str(tmp_path / "d"), sink=alert_log(path), trigger="available")
+    again.awaitTermination(60)
+    assert read_alerts(spark, path).count() == 6
+    assert latest_alerts(spark, path, ["username", "window_start", "window_end"]).collect() == last.collect()
+    assert set(read_alerts(spark, path).columns) == set(last.columns)
+
+
+def test_every_alert_is_printed(feed, tmp_path):
+    """More than a console shows of a micro-batch, and cells longer than it shows."""
+    told = []
+    name = "n" * 60
+    source = feed([{"timestamp": BASE, "username": f"{name}{i // 3}"} for i in range(90)])
+    alerts = burst_alert(event_time(parse_logs(source, USER_LOG)))
+    run_alerts(alerts, str(tmp_path / "c"), print_alerts(told.append), trigger="available").awaitTermination(60)
+    assert {json.loads(line)["username"] for line in told} == {f"{name}{i}" for i in range(30)}
+    told.clear()
+    lines = alerts.withColumn("alert", format_alert(2, "10 minutes"))
+    run_alerts(lines, str(tmp_path / "d"), print_alerts(told.append), trigger="available").awaitTermination(60)
+    assert len(told) == 30 and all(line.startswith("Alert fired; user=n") for line in told)
+
+
+def test_interrupt_ends_a_pause():
+    """Other threads wait to start again when the main one is interrupted."""
+    began = time.monotonic()
+
+    def fails():
+        raise RuntimeError("no broker")
+
+    def interrupted():
+        time.sleep(0.3)
+        os.kill(os.getpid(), signal.SIGINT)
+        raise RuntimeError("no broker")
+
+    run_all({"a": fails, "b": interrupted}, lambda: None, pause=60)
+    assert time.monotonic() - began < 20
+
+
+def test_one_that_gives_up_is_told_at_once():
+    began = time.monotonic()
+    stopped = threading.Event()
+
+    class Running:
+        isActive = True
+
+        def awaitTermination(self):
+            stopped.wait(60)
+
+        def stop(self):
+            stopped.set()
+
+    with pytest.raises(ZeroDivisionError):
+        run_all({"runs": Running, "fails": lambda: 1 / 0}, stopped.set, restarts=0)
+    assert time.monotonic() - began < 20
+
+
+def test_times_of_any_unit_are_indexed(spark, tmp_path):
+    """Seconds, milliseconds, times before 1970 and text; a repeated key has its last value."""
+    values = [
+        '{"timestamp": 1718381400}', '{"timestamp": 1718381400123}', '{"timestamp": -86400}',
+        '{"timestamp": "2024-06-14T16:10:00Z"}', '{"timestamp": 1, "timestamp": 1718381400}',
+    ]
+    rows = [(v.encode(), "logs", 0, i, None) for i, v in enumerate(values)]
+    index_logs(spark.createDataFrame(rows, ENVELOPE), str(tmp_path / "index"))
+    index = read_index(spark, str(tmp_path / "index"))
+    times = {r.offset: r.us for r in index.select("offset", F.unix_micros("log_time").alias("us")).collect()}
+    base = BASE * 10**6
+    assert times == {0: base, 1: base + 123_000, 2: -86400 * 10**6, 3: base, 4: base}
+    assert search_logs(index, since=dt.datetime(2020, 1, 1)).count() == 4
 
 
 def records(*offsets, partition=0):
@@ -129,7 +206,8 @@ def test_index_times_of_all_kinds(spark, tmp_path):
     rows = {r.offset: r.log_time for r in read_index(spark, index).collect()}
     base = dt.datetime(2024, 6, 14, 16, 10)
     assert [rows[i] for i in range(3)] == [base, base + dt.timedelta(seconds=0.5), base]
-    assert len(rows) == 7 and [rows[i] for i in range(3, 7)] == [None] * 4
+    assert rows[4] == dt.datetime(1969, 12, 31, 23, 59, 55)  # before 1970, and not dropped
+    assert len(rows) == 7 and [rows[i] for i in (3, 5, 6)] == [None] * 3
 
 
 @pytest.mark.parametrize("zone", ["Asia/Kathmandu", "America/New_York"])
@@ -266,8 +344,42 @@ def test_command_line_jobs(feed, tmp_path, monkeypatch):
         else:
             values = [tuple(row[c] for c in columns) for row in got]
             assert values == [v if isinstance(v, tuple) else (v,) for v in expected]
-    with pytest.raises(SystemExit):
-        arguments(["index", "--servers", "x", "--checkpoint", "y"])
+    given = ["--servers", "x", "--checkpoint", "y"]
+    for wrong in (["index"], ["burst", "--sink", "table"], ["rules", "--rules", "r", "--unit", "auto"]):
+        with pytest.raises(SystemExit):
+            arguments([wrong[0], *given, *wrong[1:]])
+
+
+def test_rules_with_layouts_of_their_own(spark, feed, tmp_path):
+    """All kinds from one topic, whose messages have several layouts, into tables."""
+    second = [{"timestamp": BASE + s, "username": "a"} for s in range(6)]
+    rules = [
+        {"name": "many/of one", "kind": "burst"},
+        {"name": "slide", "kind": "sliding_burst"},
+        {"name": "word", "kind": "keyword", "params": {"word": "failed"}},
+        {"name": "login", "kind": "followed_by_window", "schema": LOGIN_LOG},
+        {"name": "span", "kind": "span_burst", "unit": "ms"},
+        {"name": "access", "kind": "followed_by_span", "unit": "ms", "params": {"threshold": 2}},
+    ]
+    file = tmp_path / "rules.json"
+    file.write_text(json.dumps(rules))
+    lines = second + [{"timestamp": 10**12, "username": "end"}]
+    lines += [{"timestamp": BASE + s, "username": "b", "login_action": "failed"} for s in range(5)]
+    lines += [{"timestamp": BASE + 9, "username": "b", "login_action": "success"}]
+    lines += [{"timestamp": BASE * 1000 + s, "username": "c", "action": "denied"} for s in range(3)]
+    lines += [{"timestamp": BASE * 1000 + 5, "username": "c", "action": "accessed"}]
+    source = feed(lines)
+    told = ["rules", "--servers", "x", "--checkpoint", str(tmp_path / "c"), "--rules", str(file)]
+    told += ["--sink", "table", "--output", str(tmp_path / "out"), "--trigger", "available"]
+    for start in starters(arguments(told), lambda: source).values():
+        assert run_with_retry(start, restarts=0) == 0
+    found = {p.name: read_alerts(spark, str(p)) for p in (tmp_path / "out").iterdir()}
+    assert set(found) == {"many%2Fof one", "slide", "word", "login", "span", "access"}
+    assert {r.username for r in found["many%2Fof one"].select("username").collect()} >= {"a", "b"}
+    assert [(r.username, r.failed_count) for r in found["login"].select("username", "failed_count").collect()] == [("b", 5)]
+    assert found["word"].count() == 5
+    assert [(r.username, r.denied_count) for r in found["access"].select("username", "denied_count").collect()] == [("c", 3)]
+    assert {r.username for r in found["span"].select("username").collect()} >= {"a", "b"}
 
 
 def test_wrong_rules():
@@ -277,6 +389,11 @@ def test_wrong_rules():
         run_rules(None, [RULES[0], RULES[0]], "nowhere")
 
 
+def test_a_table_does_not_start_at_the_latest_record(spark):
+    with pytest.raises(ValueError):
+        kafka_logs(spark, "localhost:1", start="latest", stream=False)
+
+
 def test_kafka_needs_its_package(spark):
     for streaming in (True, False):
         with pytest.raises(AnalysisException, match="kafka"):

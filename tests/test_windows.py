@@ -1,6 +1,8 @@
 import pytest
 from conftest import BASE, dropped
 
+from pyspark.sql import functions as F
+
 from emberwatch import (
     burst_alert,
     echo_events,
@@ -158,6 +160,11 @@ def test_readable_time_in_any_session_zone(spark):
         for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
             spark.conf.set("spark.sql.session.timeZone", zone)
             assert df.select(readable_time(df.timestamp)).first()[0] == "22:03:02"
+        # the hour that New York's clocks show twice on 2024-11-03
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        twice = [{"timestamp": 1730611800 + s, "username": "a"} for s in (0, 3600)]
+        told = event_time(table(spark, twice)).select(readable_time(F.col("timestamp")).alias("at"))
+        assert sorted(r.at for r in told.collect()) == ["11:15:00", "12:15:00"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
