@@ -1,6 +1,7 @@
 """Run a job on a Kafka topic until it is interrupted."""
 
 import argparse
+import json
 import threading
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from emberwatch.operators.parse import normalize_logs
 from emberwatch.plans.jobs import CHANGING, JOBS, STARTS, TOPICS
 from emberwatch.plans.rules import CHANGING as CHANGING_RULES
 from emberwatch.plans.rules import Rule, load_rules
@@ -58,6 +60,12 @@ def starters(
         if given.job == "index":
             unit = given.unit or "auto"
             return index_logs(read(), given.table, given.checkpoint, unit=unit, trigger=given.trigger)
+        if given.job == "normalize":
+            told = json.loads(Path(given.patterns).read_text())
+            patterns = [(one["name"], one["pattern"], one["fields"]) for one in told]
+            fields = dict.fromkeys(name for _, _, names in patterns for name in names)
+            named = normalize_logs(read(), patterns).select("pattern", *fields)
+            return deliver(given, named, given.job, changing=False)
         alerts = JOBS[given.job](read())
         return deliver(given, alerts, given.job, given.job in CHANGING, given.job == "keyword")
 
@@ -75,7 +83,7 @@ def starters(
 
 def arguments(told: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="emberwatch", description=__doc__)
-    parser.add_argument("job", choices=[*JOBS, "index", "rules"])
+    parser.add_argument("job", choices=[*JOBS, "index", "normalize", "rules"])
     parser.add_argument("--servers", required=True, help="Kafka bootstrap servers")
     parser.add_argument("--checkpoint", required=True, help="folder all executors can reach")
     parser.add_argument("--topic")
@@ -87,6 +95,10 @@ def arguments(told: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--restarts", type=int, help="give up after so many errors; default: never")
     parser.add_argument("--table", help="for the job `index`: its folder")
     parser.add_argument("--rules", help="for the job `rules`: a JSON file")
+    parser.add_argument(
+        "--patterns",
+        help="for the job `normalize`: a JSON file with a list of `name`, `pattern`, `fields`",
+    )
     parser.add_argument(
         "--schema", default=ACCESS_LOG, help="for the job `rules`: of messages, if a rule has none"
     )
@@ -103,7 +115,7 @@ def arguments(told: list[str] | None = None) -> argparse.Namespace:
     )
     parser.add_argument("--output", help="folder of the table, or name of the topic, of alerts")
     given = parser.parse_args(told)
-    for job, needed in (("index", "table"), ("rules", "rules")):
+    for job, needed in (("index", "table"), ("rules", "rules"), ("normalize", "patterns")):
         if given.job == job and not getattr(given, needed):
             parser.error(f"the job `{job}` needs --{needed}")
     if given.sink != "console" and not given.output:

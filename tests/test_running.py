@@ -350,6 +350,21 @@ def test_command_line_jobs(feed, tmp_path, monkeypatch):
             arguments([wrong[0], *given, *wrong[1:]])
 
 
+def test_normalize_gives_messages(spark, feed, tmp_path):
+    file = tmp_path / "patterns.json"
+    file.write_text(json.dumps([
+        {"name": "login", "pattern": r"^(\w+) logged in from (\S+)", "fields": ["username", "host"]},
+        {"name": "plain", "pattern": r"^user=(\w+)", "fields": ["username"]},
+    ]))
+    source = feed(["ann logged in from h1", "nothing"], ["user=bob", "user=cy"])
+    told = ["normalize", "--servers", "x", "--checkpoint", str(tmp_path / "c"), "--patterns", str(file)]
+    told += ["--sink", "table", "--output", str(tmp_path / "out"), "--trigger", "available"]
+    [start] = starters(arguments(told), lambda: source).values()
+    assert run_with_retry(start, restarts=0) == 0
+    rows = sorted(map(tuple, read_alerts(spark, str(tmp_path / "out")).collect()))
+    assert rows == [("login", "ann", "h1"), ("plain", "bob", None), ("plain", "cy", None)]
+
+
 def test_rules_with_layouts_of_their_own(spark, feed, tmp_path):
     """All kinds from one topic, whose messages have several layouts, into tables."""
     second = [{"timestamp": BASE + s, "username": "a"} for s in range(6)]
