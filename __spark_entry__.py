@@ -43,7 +43,7 @@ URL_PATTERNS = [
 TENTH = (dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 11))
 RULES = [
     ew.Rule("busy day", "burst", {"window": "1 day", "threshold": 4}),
-    ew.Rule("busy span", "span_burst", {"span": "12 hours", "threshold": 3}),
+    ew.Rule("busy span", "span_burst", {"span": "12 hours", "threshold": 3, "delay": "0 seconds"}),
     ew.Rule("bad week", "followed_by_window", {"window": "7 days", "failures": 4, **LOGIN_WORDS}),
 ]
 
@@ -192,7 +192,8 @@ def span_burst_alert(spark: SparkSession, folder: str) -> DataFrame:
 
 def span_burst_stream(spark: SparkSession, folder: str) -> DataFrame:
     logs = _log_stream(spark, folder)
-    return _drained(ew.span_burst_alert(logs, "1 day", buckets=_buckets(spark)))
+    alerts = ew.span_burst_alert(logs, "1 day", delay="0 seconds", buckets=_buckets(spark))
+    return _drained(alerts)
 
 
 def job_span_burst(spark: SparkSession, folder: str) -> DataFrame:

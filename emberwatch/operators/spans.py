@@ -12,7 +12,7 @@ def span_burst_alert(
     df: DataFrame,
     span: str = "60 seconds",
     threshold: int = 2,
-    delay: str = "0 seconds",
+    delay: str = "1 minute",
     user: str = "username",
     time: str = "timestamp",
     buckets: int = BUCKETS,
@@ -21,7 +21,8 @@ def span_burst_alert(
 
     The opening log and others of the very same time do not count, and logs of one time
     open one span. On a stream a span is judged when the watermark passes its end; logs
-    below the watermark are dropped, so `delay` should cover how late logs arrive; the
+    below the watermark are dropped, so `delay` should cover how late logs arrive, and how
+    far the topic's partitions lie apart, for they have one watermark; the
     state of the users is kept in so many `buckets`.
     """
     ntz = is_ntz(df, time)
