@@ -35,6 +35,12 @@ _BESIDE = re.compile(
     r"alertdialog|form)(?=$|[\s_-])",
     re.I,
 )
+#: Of those, the words of what is never the article, also where it is made of article elements.
+_SHUT = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|related|recommend\w*|comments?|"
+    r"comment-?list|replies|reply|respond|disqus)(?=$|[\s_-])",
+    re.I,
+)
 _MAIN = frozenset(("article", "main"))
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -59,13 +65,14 @@ def page_lines(page: str) -> list[Line]:
 
     Elements that hold no article text, by their name or by the words of their class, id or
     role, are left out with all they contain; an article or main element in such a wrapper is
-    taken nevertheless, unless it lies in an opaque element.
+    taken nevertheless, unless it lies in an opaque or hidden element, in an aside, nav or footer,
+    or among comments, advertisements or related texts.
     """
     lines: list[Line] = []
     parts: list[str] = []
     linked = 0
-    open_tags: list[tuple[str, bool, bool, bool]] = []  # name, beside, main, link
-    beside = main = in_link = False
+    open_tags: list[tuple[str, bool, bool, bool, bool]] = []  # name, beside, main, link, shut
+    beside = main = in_link = shut = False
     at = 0
 
     def flush() -> None:
@@ -84,9 +91,9 @@ def page_lines(page: str) -> list[Line]:
                 linked += len(" ".join(text.split()))
 
     def refresh() -> None:
-        nonlocal beside, main, in_link
-        last = open_tags[-1] if open_tags else ("", False, False, False)
-        _, beside, main, in_link = last
+        nonlocal beside, main, in_link, shut
+        last = open_tags[-1] if open_tags else ("", False, False, False, False)
+        _, beside, main, in_link, shut = last
 
     while tag := _TAG.search(page, at):
         take(page[at : tag.start()])
@@ -120,17 +127,19 @@ def page_lines(page: str) -> list[Line]:
                 if open_tags[depth][0] in stop:
                     break
         marks = " ".join(x or y or z for x, y, z in _MARK.findall(tag[3])) if tag[3] else ""
-        off = name in _ASIDE or bool(marks and _BESIDE.search(marks)) or bool(
-            tag[3] and _HIDDEN.search(tag[3])
-        )
+        hidden = bool(tag[3] and _HIDDEN.search(tag[3]))
+        off = name in _ASIDE or bool(marks and _BESIDE.search(marks)) or hidden
         if name == "header" and main:  # an article's own head holds its title
             off = False
         inner = name in _MAIN and not (marks and _BESIDE.search(marks))
+        lifted = inner and not shut and (beside or not main)
+        closes = hidden or name in ("aside", "nav", "footer") or bool(marks and _SHUT.search(marks))
         open_tags.append((
             name,
-            (beside or off) and name not in ("html", "body") and not (inner and not main and not beside),
+            (beside or off) and name not in ("html", "body") and not lifted,
             main or inner,
             in_link or name == "a",
+            (shut or closes) and name not in ("html", "body") and not lifted,
         ))
         refresh()
     take(page[at:])

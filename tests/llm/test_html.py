@@ -28,6 +28,22 @@ def test_what_stands_beside_goes(around):
     assert main_text(page) == f"Tiétle {PARAGRAPH} Short. a <b> c {PARAGRAPH}"
 
 
+@pytest.mark.parametrize("inner", ["article", "main"])
+@pytest.mark.parametrize("wrapper", [
+    "form", "div class=widget", "div class='page header'", "div id=search", "div class=share",
+    "div class=alert", "div class=overlay", "div class=has-sidebar", "main><form",
+])
+def test_articles_in_wrappers_are_taken(wrapper, inner):
+    page = f"<body><{wrapper}><p>{PARAGRAPH} x<{inner}><h1>Title</h1><p>{PARAGRAPH}</{inner}>"
+    assert main_text(page) == f"Title {PARAGRAPH}"
+
+
+@pytest.mark.parametrize("wrapper", ["div class=comments", "aside", "div class=related", "div hidden", "svg"])
+def test_articles_that_are_none_stay_out(wrapper):
+    page = f"<main><p>{PARAGRAPH}</p></main><{wrapper}><article><p>{PARAGRAPH} x</article>"
+    assert main_text(page) == PARAGRAPH
+
+
 def test_surge_and_dive():
     assert main_ranges([0, 5, 0, 0, 0, 90, 3, 60, 0, 0, 0, 4], 3, 80) == [(5, 8)]
     assert main_ranges([0, 5, 0, 0], 3, 80) == [(1, 2)]
