@@ -172,25 +172,16 @@ def main_ranges(lengths: list[int], window: int, surge: int) -> list[tuple[int,
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks in page order with one space between; empty if there is none.
 
-    A line counts with its characters outside of links. Where a page marks its article with an
-    element, lines outside of it count nothing, all lines in it count, and any text is a surge;
-    every stretch is kept. Elsewhere the stretch with most text is the article.
+    A line counts with its characters outside of links; one in an article or main element counts
+    with all of them, and as a surge at least. Where there is such an element every stretch is
+    kept, elsewhere the one with most text.
     """
     lines = page_lines(page or "")
-    marked = any(line.main for line in lines)
-    if marked:
-        lengths = [len(line.text) if line.main else 0 for line in lines]
-        kept = main_ranges(lengths, window, 1)
-    else:
-        lengths = [line.length for line in lines]
-        kept = main_ranges(lengths, window, surge)
+    lengths = [max(surge, len(line.text)) if line.main else line.length for line in lines]
+    kept = main_ranges(lengths, window, surge)
+    if not any(line.main for line in lines):
         kept = sorted(kept, key=lambda r: (-sum(lengths[r[0] : r[1]]), r))[:1]
-    return " ".join(
-        line.text
-        for first, end in kept
-        for line, length in zip(lines[first:end], lengths[first:end], strict=True)
-        if length or not marked
-    )
+    return " ".join(line.text for first, end in kept for line in lines[first:end])
 
 
 def extract_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

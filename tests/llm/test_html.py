@@ -44,6 +44,11 @@ def test_articles_that_are_none_stay_out(wrapper):
     assert main_text(page) == PARAGRAPH
 
 
+def test_the_body_after_a_teaser_in_an_article_element():
+    page = f"<article><h1>Title</h1><p>Lead.</article><div><p>{PARAGRAPH} 1<p>{PARAGRAPH} 2</div>"
+    assert main_text(page) == f"Title Lead. {PARAGRAPH} 1 {PARAGRAPH} 2"
+
+
 def test_surge_and_dive():
     assert main_ranges([0, 5, 0, 0, 0, 90, 3, 60, 0, 0, 0, 4], 3, 80) == [(5, 8)]
     assert main_ranges([0, 5, 0, 0], 3, 80) == [(1, 2)]
