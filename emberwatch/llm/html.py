@@ -173,14 +173,19 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The article's blocks in page order with one space between; empty if there is none.
 
     A line counts with its characters outside of links; one in an article or main element counts
-    with all of them, and as a surge at least. Where there is such an element every stretch is
-    kept, elsewhere the one with most text.
+    with all of them, and as a surge at least. Every stretch is kept; those which only lines of
+    links part are one with these lines, and the first begins with the short lines right before it.
     """
     lines = page_lines(page or "")
     lengths = [max(surge, len(line.text)) if line.main else line.length for line in lines]
-    kept = main_ranges(lengths, window, surge)
-    if not any(line.main for line in lines):
-        kept = sorted(kept, key=lambda r: (-sum(lengths[r[0] : r[1]]), r))[:1]
+    kept: list[tuple[int, int]] = []
+    for first, end in main_ranges(lengths, window, surge):
+        if not kept:
+            while first and lengths[first - 1] and lines[first - 1].main == lines[first].main:
+                first -= 1
+        elif not any(lengths[kept[-1][1] : first]):
+            first = kept.pop()[0]
+        kept.append((first, end))
     return " ".join(line.text for first, end in kept for line in lines[first:end])
 
 

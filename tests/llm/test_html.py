@@ -49,6 +49,16 @@ def test_the_body_after_a_teaser_in_an_article_element():
     assert main_text(page) == f"Title Lead. {PARAGRAPH} 1 {PARAGRAPH} 2"
 
 
+def test_no_part_of_an_article_goes():
+    """Lists of links in the middle, a part that stands apart, and short lines at the head."""
+    links = "".join(f"<li><a href=/{i}>Source {i}</a>" for i in range(4))
+    page = f"""<ul>{links}</ul><h1>Title</h1><p>By A. B.<p>Today<p>Lead.<p>{PARAGRAPH} 1<ul>{links}</ul>
+    <p>{PARAGRAPH} 2<p>{PARAGRAPH} 3<ul>{links}</ul><p>Short.<ul>{links}</ul><p>{PARAGRAPH} 4"""
+    told = " ".join(f"Source {i}" for i in range(4))
+    want = f"Title By A. B. Today Lead. {PARAGRAPH} 1 {told} {PARAGRAPH} 2 {PARAGRAPH} 3 {PARAGRAPH} 4"
+    assert main_text(page) == want
+
+
 def test_surge_and_dive():
     assert main_ranges([0, 5, 0, 0, 0, 90, 3, 60, 0, 0, 0, 4], 3, 80) == [(5, 8)]
     assert main_ranges([0, 5, 0, 0], 3, 80) == [(1, 2)]
