@@ -243,7 +243,7 @@ def parse_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Clicks with single quotes, views with a key twice, signups cut short, others as they are."""
     value = (
         F.when(F.col("action") == "click", F.translate("props", '"', "'"))
-        .when(F.col("action") == "view", F.concat(F.lit('{"k": 0, '), F.substring("props", 2, 99)))
+        .when(F.col("action") == "view", F.concat(F.lit('{"k": 0, '), F.expr("substring(props, 2)")))
         .when(F.col("action") == "signup", F.rtrim("props", F.lit("}")))
         .otherwise(F.col("props"))
     )

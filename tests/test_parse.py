@@ -1,6 +1,8 @@
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+import __spark_entry__ as spark_entry
 from emberwatch import as_envelope, keyword_alert, normalize_logs, parse_documents, parse_logs
 from emberwatch.functions.timeparts import micros
 from emberwatch.schemas import USER_LOG
@@ -87,3 +89,12 @@ def test_durations():
     for wrong in ("1 month", "ten minutes", "10", "", "5 minutes or so"):
         with pytest.raises(ValueError):
             micros(wrong)
+
+
+def test_long_properties_of_views_are_read_whole(spark, tmp_path):
+    props = '{"k": 7, "more": "' + "x" * 200 + '"}'
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(3)
+    events = events.withColumn("event_type", F.lit("view")).withColumn("props", F.lit(props))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    rows = spark_entry.parse_documents(spark, str(tmp_path)).collect()
+    assert [r.k for r in rows] == [7, 7, 7] and all("x" * 200 in r.text for r in rows)
