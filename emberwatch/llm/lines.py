@@ -61,14 +61,17 @@ def shared_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     )
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """All columns of `docs` with the kept text, and `n_lines`, `n_dropped`.
+def dedup_lines(
+    docs: DataFrame, least_chars: int = 20, least_docs: int = 3, counts: bool = True
+) -> DataFrame:
+    """All columns of `docs` with the kept text, and, with `counts`, `n_lines` and `n_dropped`.
 
     A null or empty text is one empty line. A line's key is the line without white space at
     both ends, A-Z in lower case; keys of at least `least_chars` code points that at least
     `least_docs` documents hold lose all their lines but those of the largest doc_id. A null
-    doc_id counts as a document below all others. Columns of `docs` named `n_lines` or
-    `n_dropped` are replaced. An empty table gives an empty table.
+    doc_id counts as a document below all others. With `counts`, columns of `docs` named
+    `n_lines` or `n_dropped` are replaced; without, they stay as they are. An empty table gives
+    an empty table.
     """
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
@@ -92,9 +95,10 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     drops = shared_lines(docs, least_chars, least_docs).withColumnRenamed("doc_id", "_drop_id")
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]), "left")
     kept = without(docs["text"], drops["drops"])
+    added = ["n_lines", "n_dropped"] if counts else []
     told = [kept["text"].alias("text") if c == "text" else docs[c] for c in docs.columns
-            if c not in ("n_lines", "n_dropped")]
-    return joined.select(*told, kept["n_lines"].alias("n_lines"), kept["n_dropped"].alias("n_dropped"))
+            if c not in added]
+    return joined.select(*told, *[kept[c].alias(c) for c in added])
 
 
 def op8_line_dedup(spark, folder: str) -> DataFrame:
