@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from emberwatch.llm.bpe import bpe_digests
 from emberwatch.llm.contamination import decontaminate
-from emberwatch.llm.jaccard import first_of_similar
 from emberwatch.llm.lines import dedup_lines
+from emberwatch.llm.simhash import first_of_each
 from emberwatch.llm.toxicity import without_toxic
 from emberwatch.session import stored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents with a score of 0.7 or more go; the labels beside the corpus train the scores."""
+    """Documents with a score of 0.7 or more go; the labels beside the corpus train the scores.
+
+    A null text is scored as an empty one.
+    """
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
     return without_toxic(docs, labels)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Lines that three documents or more share stay in one; `n_chars` follows the text."""
-    kept = dedup_lines(docs).select(*docs.columns)
+    """Lines that three documents or more share stay in one; `n_chars` follows the text.
+
+    A null text becomes an empty one. Other columns stay, whatever their names.
+    """
+    kept = dedup_lines(docs, counts=False)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept
@@ -30,13 +36,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of near copies the document with the smallest id stays.
 
-    Linked are texts whose runs of five words have a Jaccard similarity of 0.8 or more.
+    Linked are fingerprints of three-word shingles that differ in three bits of 64 or fewer; null
+    and empty texts are alike. Rows without a doc_id stay.
     """
-    return first_of_similar(docs)
+    return first_of_each(docs, size=3, most=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold ten words in a row of a benchmark text go."""
+    """Documents that hold ten words in a row of a benchmark text go; null texts have no words."""
     return decontaminate(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
