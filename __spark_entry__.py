@@ -543,7 +543,7 @@ def oracle_sql() -> dict[str, str]:
                    date_trunc('second', ts) AS timestamp, event_type AS login_action FROM events""",
         "parse_documents": """
             SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k,
-                   CASE WHEN event_type = 'view' THEN '{"k": 0, ' || substr(props, 2, 99)
+                   CASE WHEN event_type = 'view' THEN '{"k": 0, ' || substr(props, 2)
                         ELSE props END AS text
             FROM events WHERE event_type <> 'signup'""",
         "readable_time": f"SELECT event_id, {_clock('ts')} AS clock FROM events",
