@@ -44,4 +44,4 @@ def labels(spark):
 def small(spark):
     """The smallest corpus, with its labels, pages and benchmark."""
     folder = "/root/testdata/sf0.001"
-    return {t: spark.read.parquet(f"{folder}/{t}.parquet").cache() for t in ("documents", "labels", "pages", "benchmark")}
+    return {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels", "pages", "benchmark")}

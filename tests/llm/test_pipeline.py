@@ -77,3 +77,27 @@ def test_ids_are_the_librarys_and_run_gives_the_last_stage(spark, stages):
         want[i] = (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(told).hexdigest())
     assert {r[0]: tuple(r)[1:] for r in after.collect()} == want
     assert sorted(corpus_pipeline.run(spark, FOLDER).collect()) == sorted(after.collect())
+
+
+def test_a_users_own_counts_stay(spark):
+    rows = [(i, "a line that is shared by all of them\nown %d" % i, "mine", 7) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, n_dropped int")
+    kept = corpus_pipeline.line_dedup(spark, docs, FOLDER)
+    assert kept.dtypes == docs.dtypes
+    assert {(r.n_lines, r.n_dropped) for r in kept.collect()} == {("mine", 7)}
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line dedup", "near dedup", "decontamination"])
+def test_filtering_stages_take_odd_and_empty_tables(spark, odd, nothing, name):
+    """Nulls, empty and long texts, repeated rows and columns in the way: the same columns come out."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    kept = stage(spark, odd, FOLDER)
+    assert kept.dtypes == odd.dtypes
+    assert {r.doc_id for r in kept.collect()} <= {r.doc_id for r in odd.collect()}
+    gone = stage(spark, nothing, FOLDER)
+    assert gone.dtypes == odd.dtypes and gone.count() == 0
+
+
+def test_encoding_takes_odd_and_empty_tables(spark, odd, nothing):
+    assert corpus_pipeline.encoding(spark, odd, FOLDER).count() == odd.count()
+    assert corpus_pipeline.encoding(spark, nothing, FOLDER).count() == 0
