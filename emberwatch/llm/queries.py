@@ -11,6 +11,7 @@ from emberwatch.llm.contamination import OP5_SQL, op5_decontamination
 from emberwatch.llm.html import op4_html_extraction
 from emberwatch.llm.kdtree import op9_kd_sharding
 from emberwatch.llm.lines import OP8_SQL, op8_line_dedup
+from emberwatch.llm.merkle import OP11_SQL, op11_merkle_manifest
 from emberwatch.llm.ngram import op2_quality_classifier
 from emberwatch.llm.pii import op7_pii
 from emberwatch.llm.rules import OP1_SQL, op1_quality_rules
@@ -30,7 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_kd_sharding,
         op10_bpe,
+        op11_merkle_manifest,
     )
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL}
+SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op5_decontamination": OP5_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+}

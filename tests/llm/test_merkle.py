@@ -1,0 +1,163 @@
+import hashlib
+import zlib
+from collections import defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from emberwatch.llm.merkle import (
+    FIELDS, OP11_SQL, Block, address, addresses, block_of, build_manifest, fold, height_for, leaf_of,
+    op11_merkle_manifest, prove, size_of,
+)
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def levels_over(nodes):
+    found = [nodes]
+    while len(nodes) > 1:
+        nodes = [H(*nodes[i : i + 3]) for i in range(0, len(nodes), 3)]
+        found.append(nodes)
+    return found
+
+
+def way_of(levels, at):
+    """(before, after) of each level, from the leaves up."""
+    way = []
+    for nodes in levels[:-1]:
+        first = at - at % 3
+        way.append((nodes[first:at], nodes[at + 1 : first + 3]))
+        at //= 3
+    return way
+
+
+def climb(node, way):
+    for before, after in way:
+        node = H(*before, node, *after)
+    return node
+
+
+def brute(rows):
+    """Per row (key, tree, leaf): leaf, top, root, proof, in the order of the rows."""
+    trees = defaultdict(list)
+    for row in rows:
+        trees[row[1]].append(row)
+    names = sorted(trees, key=lambda n: (n is not None, (n or "").encode()))
+    grown = {}
+    for name in names:
+        trees[name].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+        grown[name] = levels_over([leaf for _, _, leaf in trees[name]])
+    over = levels_over([grown[name][-1][0] for name in names])
+    told = []
+    for i, name in enumerate(names):
+        for at, (key, _, leaf) in enumerate(trees[name]):
+            way = way_of(grown[name], at) + way_of(over, i)
+            told.append((key, leaf, grown[name][-1][0], "".join("".join(b + a) for b, a in way), way))
+    return told, (over[-1][0] if names else None)
+
+
+@pytest.mark.parametrize("height", range(1, 8))
+def test_each_node_has_an_address(height):
+    told = [a for level in addresses(height) for a in level]
+    assert sorted(told) == list(range(size_of(height)))
+    top = height // 2  # the upper half comes first, each lower subtree is a stretch of its own
+    assert all(address(height, d, i) < max(size_of(top), 1) for d in range(max(top, 1)) for i in range(3**d))
+    if top:
+        step = size_of(height - top)
+        for sub in range(3**top):
+            lower = [address(height, top + d, sub * 3**d + i) for d in range(height - top) for i in range(3**d)]
+            assert sorted(lower) == list(range(size_of(top) + sub * step, size_of(top) + (sub + 1) * step))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 26, 27, 28, 80])
+def test_a_block_as_brute_force(n):
+    leaves = [H(str(i)) for i in range(n)]
+    height = height_for(n)
+    nodes = block_of([leaf.encode() for leaf in leaves], height)
+    levels = levels_over(leaves)
+    assert nodes[:32].hex() == levels[-1][0] and len(nodes) <= 32 * size_of(height)
+    block = Block(nodes, height, n)
+    for i in range(n):
+        told = [(b.decode(), a.decode()) for b, a, _, _ in block.steps(i)]
+        assert told == [("".join(b), "".join(a)) for b, a in way_of(levels, i)]
+
+
+def test_a_short_block_below_others_is_hashed_to_the_full_height():
+    leaf = H("x")
+    nodes = block_of([leaf.encode()], 4)
+    assert nodes[:32].hex() == H(H(H(leaf)))
+    assert len(nodes) < 32 * 15  # what lies behind the last node is not stored
+
+
+@pytest.mark.parametrize("width", [3, 9, 6561])
+def test_manifest_as_brute_force(spark, width):
+    """Trees of many sizes, over several rounds of blocks, a hot one among them, repeated keys."""
+    rows = [(None if i % 97 == 0 else i // 2, ["hot", "hot", "é", None, f"t{i % 40}", "Z"][i % 6], H(str(i // 3)))
+            for i in range(700)]
+    df = spark.createDataFrame(rows, "key long, tree string, leaf string").repartition(7)
+    manifest = build_manifest(df, width)
+    want, root = brute(rows)
+    assert manifest.root == root
+    told = prove(manifest).collect()
+    got = sorted((str(r.key), r.leaf, r.top, r.proof) for r in told)
+    assert got == sorted((str(k), leaf, top, proof) for k, leaf, top, proof, _ in want)
+    assert all(r.folded == root and fold(r.leaf, r.proof, r.turns) == root for r in told)
+    assert len(manifest.trees) == (1 if width == 6561 else 5 if width == 3 else 3)
+
+
+def test_only_what_is_asked_and_a_changed_leaf_is_found(spark):
+    rows = [(i, "a" if i % 3 else "b", H(str(i)), H("changed") if i == 17 else None) for i in range(50)]
+    manifest = build_manifest(spark.createDataFrame(rows, "key long, tree string, leaf string, now string"), 9)
+    few = manifest.leaves.filter("key IN (16, 17, 18)")
+    told = {r.key: r for r in prove(manifest, few, claimed="now").collect()}
+    assert {k: r.folded == manifest.root for k, r in told.items()} == {16: True, 17: False, 18: True}
+    assert fold(H("changed"), told[17].proof, told[17].turns) == told[17].folded
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def test_leaves_of_odd_rows(spark, odd, nothing):
+    told = odd.select(*FIELDS, leaf_of(F.col(c) for c in FIELDS).alias("leaf")).collect()
+    for r in told:
+        assert r.leaf == H(*[field(r[c]) for c in FIELDS])
+    empty = nothing.select(F.col("doc_id").alias("key"), F.col("source").alias("tree"), leaf_of([F.col("text")]).alias("leaf"))
+    manifest = build_manifest(empty)
+    assert manifest.root is None and prove(manifest).count() == 0
+
+
+def test_query_of_odd_rows(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op11_merkle_manifest(spark, str(tmp_path)).collect()
+    rows = odd.select(*FIELDS).collect()
+    leaf = {id(r): H(*[field(r[c]) for c in FIELDS]) for r in rows}
+    want, root = brute([(r.doc_id, r.source, leaf[id(r)]) for r in rows])
+    other = {}
+    for r in rows:
+        text = r.text
+        if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 2 == 0 and text:
+            text = text.replace("\n", "")
+        other[leaf[id(r)]] = H(*[field(r[c]) for c in FIELDS[:-1]], field(text))
+    told = [(k, lf, top, root, H(proof), climb(other[lf], way), climb(other[lf], way) == root)
+            for k, lf, top, proof, way in want]
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, told))
+
+
+def test_an_empty_table(spark, nothing, tmp_path):
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    told = op11_merkle_manifest(spark, str(tmp_path))
+    assert told.count() == 0 and told.columns[:3] == ["doc_id", "leaf", "subroot"]
+
+
+def test_query_as_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    df = op11_merkle_manifest(spark, folder)
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = base.execute(OP11_SQL)
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())
