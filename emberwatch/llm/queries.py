@@ -12,9 +12,11 @@ from emberwatch.llm.html import op4_html_extraction
 from emberwatch.llm.kdtree import op9_kd_sharding
 from emberwatch.llm.lines import OP8_SQL, op8_line_dedup
 from emberwatch.llm.merkle import OP11_SQL, op11_merkle_manifest
+from emberwatch.llm.minhash import OP12_SQL, op12_minhash
 from emberwatch.llm.ngram import op2_quality_classifier
 from emberwatch.llm.pii import op7_pii
 from emberwatch.llm.rules import OP1_SQL, op1_quality_rules
+from emberwatch.llm.search import OP13_SQL, op13_ranked_search
 from emberwatch.llm.simhash import op3_simhash
 from emberwatch.llm.toxicity import op6_toxicity
 
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_kd_sharding,
         op10_bpe,
         op11_merkle_manifest,
+        op12_minhash,
+        op13_ranked_search,
     )
 }
 
@@ -40,4 +44,6 @@ SQL: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_minhash": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
