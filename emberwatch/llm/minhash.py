@@ -389,19 +389,23 @@ def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP12_SQL = r"""
-    WITH RECURSIVE words AS (
-        SELECT doc_id, regexp_extract_all(
+    WITH RECURSIVE rows AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[^\x20\x09-\x0D]+') AS w
         FROM documents
+    ), words AS (
+        SELECT r, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM rows
+    ), runs AS (
+        SELECT r, hash(t || coalesce(' ' || lead(t, 1) OVER later, '') || coalesce(' ' || lead(t, 2) OVER later, '')
+                         || coalesce(' ' || lead(t, 3) OVER later, '')) AS run
+        FROM words WINDOW later AS (PARTITION BY r ORDER BY i) QUALIFY i <= greatest(n - 3, 1)
     ), sets AS (
-        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [hash(array_to_string(w, ' '))]
-            ELSE list_distinct(list_transform(range(1, len(w) - 2),
-                               lambda i: hash(array_to_string(w[i : i + 3], ' ')))) END AS s
-        FROM words
+        SELECT r, list_sort(list(DISTINCT run)) AS s FROM runs GROUP BY r
+    ), docs AS (
+        SELECT r, doc_id, coalesce(s, []) AS s FROM rows LEFT JOIN sets USING (r)
     ), alike AS (
-        SELECT s, min(doc_id) AS first_id, len(s) AS n
-        FROM (SELECT doc_id, list_sort(s) AS s FROM sets) WHERE len(s) > 0 GROUP BY s
+        SELECT s, min(doc_id) AS first_id, len(s) AS n FROM docs WHERE len(s) > 0 GROUP BY s
     ), each AS (
         SELECT first_id, n, unnest(s) AS run FROM alike
     ), links AS (
@@ -421,5 +425,4 @@ OP12_SQL = r"""
     SELECT d.doc_id, len(d.s) AS n_shingles,
            CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE component_id END AS component_id,
            d.doc_id = (CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE component_id END) AS kept
-    FROM (SELECT doc_id, list_sort(s) AS s FROM sets) d
-    LEFT JOIN alike ON alike.s = d.s LEFT JOIN named ON named.a = alike.first_id"""
+    FROM docs d LEFT JOIN alike ON alike.s = d.s LEFT JOIN named ON named.a = alike.first_id"""
