@@ -21,9 +21,9 @@ HASHES, BATCH = 128, 32
 #: which is 2.7e-5 at 0.8.
 BANDS, LEAST = 20, 4
 #: Bands of the first pass, which already joins most groups.
-FIRST = 4
-#: Sets compared with each other in one go; larger buckets are cut into blocks.
-BLOCK = 4096
+FIRST = 2
+#: Sets compared with each other in one go, and shingles in them; larger buckets are cut into blocks.
+BLOCK, SHINGLES = 4096, 4_000_000
 #: Chance at which a pair at the threshold may be given up at each batch.
 MISS = 1e-6
 #: Shingle hashes taken at a time.
@@ -112,82 +112,104 @@ def cutoffs(least: float, miss: float = MISS) -> list[tuple[int, int]]:
     return told
 
 
-def candidates_of(
-    roots: np.ndarray, sizes: np.ndarray, sides: np.ndarray, signatures: np.ndarray,
-    needed: list[tuple[int, int]], percent: int, width: int,
-) -> tuple[list[int], list[int], bool]:
-    """Pairs (i, j), i < j, to be compared exactly, and whether some were put off.
-
-    Pairs of one root are linked already; with several sides only pairs of unlike sides count.
-    Of each row's survivors in one component, as it would be if all pairs held, the `width` most
-    alike are given; so a group of close copies gives few pairs for each row, not all of them.
-    """
-    first, second, more = [], [], False
-    across = sides[0] != sides[-1] or (sides != sides[0]).any()
-    group = np.unique(roots, return_inverse=True)[1]
-    for j in range(1, len(roots)):
-        near = (roots[:j] != roots[j]) & (
-            100 * np.minimum(sizes[:j], sizes[j]) >= percent * np.maximum(sizes[:j], sizes[j]))
-        if across:
-            near &= sides[:j] != sides[j]
-        left = np.flatnonzero(near)
+class Sets:
+    """The sets of a block with their signatures, in order of their nodes."""
+
+    def __init__(self, roots: np.ndarray, sides: np.ndarray, bands: np.ndarray, at: int,
+                 signatures: np.ndarray, sizes: np.ndarray, hashes: np.ndarray):
+        self.roots, self.sides, self.signatures = roots, sides, signatures
+        self.sizes, self.hashes, self.starts = sizes, hashes, np.r_[0, np.cumsum(sizes)]
+        # what two sets share in an earlier band was looked at there
+        self.earlier = bands[:, :at] if at > 0 else None
+
+    def near(self, j: int, labels: np.ndarray, needed: list[tuple[int, int]], percent: int) -> np.ndarray:
+        """Sets before `j` that are not linked with it and may be similar, the most alike first."""
+        open_ = (labels[:j] != labels[j]) & (
+            100 * np.minimum(self.sizes[:j], self.sizes[j]) >= percent * np.maximum(self.sizes[:j], self.sizes[j]))
+        if self.sides is not None:
+            open_ &= self.sides[:j] != self.sides[j]
+        left = np.flatnonzero(open_)
+        if self.earlier is not None and len(left):
+            left = left[~(self.earlier[left] == self.earlier[j]).any(axis=1)]
         matches, done = np.zeros(len(left), np.int64), 0
         for n, least in needed:
             if not len(left):
                 break
-            same = signatures[left, done:n] == signatures[j, done:n]
+            same = self.signatures[left, done:n] == self.signatures[j, done:n]
             matches, done = matches + np.count_nonzero(same, axis=1), n
             on = matches >= least
             left, matches = left[on], matches[on]
-        if not len(left):
-            continue
-        order = np.lexsort((left, -matches, group[left]))
-        left = left[order]
-        of = group[left]
-        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        place = np.arange(len(of)) - np.repeat(start, np.diff(np.r_[start, len(of)]))
-        taken = left[place < width]
-        more |= len(taken) < len(left)
-        first += taken.tolist()
-        second += [j] * len(taken)
-        group[np.isin(group, of) | (group == group[j])] = group[j]
-    return first, second, more
-
-
-_FOUND = "bucket long, a long, b long, more boolean"
-
-
-def search(placed: DataFrame, percent: int, miss: float, width: int) -> DataFrame:
-    """Candidates from rows (bucket, low, high, node, root, n, side, signature) by bucket and block."""
+        return left[np.argsort(-matches, kind="stable")]
+
+    def similar(self, j: int, among: np.ndarray, percent: int) -> np.ndarray:
+        """Of the sets `among` those with 100 * intersection >= `percent` * union, on the whole sets."""
+        own = self.hashes[self.starts[j] : self.starts[j + 1]]
+        parts = [self.hashes[self.starts[i] : self.starts[i + 1]] for i in among.tolist()]
+        every = np.concatenate(parts)
+        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        ends = np.r_[0, np.cumsum(self.sizes[among])]
+        shared = np.add.reduceat(own[place] == every, ends[:-1], dtype=np.int64)
+        return among[100 * shared >= percent * (len(own) + self.sizes[among] - shared)]
+
+
+#: Sets compared exactly at a time.
+AT_ONCE = 64
+
+
+def links_of(sets: Sets, needed: list[tuple[int, int]], percent: int) -> tuple[list[int], list[int]]:
+    """Links (i, j) that connect all sets which are similar: fewer than there are sets.
+
+    What links connect already is compared no more, so copies of one text cost one comparison each.
+    """
+    labels, first, second = np.unique(sets.roots, return_inverse=True)[1], [], []
+    for j in range(1, len(labels)):
+        left = sets.near(j, labels, needed, percent)
+        step = 1  # the most alike alone, for it mostly is similar, then more and more of the others
+        while len(left):
+            part, left = left[:step], left[step:]
+            for i in sets.similar(j, part, percent).tolist():
+                if labels[i] != labels[j]:
+                    first.append(i)
+                    second.append(j)
+                    labels[labels == labels[i]] = labels[j]
+            left = left[labels[left] != labels[j]]
+            step = min(4 * step, AT_ONCE)
+    return first, second
+
+
+def search(placed: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) from rows (bucket, low, high, node, root, side, band, bands, signature, hashes).
+
+    Rows of one (bucket, low, high) are a block, in which the links are searched.
+    """
     needed = cutoffs(percent / 100, miss)
+    keys = ["bucket", "low", "high"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(rows: pa.Table) -> pa.RecordBatch:
-            column = {name: rows[name].to_numpy() for name in ("node", "root", "n", "side")}
-            joined = b"".join(rows["signature"].to_pylist())
-            signatures = np.frombuffer(joined, np.uint8).reshape(-1, HASHES)
-            i, j, more = candidates_of(
-                column["root"], column["n"], column["side"], signatures, needed, percent, width)
-            node = column["node"]
-            arrays = [pa.array([rows["bucket"][0].as_py()] * len(i), pa.int64()),
-                      pa.array(node[i] if i else [], pa.int64()),
-                      pa.array(node[j] if j else [], pa.int64()),
-                      pa.array([more] * len(i), pa.bool_())]
-            return pa.RecordBatch.from_arrays(arrays, ["bucket", "a", "b", "more"])
-
-        held: list[pa.RecordBatch] = []  # the rows of a bucket that is not known to be whole
+            rows = rows.combine_chunks()
+            node, root, side = (rows[name].to_numpy() for name in ("node", "root", "side"))
+            hashes = rows["hashes"].combine_chunks()
+            bands_ = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(-1, HASHES)
+            sets = Sets(root, side if (side != side[0]).any() else None, bands_, rows["band"][0].as_py(),
+                        signatures, np.diff(hashes.offsets.to_numpy()).astype(np.int64),
+                        hashes.flatten().to_numpy().view(np.uint64))
+            i, j = links_of(sets, needed, percent)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(node[i] if i else [], pa.int64()), pa.array(node[j] if j else [], pa.int64())], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # the rows of a block that is not known to be whole
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.column_stack([batch.column(name).to_numpy() for name in ("bucket", "low", "high")])
-            if held and (held[-1].slice(held[-1].num_rows - 1).select(["bucket", "low", "high"])
-                         != batch.slice(0, 1).select(["bucket", "low", "high"])):
+            own = np.column_stack([batch.column(name).to_numpy() for name in keys])
+            if held and held[-1].slice(held[-1].num_rows - 1).select(keys) != batch.slice(0, 1).select(keys):
                 yield told(pa.Table.from_batches(held))
                 held = []
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            ends = [*cuts.tolist(), batch.num_rows]
+            cuts = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
             start = 0
-            for end in ends:
+            for end in [*cuts.tolist(), batch.num_rows]:
                 held.append(batch.slice(start, end - start))
                 if end < batch.num_rows:
                     yield told(pa.Table.from_batches(held))
@@ -196,32 +218,29 @@ def search(placed: DataFrame, percent: int, miss: float, width: int) -> DataFram
         if held:
             yield told(pa.Table.from_batches(held))
 
-    laid = placed.select("bucket", "low", "high", "node", "root", "n", "side", "signature")
-    laid = laid.repartition("bucket", "low", "high")
-    return laid.sortWithinPartitions("bucket", "low", "high", "node").mapInArrow(look, _FOUND)
+    laid = placed.select(*keys, "node", "root", "side", "band", "bands", "signature", "hashes")
+    return laid.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(look, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, block: int, every: bool) -> DataFrame:
-    """Rows (bucket, node, k, ...) placed into blocks of about `block` rows of their bucket.
+def in_blocks(rows: DataFrame, every: bool) -> DataFrame:
+    """Rows (bucket, node, first, parts, ...) placed into the blocks of their bucket.
 
-    A larger bucket is cut by a hash of the node. With `every`, each two blocks meet, so all pairs
-    do, in tasks of bounded size; else each block stays alone but for the bucket's first row,
-    which joins all of them: enough to find a group of copies of one text.
+    A bucket of several parts is cut by a hash of the node. With `every`, each two parts meet, so
+    all pairs do, in tasks of bounded size; else each part stays alone but for the bucket's first
+    row, which joins all of them: enough to find a group of copies of one text.
     """
-    half = max(block // 2, 1)
-    parts = F.when(F.col("k") > block, F.ceil(F.col("k") / half)).otherwise(F.lit(1)).cast("int")
-    rows = rows.withColumn("_parts", parts).withColumn(
-        "side", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("_parts") - 1)
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
     if every:
         met = rows.withColumn("_with", F.explode(others))
+        # two unlike parts meet once, without their own pairs, which are looked at in one place
         return met.withColumns({"low": F.least("side", "_with"), "high": F.greatest("side", "_with")})
     mine = F.when(F.col("node") == F.col("first"), others).otherwise(F.array("side"))
     alone = rows.withColumn("low", F.explode(mine)).withColumn("high", F.col("low"))
     return alone.withColumn("side", F.lit(0))
 
 
-# comparing sets
+# sets
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -239,15 +258,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return told.join(wanted, same).dropDuplicates(["node"]).select("node", "hashes")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (a, b) of `pairs` with 100 * intersection >= `percent` * union, on the whole sets."""
-    second = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b")), "b")
-    both = second.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a")), "a")
-    shared = F.size(F.array_intersect("_a", "_b")).cast("long")
-    every = F.size("_a") + F.size("_b") - shared
-    return both.filter(100 * shared >= percent * every).select("a", "b")
-
-
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     """(bucket, node): each set under its rarest shingles, as many as two similar sets must share.
 
@@ -266,78 +276,57 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
 
 class Linker:
-    """Finds links between sets, pass after pass; each pass leaves out what is linked already."""
+    """Finds links between sets, pass after pass; each pass leaves out what is linked already.
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int, miss: float, block: int):
-        self.nodes, self.sets = nodes, sets
-        self.percent, self.miss, self.block = percent, miss, block
+    `nodes` has (node, n, bands, signature, hashes).
+    """
+
+    def __init__(self, nodes: DataFrame, percent: int, miss: float, block: int):
+        self.nodes, self.percent, self.miss, self.block = nodes, percent, miss, block
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
-        self.checked: DataFrame | None = None
 
     def open(self, rows: DataFrame) -> DataFrame:
-        """Rows (bucket, node) with their root, in buckets that hold several roots, k rows each."""
+        """Rows (bucket, band, node) in buckets that hold several roots, with root and parts."""
         if self.roots is None:
             rows = rows.withColumn("root", F.col("node"))
         else:
             rows = rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = stored(rows.select("bucket", "node", "root"))
+        rows = stored(rows.join(self.nodes.select("node", "n"), "node"))
         told = rows.groupBy("bucket").agg(
-            F.count("*").alias("k"), F.min("node").alias("first"),
+            F.count("*").alias("_k"), F.sum("n").alias("_n"), F.min("node").alias("first"),
             F.min("root").alias("_low"), F.max("root").alias("_high"))
-        apart = told.filter("_low <> _high").select("bucket", "k", "first")
-        return stored(rows.join(apart, "bucket"))
-
-    def take(self, rows: DataFrame, width: int = 1, every: bool = False) -> DataFrame:
-        """One pass over opened rows; the buckets in which pairs were put off."""
-        placed = in_blocks(rows, self.block, every).join(self.nodes, "node")
-        found = stored(search(placed, self.percent, self.miss, width))
-        pairs = found.select("a", "b").distinct()
-        if self.checked is not None:
-            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        linked = stored(similar(pairs, self.sets, self.percent))
-        self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
-        self.links = linked if self.links is None else self.links.unionByName(linked)
-        if not linked.isEmpty():
+        parts = F.greatest(
+            F.when(F.col("_k") > self.block, F.ceil(F.col("_k") / max(self.block // 2, 1))).otherwise(1),
+            F.ceil(F.col("_n") / SHINGLES)).cast("int")
+        apart = told.filter("_low <> _high").select("bucket", "first", parts.alias("parts"))
+        return stored(rows.drop("n").join(apart, "bucket"))
+
+    def take(self, rows: DataFrame, every: bool = False) -> None:
+        """One pass over opened rows: all similar pairs in them are linked, over any number of links."""
+        if rows.isEmpty():
+            return
+        placed = in_blocks(rows, every).join(self.nodes, "node")
+        found = stored(search(placed, self.percent, self.miss).distinct())
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
             self.roots = stored(connected(self.links).select("node", "root"))
-        return stored(found.filter("more").select("bucket").distinct())
-
-    def settle(self, rows: DataFrame, every: bool = False) -> None:
-        """Passes until no pair is put off; each takes more pairs of a row than the one before."""
-        width = 1
-        while True:
-            opened = self.open(rows)
-            if opened.isEmpty():
-                return
-            put_off = self.take(opened, width, every)
-            if put_off.isEmpty():
-                return
-            rows = stored(rows.join(put_off, "bucket", "left_semi"))
-            width *= 4
 
     def run(self, rows: DataFrame) -> None:
         """`rows` are (band, bucket, node)."""
-        opened = self.open(rows.filter(F.col("band") < FIRST))
-        if not opened.isEmpty():
-            self.take(opened)
-        rows = rows.select("bucket", "node")
-        large = self.open(rows).filter(F.col("k") > self.block)
-        if not large.isEmpty():
-            # one pass by blocks joins groups of copies; what then is still apart in a large
-            # bucket is dealt out anew, by shingles that few sets have
-            self.take(large)
-            wide = large.select("bucket", "node")
-            rows = stored(rows.join(wide.select("bucket").distinct(), "bucket", "left_anti"))
-            again = self.open(wide)
-            if not again.isEmpty():
-                ids = again.select("node").distinct()
-                finer = stored(rare_shingles(self.sets.join(ids, "node", "left_semi"), self.percent))
-                opened = self.open(finer)
-                huge = opened.filter(F.col("k") > self.block).select("bucket").distinct()
-                self.settle(finer.join(huge, "bucket", "left_semi"), every=True)
-                self.settle(finer.join(huge, "bucket", "left_anti"))
-        self.settle(rows)
+        self.take(self.open(rows.filter(F.col("band") < FIRST)).filter("parts = 1"))
+        opened = self.open(rows)
+        self.take(opened)
+        # a large bucket was searched part by part, which joins groups of copies; if it still holds
+        # several roots, it is dealt out anew, by shingles that few sets have
+        large = opened.filter("parts > 1").select("bucket", "band", "node")
+        if large.isEmpty():
+            return
+        ids = self.open(large).select("node").distinct()
+        sets = self.nodes.select("node", "hashes").join(ids, "node", "left_semi")
+        finer = stored(rare_shingles(sets, self.percent).withColumn("band", F.lit(-1)))
+        self.take(self.open(finer).filter("parts = 1"))
+        self.take(self.open(finer).filter("parts > 1"), every=True)
 
 
 def near_duplicates(
@@ -348,8 +337,8 @@ def near_duplicates(
     A document's set is its distinct runs of `size` words (words are what ASCII white space parts,
     A-Z in lower case); with fewer words the whole is one run. Sets are linked with
     100 * intersection >= `percent` * union; candidates share a band of least hashes, are given up
-    where their signatures leave a chance below `miss`, and are confirmed on the whole sets. The
-    component's id is the smallest doc_id over any number of links. Null, empty and blank texts
+    where their signatures leave a chance below `miss`, and are confirmed on the whole sets, in
+    the tasks that hold them. The component's id is the smallest doc_id over any number of links. Null, empty and blank texts
     have no set and link nothing. A row without a doc_id links nothing; it has component null and
     is kept, unless a row with an id has the very same set. Rows repeated under one doc_id each
     give a row, by their own text. An empty table gives none.
@@ -363,12 +352,10 @@ def near_duplicates(
     banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     several = banded.groupBy("bucket").count().filter("count > 1").select("bucket")
     rows = stored(banded.join(several, "bucket", "left_semi").select("band", "bucket", "node"))
-    wanted = stored(
-        nodes.join(rows.select("node").distinct(), "node", "left_semi")
-        .select("node", "mark", "first_id", "n", "signature")
-    )
-    sets = stored(sets_of(docs, wanted.select("node", "mark", "first_id"), size))
-    linker = Linker(wanted.select("node", "n", "signature"), sets, percent, miss, block)
+    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi")
+    sets = sets_of(docs, stored(wanted.select("node", "mark", "first_id")), size)
+    held = nodes.select("node", "n", "bands", "signature").join(sets, "node")
+    linker = Linker(stored(held), percent, miss, block)
     linker.run(rows)
     placed = nodes.select("mark", "node", "first_id")
     if linker.roots is None:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberwatch.llm.minhash import (
-    BANDS, HASHES, LEAST, OP12_SQL, Linker, bands, candidates_of, chance_similar, cutoffs, least_hashes,
-    near_duplicates, op12_minhash, rare_shingles, search, shingle_set, signature,
+    BANDS, HASHES, LEAST, OP12_SQL, Linker, Sets, bands, chance_similar, cutoffs, in_blocks, least_hashes,
+    links_of, near_duplicates, op12_minhash, rare_shingles, search, shingle_set, signature,
 )
 
 from .test_simhash import UPPER
@@ -145,17 +146,61 @@ def test_signatures_tell_the_similarity():
     assert len(same) == BANDS and BANDS * LEAST <= HASHES
 
 
-def test_close_copies_give_few_pairs():
-    """A group of k copies gives a few pairs a row, and pairs of one root none."""
-    k = 300
-    sig = np.tile(np.arange(HASHES, dtype=np.uint8), (k, 1))
-    one, size = np.zeros(k, np.int64), np.full(k, 100)
-    i, j, more = candidates_of(np.arange(k), size, one, sig, cutoffs(0.8), 80, 1)
-    assert len(i) == k - 1 and more and sorted(j) == list(range(1, k))
-    assert candidates_of(one, size, one, sig, cutoffs(0.8), 80, 1) == ([], [], False)
-    sides = np.arange(k) % 2
-    i, j, _ = candidates_of(np.arange(k), size, sides, sig, cutoffs(0.8), 80, k)
-    assert len(i) == (k // 2) ** 2 and all(a % 2 != b % 2 for a, b in zip(i, j))
+def block_of(sets, sides=None, roots=None, bands_=None, at=0):
+    sets = [np.unique(np.array(x, np.uint64)) for x in sets]
+    k = len(sets)
+    return Sets(
+        np.arange(k) if roots is None else roots, sides, np.zeros((k, BANDS), np.int64) if bands_ is None else bands_, at,
+        np.array([list(signature(least_hashes(x))) for x in sets], np.uint8),
+        np.array([len(x) for x in sets]), np.concatenate(sets))
+
+
+def hashes_of(rng, n):
+    return [rng.getrandbits(64) for _ in range(n)]
+
+
+def test_close_copies_cost_one_comparison_each(monkeypatch):
+    rng = random.Random(1)
+    base = hashes_of(rng, 200)
+    block = block_of([base[:190] + hashes_of(rng, rng.randrange(5)) for _ in range(150)])
+    compared = []
+    whole = Sets.similar
+    monkeypatch.setattr(Sets, "similar", lambda self, j, among, p: compared.append(len(among)) or whole(self, j, among, p))
+    i, j = links_of(block, cutoffs(0.8), 80)
+    assert len(i) == 149 and sum(compared) < 2 * 150
+    linked = block_of([base] * 5, roots=np.zeros(5, int))
+    assert links_of(linked, cutoffs(0.8), 80) == ([], [])
+
+
+def test_links_connect_as_brute_force():
+    """Sets around the threshold; also of two sides, and with pairs that an earlier band had."""
+    rng = random.Random(4)
+    base = hashes_of(rng, 100)
+    sets = [set(rng.sample(base, rng.randrange(80, 101))) | set(hashes_of(rng, rng.randrange(12))) for _ in range(60)]
+    sides = np.array([rng.randrange(2) for _ in sets])
+    earlier = np.array([[rng.randrange(3)] + [0] * (BANDS - 1) for _ in sets])
+
+    def groups(may):
+        label = list(range(60))
+        for x in range(60):
+            for y in range(x):
+                both = len(sets[x] & sets[y])
+                if may(x, y) and 100 * both >= 80 * len(sets[x] | sets[y]):
+                    label = [label[y] if a == label[x] else a for a in label]
+        return {frozenset(k for k in range(60) if label[k] == a) for a in label}
+
+    def joined(i, j):
+        label = list(range(60))
+        for x, y in zip(i, j, strict=True):
+            assert 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+            label = [label[y] if a == label[x] else a for a in label]
+        return {frozenset(k for k in range(60) if label[k] == a) for a in label}
+
+    assert joined(*links_of(block_of(map(list, sets)), cutoffs(0.8), 80)) == groups(lambda x, y: True)
+    got = links_of(block_of(map(list, sets), sides=sides), cutoffs(0.8), 80)
+    assert joined(*got) == groups(lambda x, y: sides[x] != sides[y])
+    got = links_of(block_of(map(list, sets), bands_=earlier, at=1), cutoffs(0.8), 80)
+    assert joined(*got) == groups(lambda x, y: earlier[x][0] != earlier[y][0])
 
 
 def test_similar_sets_share_a_rare_shingle(spark):
@@ -180,14 +225,19 @@ def test_similar_sets_share_a_rare_shingle(spark):
                 assert held[x] & held[y]
 
 
-def test_groups_split_over_batches(spark):
-    """Buckets that end and go on at any row of a batch are taken whole."""
+KIND = ("bucket long, low int, high int, node long, root long, side int, band int, bands array<long>, "
+        "signature binary, hashes array<long>")
+
+
+def test_blocks_split_over_batches(spark):
+    """Blocks that end and go on at any row of a batch are taken whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        rows = [(b, 0, 0, b * 100 + n, b * 100 + n, 50, 0, bytes(range(HASHES))) for b in range(6) for n in range(b * 3 + 1)]
-        kind = "bucket long, low int, high int, node long, root long, n long, side int, signature binary"
-        got = search(spark.createDataFrame(rows, kind), 80, 1e-6, 1).groupBy("bucket").count().collect()
-        assert {r.bucket: r["count"] for r in got} == {b: b * 3 for b in range(1, 6)}
+        rows = [(b, 0, 0, b * 100 + n, b * 100 + n, 0, 0, [0] * BANDS, bytes(range(HASHES)), list(range(50)))
+                for b in range(6) for n in range(b * 3 + 1)]
+        got = search(spark.createDataFrame(rows, KIND), 80, 1e-6).collect()
+        assert Counter(r.a // 100 for r in got) == {b: b * 3 for b in range(1, 6)}
+        assert all(r.a // 100 == r.b // 100 for r in got)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -204,10 +254,19 @@ def test_query_as_sql(spark):
 
 def test_a_pass_leaves_out_what_is_linked(spark):
     """After the first pass the copies of one text are one root, so no bucket is open any more."""
-    nodes = spark.createDataFrame([(n, 50, bytes(range(HASHES))) for n in range(30)], "node long, n long, signature binary")
-    sets = nodes.select("node", F.sequence(F.lit(1).cast("long"), F.lit(50).cast("long")).alias("hashes"))
+    nodes = spark.createDataFrame(
+        [(n, 50, [0] * BANDS, bytes(range(HASHES)), list(range(50))) for n in range(30)],
+        "node long, n long, bands array<long>, signature binary, hashes array<long>")
     rows = nodes.select(F.lit(0).alias("band"), F.lit(5).cast("long").alias("bucket"), "node")
-    linker = Linker(nodes, sets, 80, 1e-6, 4096)
+    linker = Linker(nodes, 80, 1e-6, 4096)
     linker.run(rows)
-    assert linker.checked.count() == 29
-    assert linker.open(rows.select("bucket", "node")).isEmpty()
+    assert linker.links.count() == 29 and linker.open(rows).isEmpty()
+
+
+def test_parts_of_a_bucket_meet(spark):
+    rows = spark.range(100).selectExpr("1L AS bucket", "id AS node", "0L AS first", "4 AS parts")
+    met = in_blocks(rows, True).groupBy("low", "high").agg(F.collect_set("node").alias("nodes")).collect()
+    pairs = {frozenset((a, b)) for r in met for a in r.nodes for b in r.nodes if a < b}
+    assert len(pairs) == 100 * 99 // 2 and len(met) == 10
+    alone = in_blocks(rows, False).groupBy("low", "high").agg(F.collect_set("node").alias("nodes")).collect()
+    assert len(alone) == 4 and all(0 in r.nodes for r in alone) and sum(len(r.nodes) for r in alone) == 103
