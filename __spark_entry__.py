@@ -41,6 +41,7 @@ URL_PATTERNS = [
     ("plain", r"^https?://([^/]+)/(\w+)/(\d+)", ("host", "lang", "number")),
 ]
 TENTH = (dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 11))
+SEARCH = {"all_of": ["the"], "any_of": ["threat", "licen*"], "none_of": ["token"]}
 RULES = [
     ew.Rule("busy day", "burst", {"window": "1 day", "threshold": 4}),
     ew.Rule("busy span", "span_burst", {"span": "12 hours", "threshold": 3, "delay": "0 seconds"}),
@@ -118,6 +119,31 @@ def _drained(alerts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return _naive(ew.read_alerts(spark, f"{folder}/alerts"))
 
 
+def _arrival(day, number):
+    """Every seventh event comes one to five days late; what comes in six days is a micro-batch."""
+    return F.floor((F.unix_date(day.cast("date")) + F.when(number % 7 == 3, number % 5 + 1).otherwise(0)) / 6)
+
+
+def _in_turns(spark: SparkSession, folder: str, alerts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Alerts of a stream that gets the events as they arrive, stopped and restarted in between."""
+    path = _new_folder(_prepare(spark))
+    logs = _logs(spark, folder).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    logs = logs.withColumn("arrival", _arrival(F.col("timestamp"), F.col("event_id")))
+    logs.write.partitionBy("arrival").parquet(f"{path}/all")
+    every = spark.read.parquet(f"{path}/all")
+    for arrival in sorted(row.arrival for row in every.select("arrival").distinct().collect()):
+        every.filter(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(f"{path}/come")
+        come = spark.readStream.schema(every.drop("arrival").schema).parquet(f"{path}/come")
+        ew.run_alerts(
+            alerts_of(come),
+            f"{path}/checkpoint",
+            sink=ew.alert_log(f"{path}/alerts"),
+            mode="append",
+            trigger="available",
+        ).awaitTermination()
+    return _naive(ew.read_alerts(spark, f"{path}/alerts"))
+
+
 # queries
 
 
@@ -166,6 +192,12 @@ def sliding_burst_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _drained(alerts, ["username", "window_start", "window_end"])
 
 
+def closing_burst_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Every alert that is sent: at a window's close, and again for each late log."""
+    return _in_turns(spark, folder, lambda logs: ew.closing_burst_alert(
+        logs, "1 day", "6 hours", lateness="3 days", order="event_id", buckets=_buckets(spark)))
+
+
 def job_sliding_burst(spark: SparkSession, folder: str) -> DataFrame:
     messages = _messages(_logs(spark, folder), "s")
     return jobs.sliding_burst(messages, window="1 day", slide="6 hours")
@@ -196,6 +228,11 @@ def span_burst_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _drained(alerts)
 
 
+def late_span_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _in_turns(spark, folder, lambda logs: ew.span_burst_alert(
+        logs, "1 day", delay="0 seconds", late="taken", buckets=_buckets(spark)))
+
+
 def job_span_burst(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.span_burst(_messages(_logs(spark, folder)), span="1 day")
 
@@ -218,6 +255,12 @@ def followed_by_span_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _drained(alerts)
 
 
+def late_sequence_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _in_turns(spark, folder, lambda logs: ew.followed_by_span(
+        logs, "3 days", 2, delay="0 seconds", order="event_id", late="taken",
+        buckets=_buckets(spark), **ACCESS_WORDS))
+
+
 def job_access(spark: SparkSession, folder: str) -> DataFrame:
     messages = _messages(_logs(spark, folder))
     return _naive(jobs.access(messages, "offset", span="2 days", threshold=3, **ACCESS_WORDS))
@@ -251,6 +294,31 @@ def parse_documents(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("event_id", "text", F.try_variant_get("doc", "$.k", "long").alias("k"))
 
 
+def _broken(logs: DataFrame) -> DataFrame:
+    """Properties as messages, some of them broken in one way or another."""
+    value = (
+        F.when(F.col("action") == "click", F.translate("props", '"', "'"))
+        .when(F.col("action") == "view", F.concat("props", F.lit(" {}")))
+        .when(F.col("action") == "signup", F.concat(F.lit("""{"k": "it's", "p": """), "props", F.lit("}")))
+        .when(F.col("event_id") % 11 == 0, F.lit(None).cast("string"))
+        .when(F.col("event_id") % 11 == 1, F.rtrim("props", F.lit("}")))
+        .when(F.col("event_id") % 11 == 2, F.lit('{"k": NaN}'))
+        .otherwise(F.col("props"))
+    )
+    return logs.select(
+        value.cast("binary").alias("value"), F.lit("logs").alias("topic"), F.lit(0).alias("partition"),
+        F.col("event_id").alias("offset"),
+    )
+
+
+def index_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What an index does not take, with the reason, beside how many it takes."""
+    path = _new_folder(_prepare(spark))
+    ew.index_logs(_broken(_logs(spark, folder)), f"{path}/index", fields={"k": "string"}, rejects=f"{path}/rejects")
+    taken = ew.read_index(spark, f"{path}/index").select("offset", F.lit(None).cast("string").alias("reason"))
+    return taken.unionByName(spark.read.parquet(f"{path}/rejects").select("offset", "reason"))
+
+
 def readable_time(spark: SparkSession, folder: str) -> DataFrame:
     logs = _logs(spark, folder)
     return logs.select("event_id", ew.readable_time(F.col("timestamp")).alias("clock"))
@@ -315,9 +383,62 @@ def log_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _naive(ew.log_counts(found, "6 hours", ["action"]))
 
 
+def merged_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Six loads of the same dates, merged into one."""
+    path = f"{_new_folder(spark)}/index"
+    messages = _messages(_logs(spark, folder))
+    for part in range(6):
+        load = messages.filter(F.col("offset") % 6 == part)
+        ew.index_logs(load, path, fields={"action": "string"}, unit="ms", load=f"load-{part}")
+    ew.merge_loads(spark, path, fields=["action"])
+    columns = ["topic", "partition", "offset", "log_time", "action", "text", "log_date"]
+    merged = ew.read_index(spark, path).filter(F.col("load").startswith("merged-"))
+    return _naive(merged.select(*columns))
+
+
+def _lines(spark: SparkSession, folder: str) -> str:
+    """An index with terms of the documents as log lines, without what JSON would escape."""
+    documents = ew.read_table(_prepare(spark), folder, "documents")
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"""[\x00-\x1F\x7F"'\\]""", " ")
+    lines = documents.select("doc_id", clean.alias("line"))
+    path = f"{_new_folder(spark)}/index"
+    ew.index_logs(ew.as_envelope(lines, ["doc_id", "line"], offset="doc_id"), path, fields={}, terms=True)
+    return path
+
+
+def search_terms(spark: SparkSession, folder: str) -> DataFrame:
+    found = ew.search_terms(spark, _lines(spark, folder), **SEARCH)
+    return found.select("offset")
+
+
+def search_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    found = ew.search_terms(spark, _lines(spark, folder), phrase="of the", none_of=["threat"])
+    return found.select("offset")
+
+
+def ranked_logs(spark: SparkSession, folder: str) -> DataFrame:
+    found = ew.ranked_logs(spark, _lines(spark, folder), ["threat", "license", "thing"], most=50)
+    return found.select("offset", "score")
+
+
+def _whole_alerts(alerts: DataFrame) -> DataFrame:
+    """Alerts as JSON taken apart: who, from when, until when, and the counts."""
+    def field(*names):
+        return F.coalesce(*[F.get_json_object("alert", f"$.{name}") for name in names])
+
+    def time(*names):
+        return F.rtrim(field(*names), F.lit("Z")).cast("timestamp_ntz")
+
+    return alerts.select(
+        "rule", field("username").alias("username"),
+        F.date_trunc("millisecond", time("window_start", "span_start")).cast("timestamp_ntz").alias("since"),
+        F.date_trunc("millisecond", time("window_end", "span_end")).cast("timestamp_ntz").alias("until"),
+        *[field(name).cast("long").alias(name) for name in ("count", "failed_count", "success_count")],
+    )
+
+
 def apply_rules(spark: SparkSession, folder: str) -> DataFrame:
-    alerts = ew.apply_rules(_logs(spark, folder), RULES)
-    return alerts.select("rule", F.get_json_object("alert", "$.username").alias("username"))
+    return _whole_alerts(ew.apply_rules(_logs(spark, folder), RULES))
 
 
 def run_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -338,8 +459,27 @@ def run_rules(spark: SparkSession, folder: str) -> DataFrame:
             alerts = ew.latest_alerts(spark, f"{path}/{rule.kind}", keys)
         else:
             alerts = ew.read_alerts(spark, f"{path}/{rule.kind}")
-        told.append(alerts.select(F.lit(rule.name).alias("rule"), F.col("username").cast("string")))
-    return reduce(DataFrame.unionByName, told)
+        alert = F.to_json(F.struct(*alerts.columns)).alias("alert")
+        told.append(alerts.select(F.lit(rule.name).alias("rule"), alert))
+    return _whole_alerts(reduce(DataFrame.unionByName, told))
+
+
+def rule_set_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rules in one stream, which reads them from a folder."""
+    path = _new_folder(_prepare(spark))
+    lines = spark.createDataFrame([(rule.definition,) for rule in RULES], "value string")
+    lines.write.text(f"{path}/rules")
+    ew.run_rule_set(
+        _log_stream(spark, folder),
+        spark.readStream.text(f"{path}/rules"),
+        f"{path}/checkpoint",
+        sink=ew.alert_log(f"{path}/alerts"),
+        trigger="available",
+        order="event_id",
+        buckets=_buckets(spark),
+        retention="14 days",
+    ).awaitTermination()
+    return _whole_alerts(ew.read_alerts(spark, f"{path}/alerts"))
 
 
 def queries() -> dict[str, Query]:
@@ -356,21 +496,25 @@ def queries() -> dict[str, Query]:
             job_burst,
             sliding_burst_alert,
             sliding_burst_stream,
+            closing_burst_stream,
             job_sliding_burst,
             followed_by_window,
             followed_by_window_stream,
             job_login,
             span_burst_alert,
             span_burst_stream,
+            late_span_stream,
             job_span_burst,
             followed_by_span,
             followed_by_span_cancelled,
             followed_by_span_stream,
+            late_sequence_stream,
             job_access,
             parse_logs,
             parse_logs_strict,
             parse_login_logs,
             parse_documents,
+            index_rejects,
             readable_time,
             echo_events,
             normalize_logs,
@@ -380,8 +524,13 @@ def queries() -> dict[str, Query]:
             search_logs,
             search_fields,
             log_counts,
+            merged_index,
+            search_terms,
+            search_phrase,
+            ranked_logs,
             apply_rules,
             run_rules,
+            rule_set_stream,
         )
     }
 
@@ -425,12 +574,16 @@ def _spans(width: str, rows: str = "events") -> str:
               ) AS count FROM {rows})"""
 
 
-def _sequences(width: str, least: int, cancel: bool = False, rows: str = "events") -> str:
+def _sequences(
+    width: str, least: int, cancel: bool = False, rows: str = "events",
+    order: str = "ts, event_id", by: str = "ts",
+) -> str:
+    """`by`: the time up to which timers have ended before a row."""
     kept = "[]::TIMESTAMP[]" if cancel else "live"
     return f"""
         WITH RECURSIVE numbered AS (
-            SELECT user_id, ts, event_type = 'error' AS denied,
-                   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+            SELECT user_id, ts, event_type = 'error' AS denied, {by} AS until,
+                   row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rn
             FROM {rows} WHERE event_type IN ('error', 'purchase')
         ), walked AS (
             SELECT user_id, ts, rn, CASE WHEN denied THEN 1 ELSE 0 END AS n,
@@ -444,15 +597,65 @@ def _sequences(width: str, least: int, cancel: bool = False, rows: str = "events
                         ELSE live END,
                    CASE WHEN denied THEN 0 ELSE before END
             FROM (SELECT r.user_id, r.ts, r.rn, r.denied,
-                         CASE WHEN len(list_filter(w.timers, lambda t: t < r.ts)) > 0 THEN 0
+                         CASE WHEN len(list_filter(w.timers, lambda t: t < r.until)) > 0 THEN 0
                               ELSE w.n END AS before,
-                         list_filter(w.timers, lambda t: t >= r.ts) AS live
+                         list_filter(w.timers, lambda t: t >= r.until) AS live
                   FROM walked w JOIN numbered r ON r.user_id = w.user_id AND r.rn = w.rn + 1)
         )
         SELECT user_id AS username, ts AS accessed_at, hit::BIGINT AS denied_count
         FROM walked WHERE hit >= {least}"""
 
 
+# the events with their micro-batch, and the clock before it
+ARRIVED = f"""(
+    WITH placed AS (
+        SELECT *, floor((ts::DATE - DATE '1970-01-01' + CASE WHEN event_id % 7 = 3
+                         THEN event_id % 5 + 1 ELSE 0 END) / 6)::BIGINT AS k
+        FROM events
+    ), clocks AS (
+        SELECT k, max(max(date_trunc('millisecond', ts))) OVER (ORDER BY k) AS after
+        FROM placed GROUP BY k
+    )
+    SELECT placed.*, after, before FROM placed
+    JOIN (SELECT k, after, lag(after) OVER (ORDER BY k) AS before FROM clocks) USING (k))"""
+
+CLOSING = f"""
+    WITH counted AS (
+        SELECT user_id AS username, s AS window_start, s + INTERVAL 1 DAY AS window_end,
+               coalesce(s + INTERVAL 1 DAY <= before, FALSE) AS refired,
+               row_number() OVER (PARTITION BY user_id, s ORDER BY k, ts, event_id) AS count
+        FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, {EPOCH}) - i * INTERVAL 6 HOUR AS s
+              FROM {ARRIVED}, range(0, 4) AS steps(i))
+        WHERE before IS NULL OR s + INTERVAL 4 DAY > before
+    )
+    SELECT * FROM counted WHERE refired AND count > 2
+    UNION ALL
+    SELECT username, window_start, window_end, FALSE, max(count) FROM counted
+    WHERE NOT refired AND window_end <= (SELECT max(after) FROM {ARRIVED})
+    GROUP BY ALL HAVING max(count) > 2"""
+
+# a span is judged with the micro-batch of its log if it is over then, else after the first one
+# that moves the clock past its end; it holds the logs that have come and are not judged before
+LATE_SPANS = f"""
+    WITH judged AS (
+        SELECT user_id AS username, ts, 2 * k AS come,
+               CASE WHEN before >= ts + INTERVAL 1 DAY THEN 2 * k
+                    ELSE (SELECT 2 * min(c.k) + 1 FROM (SELECT DISTINCT k, after FROM {ARRIVED}) c
+                          WHERE c.k >= a.k AND c.after >= a.ts + INTERVAL 1 DAY) END AS judged
+        FROM {ARRIVED} a
+    )
+    SELECT s.username, s.ts AS span_start, s.ts + INTERVAL 1 DAY AS span_end, count(*) AS count
+    FROM (SELECT DISTINCT username, ts, judged FROM judged WHERE judged IS NOT NULL) s
+    JOIN judged l ON l.username = s.username AND l.ts > s.ts AND l.ts <= s.ts + INTERVAL 1 DAY
+                 AND l.come <= s.judged AND (l.judged IS NULL OR l.judged >= s.judged)
+    GROUP BY s.username, s.ts, s.judged HAVING count(*) > 2"""
+
+LATE_SEQUENCES = _sequences(
+    "3 DAY", 2, rows=ARRIVED, order="k, ts, event_id",
+    by="""CASE WHEN before > ts AND row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) = 1
+               THEN before ELSE ts END""")
+
+
 def _whole(unit: str) -> str:
     return f"""(SELECT event_id, date_trunc('{unit}', ts) AS ts, user_id::VARCHAR AS user_id,
                        event_type FROM events)"""
@@ -464,16 +667,25 @@ def _clock(ts: str) -> str:
 
 def _rules(closed: str = "") -> str:
     bad = f"{FAILED} >= 4 AND {SUCCESS} >= 1"
-    return f"""
-        SELECT 'busy day' AS rule, username::VARCHAR AS username
-        FROM ({_tumbling("1 DAY", "count(*) AS count", "count(*) > 4")})
-        UNION ALL
-        SELECT 'busy span', username::VARCHAR
-        FROM ({_spans("12 HOUR")}) WHERE count > 3 {closed}
-        UNION ALL
-        SELECT 'bad week', username::VARCHAR FROM ({_tumbling("7 DAY", BOTH, bad)})"""
 
+    def told(name: str, rows: str, start: str, end: str, counts: str) -> str:
+        return f"""
+        SELECT '{name}' AS rule, username::VARCHAR AS username,
+               date_trunc('millisecond', {start}) AS since, date_trunc('millisecond', {end}) AS until,
+               {counts}
+        FROM ({rows})"""
 
+    one = "count, NULL::BIGINT AS failed_count, NULL::BIGINT AS success_count"
+    two = "NULL::BIGINT AS count, failed_count, success_count"
+    day = _tumbling("1 DAY", "count(*) AS count", "count(*) > 4")
+    return " UNION ALL ".join([
+        told("busy day", day, "window_start", "window_end", one),
+        told("busy span", _spans("12 HOUR"), "span_start", "span_end", one) + f"WHERE count > 3 {closed}",
+        told("bad week", _tumbling("7 DAY", BOTH, bad), "window_start", "window_end", two),
+    ])
+
+
+CLOSED = "AND span_end <= (SELECT date_trunc('millisecond', max(ts)) FROM events)"
 DAY_BURST = _tumbling("1 DAY", "count(*) AS count", "count(*) > 2")
 FAILED = "count(*) FILTER (WHERE event_type = 'error')"
 SUCCESS = "count(*) FILTER (WHERE event_type = 'purchase')"
@@ -490,6 +702,31 @@ INDEX = f"""
 PAGED, PLAIN = (f"'{pattern}'" for _, pattern, _ in URL_PATTERNS)
 
 
+# the words of the documents as log lines
+LINES = r"""(
+    SELECT doc_id AS "offset", regexp_extract_all(lower('{"doc_id":' || doc_id || ',"line":"'
+           || regexp_replace(coalesce(text, ''), '[\x00-\x1F\x7F"''\\]', ' ', 'g') || '"}'), '[\p{L}\p{N}]+') AS w
+    FROM documents)"""
+
+RANKED = f"""
+    WITH lines AS (SELECT * FROM {LINES}), counts AS (
+        SELECT count(*) AS n, sum(len(w)) / count(*) AS average,
+               {", ".join(f"count(*) FILTER (list_contains(w, '{t}')) AS n{i}"
+                          for i, t in enumerate(("threat", "license", "thing")))}
+        FROM lines
+    ), often AS (
+        SELECT "offset", len(w) AS length,
+               {", ".join(f"len(list_filter(w, lambda t: t = '{t}')) AS f{i}"
+                          for i, t in enumerate(("threat", "license", "thing")))}
+        FROM lines
+    )
+    SELECT "offset", round({" + ".join(
+        f"ln(1 + (n - n{i} + 0.5) / (n{i} + 0.5)) * f{i} * 2.2::DOUBLE"
+        f" / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average))"
+        for i in range(3))}, 6) AS score
+    FROM often, counts WHERE f0 + f1 + f2 > 0 ORDER BY score DESC, "offset" LIMIT 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     return (llm.SQL if llm else {}) | {
         "keyword_alert": "SELECT doc_id, text FROM documents WHERE contains(text, 'threat')",
@@ -509,6 +746,7 @@ def oracle_sql() -> dict[str, str]:
             FROM ({DAY_BURST})""",
         "sliding_burst_alert": _sliding(),
         "sliding_burst_stream": _sliding(),
+        "closing_burst_stream": CLOSING,
         "job_sliding_burst": f"""
             SELECT username::VARCHAR AS username, {_clock("window_start")} AS start,
                    {_clock("window_end")} AS "end", count::INTEGER AS count FROM ({_sliding()})""",
@@ -521,6 +759,7 @@ def oracle_sql() -> dict[str, str]:
         "span_burst_stream": f"""
             SELECT * FROM ({_spans('1 DAY')}) WHERE count > 2
             AND span_end <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""",
+        "late_span_stream": LATE_SPANS,
         "job_span_burst": f"""
             SELECT username, {_clock("span_start")} AS start, {_clock("span_end")} AS "end",
                    count::INTEGER AS count
@@ -528,6 +767,7 @@ def oracle_sql() -> dict[str, str]:
         "followed_by_span": _sequences("3 DAY", 2),
         "followed_by_span_cancelled": _sequences("3 DAY", 2, cancel=True),
         "followed_by_span_stream": _sequences("3 DAY", 2),
+        "late_sequence_stream": LATE_SEQUENCES,
         "job_access": f"""
             SELECT *, 'ALERT: User ' || username || ' accessed after ' || denied_count
                       || ' denials' AS alert
@@ -546,6 +786,12 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN event_type = 'view' THEN '{"k": 0, ' || substr(props, 2)
                         ELSE props END AS text
             FROM events WHERE event_type <> 'signup'""",
+        "index_rejects": """
+            SELECT event_id AS "offset", CASE
+                WHEN event_type = 'click' THEN NULL WHEN event_type = 'view' THEN 'not JSON'
+                WHEN event_type = 'signup' THEN 'quotes' WHEN event_id % 11 = 0 THEN 'empty'
+                WHEN event_id % 11 = 1 THEN 'not JSON' END AS reason
+            FROM events""",
         "readable_time": f"SELECT event_id, {_clock('ts')} AS clock FROM events",
         "echo_events": f"""
             SELECT user_id AS username, ts AS timestamp,
@@ -583,8 +829,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT time_bucket(INTERVAL 6 HOUR, log_time, {EPOCH}) AS since, action,
                    count(*) AS count
             FROM ({INDEX}) WHERE log_time >= TIMESTAMP '2024-01-10' GROUP BY ALL""",
+        "merged_index": f"""
+            SELECT topic, partition, "offset", log_time, action, text, log_date FROM ({INDEX})""",
+        "search_terms": f"""
+            SELECT "offset" FROM {LINES} WHERE list_contains(w, 'the')
+            AND len(list_filter(w, lambda t: t = 'threat' OR starts_with(t, 'licen'))) > 0
+            AND NOT list_contains(w, 'token')""",
+        "search_phrase": f"""
+            SELECT "offset" FROM {LINES} WHERE NOT list_contains(w, 'threat')
+            AND contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')""",
+        "ranked_logs": RANKED,
         "apply_rules": _rules(),
-        "run_rules": _rules(
-            "AND span_end <= (SELECT date_trunc('millisecond', max(ts)) FROM events)"
-        ),
+        "run_rules": _rules(CLOSED),
+        "rule_set_stream": _rules(CLOSED),
     }

@@ -3,6 +3,9 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# words of a search: runs of letters and digits of any script
+TERM = r"[\p{L}\p{N}]+"
+
 # fixed value: how a window bound is written in an alert line
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -32,3 +35,8 @@ def format_denial_alert(user: str = "username", count: str = "denied_count") ->
     return F.format_string(
         "ALERT: User %s accessed after %d denials", F.col(user).cast("string"), F.col(count)
     )
+
+
+def terms_of(text: str | Column) -> Column:
+    """The words of a text in order, in lower case, as an array; null for a null."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))

@@ -75,3 +75,15 @@ def watermarked(df: DataFrame, column: str, delay: str) -> DataFrame:
     if not df.isStreaming:
         return df
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+
+
+def kept_for(late: str, retention: str) -> int:
+    """Microseconds the watermark stays behind the clock, so that late rows still come."""
+    if late not in ("dropped", "taken"):
+        raise ValueError(f"late must be 'dropped' or 'taken', not {late!r}")
+    return micros(retention) if late == "taken" else 0
+
+
+def behind_clock(df: DataFrame, column: str, delay: str, behind: int) -> DataFrame:
+    """A watermark `delay` and so many microseconds behind the greatest event time."""
+    return watermarked(df, column, f"{(micros(delay) + behind) // 1000} milliseconds")

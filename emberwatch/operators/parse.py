@@ -5,6 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # (name, regular expression, one field name per group)
 Pattern = tuple[str, str, Sequence[str]]
@@ -32,23 +33,59 @@ def parse_logs(
     return df.select(*keep, F.inline(F.array(parsed)))
 
 
+def _variant(text: Column) -> Column:
+    """The one JSON value that `text` is, else null.
+
+    The parser stops at the end of a value, whatever follows. So the value is taken from inside an
+    object, and must parse inside an array as well: text that goes on after its value does not
+    fit both. `NaN`, `Infinity` and `-Infinity` are numbers, as most writers of logs have it.
+    """
+    inside, listed = (F.concat(F.lit(a), text, F.lit(b)) for a, b in (('{"d":', "}"), ("[", "]")))
+    strict = F.when(F.try_parse_json(listed).isNotNull(), F.try_parse_json(inside))
+    odd = text.rlike(r"NaN|Infinity") & ~text.rlike(r"[:,\[]\s*(\+|-INF)")
+    kind = T.VariantType()
+    lenient = F.when(odd & F.from_json(listed, kind).isNotNull(), F.from_json(inside, kind))
+    return F.variant_get(F.coalesce(strict, lenient), "$.d", "variant")
+
+
+def read_documents(df: DataFrame, value: str = "value") -> DataFrame:
+    """Adds `text`, `doc` and `reason` to every message: the document, or why there is none.
+
+    Reasons are `empty` (no value, or nothing but white space), `not UTF-8`, `quotes` (it would
+    parse if its single quotes were left alone) and `not JSON`.
+    """
+    raw = F.try_validate_utf8(F.col(value).cast("string"))
+    repaired = df.withColumn("text", F.translate(raw, "'", '"'))
+    # by a generator, below which no filter is pushed: a message is parsed once
+    parsed = repaired.select("*", F.explode(F.array(_variant(F.col("text")))).alias("doc"))
+    blank = F.col(value).isNull() | (F.trim(F.coalesce("text", F.lit("x"))) == "")
+    reason = (
+        F.when(F.col("doc").isNotNull(), None)
+        .when(blank, "empty")
+        .when(F.col("text").isNull(), "not UTF-8")
+        .when(F.contains("text", F.lit('"')) & _variant(raw).isNotNull(), "quotes")
+        .otherwise("not JSON")
+    )
+    return parsed.withColumn("reason", reason)
+
+
 def parse_documents(
     df: DataFrame, value: str = "value", observed: str | None = None
 ) -> DataFrame:
     """Parse any JSON message into a variant column `doc`; messages that do not parse go.
 
-    The message must be valid UTF-8. Single quotes are first made double quotes, which
-    repairs `{'a': 1}` and breaks `{"a": "it's"}`; `text` is the repaired message. A
+    The message must be valid UTF-8 and one JSON value. Single quotes are first made double
+    quotes, which repairs `{'a': 1}` and breaks `{"a": "it's"}`; `text` is the repaired message. A
     key repeated inside one object has its last value, if the session sets
     `spark.sql.variant.allowDuplicateKeys` as `build_session` does; else the message counts
-    as not parseable. Under the name
+    as not parseable. `read_documents` tells why a message goes. Under the name
     `observed`, a streaming query's progress tells how many `messages` came and how many
     `documents` they gave.
     """
     text = F.try_validate_utf8(F.col(value).cast("string"))
     repaired = df.withColumn("text", F.translate(text, "'", '"'))
     # by a generator for the same reason as in parse_logs
-    parsed = F.explode(F.array(F.try_parse_json("text"))).alias("doc")
+    parsed = F.explode(F.array(_variant(F.col("text")))).alias("doc")
     documents = repaired.select("*", parsed)
     if observed:
         documents = documents.observe(

@@ -23,7 +23,14 @@ All ordered work is done in (user, chunk of time) groups with one span of overla
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
+from emberwatch.functions.timeparts import (
+    as_micros,
+    behind_clock,
+    from_micros,
+    is_ntz,
+    kept_for,
+    micros,
+)
 from emberwatch.operators.balance import STRETCHES_PER_CHUNK, spread
 from emberwatch.session import stored
 from emberwatch.streaming.buckets import BUCKETS, in_buckets, out_of_buckets
@@ -42,16 +49,20 @@ def followed_by_span(
     accessed: str = "accessed",
     order: str | None = None,
     buckets: int = BUCKETS,
+    late: str = "dropped",
+    retention: str = "7 days",
 ) -> DataFrame:
     """Accesses that follow at least `threshold` denials since the last reset.
 
     `order` names the column that orders a user's logs of one time, such as an offset;
     without it denials come before accesses. A table is taken in order of (time, order).
-    A stream is taken in that order inside a micro-batch and as it arrives across them;
-    rows below the watermark are dropped, so `delay` should cover how late logs arrive;
-    the state of the users is kept in so many `buckets`. On a table the chains of timers
-    are followed at once, by Spark jobs that keep their steps as tables in the checkpoint
-    folder until the driver ends.
+    A stream is taken in that order inside a micro-batch and as it arrives across them. Logs
+    below the clock, the greatest event time of earlier micro-batches less `delay`, are
+    `dropped`; or they are `taken` as they arrive, as long as they are not more than `retention`
+    below it: a late denial counts and a late access reads what is there, while timers that the
+    clock has passed have ended. The state of the users is kept in so many `buckets`. On a table
+    the chains of timers are followed at once, by Spark jobs that keep their steps as tables in
+    the checkpoint folder until the driver ends.
     """
     ntz = is_ntz(df, time) and not df.isStreaming
     what = F.col(action)
@@ -59,7 +70,8 @@ def followed_by_span(
     length = micros(span)
     if df.isStreaming:
         logs = df.select(user, time, what.alias("at_action"), rank.alias("at_order"))
-        logs = watermarked(logs, time, delay)
+        behind = kept_for(late, retention)
+        logs = behind_clock(logs, time, delay, behind)
         # other actions go by a generator: a filter would be pushed below the watermark,
         # which all logs are to move
         denial = F.when(F.col("at_action") == denied, F.array(F.lit(True))).when(
@@ -67,7 +79,7 @@ def followed_by_span(
         )
         found = _on_stream(
             logs.select(user, time, "at_order", F.explode(denial).alias("at_denied")),
-            FollowedBySpanProcessor(length, threshold, cancel_timers),
+            FollowedBySpanProcessor(length, threshold, cancel_timers, behind),
             user,
             time,
             buckets,

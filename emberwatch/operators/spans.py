@@ -3,7 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.timeparts import as_micros, from_micros, is_ntz, micros, watermarked
+from emberwatch.functions.timeparts import (
+    as_micros,
+    behind_clock,
+    from_micros,
+    is_ntz,
+    kept_for,
+    micros,
+)
 from emberwatch.operators.balance import STRETCHES_PER_CHUNK, running_balance, spread
 from emberwatch.streaming.buckets import BUCKETS, in_buckets, out_of_buckets
 from emberwatch.streaming.processors import SpanBurstProcessor
@@ -16,20 +23,26 @@ def span_burst_alert(
     user: str = "username",
     time: str = "timestamp",
     buckets: int = BUCKETS,
+    late: str = "dropped",
+    retention: str = "7 days",
 ) -> DataFrame:
     """Spans `(t, t + span]` after a user's log at t that hold more than `threshold` logs.
 
     The opening log and others of the very same time do not count, and logs of one time
-    open one span. On a stream a span is judged when the watermark passes its end; logs
-    below the watermark are dropped, so `delay` should cover how late logs arrive, and how
-    far the topic's partitions lie apart, for they have one watermark; the
-    state of the users is kept in so many `buckets`.
+    open one span. On a stream a span is judged when the clock, the greatest event time of
+    earlier micro-batches less `delay`, passes its end. Logs below the clock are `dropped`, so
+    `delay` should cover how late logs arrive, and how far the topic's partitions lie apart, for
+    they have one clock. Or they are `taken`, as long as they are not more than `retention` below
+    it: a late log counts in the spans that are still open, and its own span is judged at once if
+    it is over, with the logs whose spans are open. The state of the users is kept in so many
+    `buckets`.
     """
     ntz = is_ntz(df, time)
     logs = df.select(user, time)
     if df.isStreaming:
-        logs = watermarked(logs, time, delay)
-        found = _judged_on_stream(logs, span, threshold, user, time, buckets)
+        behind = kept_for(late, retention)
+        logs = behind_clock(logs, time, delay, behind)
+        found = _judged_on_stream(logs, span, threshold, user, time, buckets, behind)
     else:
         found = _judged_on_table(logs, span, threshold, user, time)
     return found.select(
@@ -61,7 +74,7 @@ def _judged_on_table(df: DataFrame, span: str, threshold: int, user: str, time:
 
 
 def _judged_on_stream(
-    df: DataFrame, span: str, threshold: int, user: str, time: str, buckets: int
+    df: DataFrame, span: str, threshold: int, user: str, time: str, buckets: int, behind: int
 ) -> DataFrame:
     """State is kept for (user, chunk of time) pairs, so that a user's backlog is spread.
 
@@ -75,7 +88,7 @@ def _judged_on_stream(
         in_buckets(near, user, buckets, "at_chunk")
         .groupBy("at_bucket")
         .transformWithStateInPandas(
-            SpanBurstProcessor(length, width, threshold),
+            SpanBurstProcessor(length, width, threshold, behind),
             outputStructType="at_who string, at_us long, count long",
             outputMode="append",
             timeMode="EventTime",

@@ -16,6 +16,8 @@ from emberwatch.functions.timeparts import (
     watermarked,
 )
 from emberwatch.operators.balance import running_balance
+from emberwatch.streaming.buckets import BUCKETS, in_buckets, out_of_buckets
+from emberwatch.streaming.processors import ClosingWindowProcessor
 
 
 def _flat(df: DataFrame, user: str, *counts: str) -> DataFrame:
@@ -66,6 +68,59 @@ def sliding_burst_alert(
     return _slid_on_table(logs, micros(window), micros(slide), threshold, user, time)
 
 
+def closing_burst_alert(
+    df: DataFrame,
+    window: str = "10 minutes",
+    slide: str = "1 minute",
+    threshold: int = 2,
+    delay: str = "0 seconds",
+    lateness: str = "7 days",
+    user: str = "username",
+    time: str = "timestamp",
+    order: str | None = None,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """Users with more than `threshold` logs in a sliding window, sent when the window closes.
+
+    On a stream a window closes when the clock, the greatest event time of earlier micro-batches
+    less `delay`, reaches its end; nothing is sent before. Each log that comes later sends each
+    closed window it lies in once more, with the count up to it and `refired` set, until the clock
+    is `lateness` past the window's end; from then on logs count in that window no more. Late logs
+    of one micro-batch are taken in order of (time, `order`). Counts are kept per user and pane of
+    time, in so many `buckets`. On a table all logs have come, so each window is sent once.
+    """
+    if not df.isStreaming:
+        alerts = sliding_burst_alert(df, window, slide, threshold, user=user, time=time)
+        return alerts.withColumn("refired", F.lit(False))
+    wide, step, late, wait = micros(window), micros(slide), micros(lateness), micros(delay)
+    if step > wide:
+        raise ValueError(f"slide {slide!r} is longer than window {window!r}")
+    if any(length % 1000 for length in (wide, step, late, wait)):
+        raise ValueError("window, slide, lateness and delay must be whole milliseconds")
+    # a log may come so late that all its windows are past their lateness: below that none counts
+    behind = late + wide
+    rank = F.col(order) if order else F.lit(0)
+    logs = watermarked(df.select(user, time, rank.alias("at_order")), time, f"{(behind + wait) // 1000} milliseconds")
+    logs = logs.filter(F.col(time).isNotNull()).withColumn("at_us", as_micros(logs, time))
+    found = (
+        in_buckets(logs, user, buckets)
+        .groupBy("at_bucket")
+        .transformWithStateInPandas(
+            ClosingWindowProcessor(wide, step, threshold, late, behind),
+            outputStructType="at_who string, at_us long, count long, refired boolean",
+            outputMode="append",
+            timeMode="EventTime",
+        )
+    )
+    return out_of_buckets(found, df, user).select(
+        user,
+        F.timestamp_micros("at_us").alias("window_start"),
+        F.timestamp_micros(F.col("at_us") + wide).alias("window_end"),
+        "count",
+        "refired",
+    )
+
+
 def _slid_on_table(
     df: DataFrame, window: int, slide: int, threshold: int, user: str, time: str
 ) -> DataFrame:

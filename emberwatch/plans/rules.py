@@ -17,6 +17,7 @@ from emberwatch.operators.parse import parse_logs
 from emberwatch.operators.sequences import followed_by_span
 from emberwatch.operators.spans import span_burst_alert
 from emberwatch.operators.windows import burst_alert, followed_by_window, sliding_burst_alert
+from emberwatch.streaming.machines import MACHINES, definition_of, machine_alerts, rule_set_alerts
 from emberwatch.streaming.runner import BatchSink, run_alerts
 
 KINDS: dict[str, Callable[..., DataFrame]] = {
@@ -48,8 +49,8 @@ class Rule:
     mode: str = "permissive"
 
     def __post_init__(self) -> None:
-        if self.kind not in KINDS:
-            kinds = ", ".join(sorted(KINDS))
+        if self.kind not in KINDS and self.kind not in MACHINES:
+            kinds = ", ".join(sorted({*KINDS, *MACHINES}))
             raise ValueError(f"rule {self.name!r}: {self.kind!r} is no kind; kinds are {kinds}")
 
     def logs(self, messages: DataFrame, schema: str, unit: str = "s") -> DataFrame:
@@ -65,7 +66,14 @@ class Rule:
         return parsed
 
     def alerts(self, logs: DataFrame) -> DataFrame:
-        return KINDS[self.kind](logs, **self.params)
+        if self.kind in KINDS:
+            return KINDS[self.kind](logs, **self.params)
+        return machine_alerts(logs, self.kind, self.params)
+
+    @property
+    def definition(self) -> str:
+        """The rule as a line of a stream of rules."""
+        return definition_of(self.name, self.kind, self.params)
 
 
 def load_rules(text: str) -> list[Rule]:
@@ -111,3 +119,27 @@ def run_rules(
         )
         for rule in _checked(rules)
     }
+
+
+def run_rule_set(
+    logs: DataFrame,
+    rules: Sequence[Rule] | DataFrame,
+    checkpoint: str,
+    sink: str | BatchSink = "console",
+    trigger: str | None = None,
+    **settings: Any,
+) -> StreamingQuery:
+    """All rules in one streaming query: one scan, one shuffle and one checkpoint for all of them.
+
+    `rules` is a fixed list, or a stream of definitions (`Rule.definition`, one a row in the column
+    `value`), with which rules come, change and, with a null kind, end while the query runs. Each
+    alert has the rule's name and version, the user and the alert as JSON. Rules that look at
+    messages (`keyword`) are stateless and run by `run_rules`.
+    """
+    if not isinstance(rules, DataFrame):
+        for rule in _checked(rules):
+            if rule.kind not in MACHINES:
+                raise ValueError(f"rule {rule.name!r}: kind {rule.kind!r} does not run in a set")
+        rules = [rule.definition for rule in rules]
+    alerts = rule_set_alerts(logs, rules, **settings)
+    return run_alerts(alerts, checkpoint, sink, mode="append", trigger=trigger, name="rule set")

@@ -1,22 +1,43 @@
-"""Keyed state for the alerts that look at every log's own time span.
-
-A key holds a bucket of users. Spark calls the methods by keyword, so their parameter names
-are fixed, and renames columns that start with an underscore, so the names here do not. The
-rows of a key in one micro-batch come as several frames of one call.
+"""Keyed state for the alerts that look at every log's own time span, and for windows that fire
+when they close.
+
+A key holds a bucket of users. Inside it state is a map with an entry per user or stretch of time,
+so a micro-batch reads and writes only the entries it touches, however many others there are.
+Spark calls the methods by keyword, so their parameter names are fixed, and renames columns that
+start with an underscore, so the names here do not. The rows of a key in one micro-batch come as
+several frames of one call.
+
+The clock is the event time up to which all is taken to have come. Spark drops rows below its
+watermark; where late rows are to be seen, the watermark stays `behind` the clock by as much as a
+row may be late.
 """
 
 from collections import defaultdict
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
+from math import gcd
 
 import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def _wake_at(us: int) -> int:
-    """The first timer millisecond that lies after `us`."""
-    return us // 1000 + 1
+def clock_of(timer_values, behind: int) -> int:
+    """Microseconds; far in the past as long as no row was seen."""
+    ms = timer_values.getCurrentWatermarkInMs()
+    return ms * 1000 + behind if ms > 0 else -(2**62)
+
+
+def wake_at(us: int, behind: int) -> int:
+    """The timer millisecond that fires as soon as the clock is at `us` or later.
+
+    A timer fires once the watermark is greater than its millisecond.
+    """
+    return -(-(us - behind) // 1000) - 1
+
+
+def _text(who: object) -> str | None:
+    return None if pd.isna(who) else who
 
 
 LOG = ["at_who", "at_chunk", "at_us"]
@@ -25,56 +46,124 @@ LOG = ["at_who", "at_chunk", "at_us"]
 class SpanBurstProcessor(StatefulProcessor):
     """Keeps, for users and chunks of time, the log times whose span is open, with counts.
 
-    Logs behind a chunk are kept for the spans of the chunk that hold them, but open no
-    span there. One timer waits for the earliest span to end; it then judges every span the
-    watermark has passed, drops those times and waits for the next one. No log at or below
-    the watermark can still arrive, so a judged count is final.
+    Logs behind a chunk are kept for the spans of the chunk that hold them, but open no span there.
+    A list per slot of time tells which groups have a span that ends in it, and one timer waits
+    for the earliest end; it judges every span the clock has passed and drops those times. Where
+    late rows are dropped, a judged count is final. Where they are taken, a late log's span is
+    judged at once, with the logs still kept.
     """
 
-    def __init__(self, span: int, width: int, threshold: int) -> None:
-        self.span = span
-        self.width = width
-        self.threshold = threshold
+    SLOTS = 16  # slots a span is divided into
+
+    def __init__(self, span: int, width: int, threshold: int, behind: int = 0) -> None:
+        self.span, self.width, self.threshold, self.behind = span, width, threshold, behind
+        self.slot = max(span // self.SLOTS, 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.logs = handle.getListState("logs", "who string, chunk long, us long, n long")
-        self.due = handle.getValueState("due", "ms long")
+        self.logs = handle.getMapState(
+            "logs", "who string, chunk long", "us array<long>, n array<long>, due long"
+        )
+        self.due = handle.getMapState("due", "slot long", "who array<string>, chunk array<long>")
+        # the first and last slot with a group in it, and when the timer is set for
+        self.waiting = handle.getValueState("waiting", "first long, last long, us long")
 
     def _until(self, logs: pd.DataFrame) -> pd.Series:
         """How long a log is needed: to the end of its span, or of all spans of the chunk."""
+        if self.behind:
+            return logs["at_us"] + self.span
         return np.minimum(logs["at_us"], logs["at_chunk"] + self.width) + self.span
 
-    def _wait_for(self, us: int) -> None:
-        waiting = self.due.get()
-        if waiting is None or _wake_at(us) < waiting[0]:
-            self.handle.registerTimer(_wake_at(us))
-            self.due.update((_wake_at(us),))
+    def _wait(self, groups: list[tuple[str | None, int, int]]) -> None:
+        """Enter groups (who, chunk, end of the next span) and set the timer for the first end."""
+        if not groups:
+            return
+        slots = defaultdict(list)
+        for who, chunk, us in groups:
+            slots[us // self.slot].append((who, chunk))
+        for slot, own in slots.items():
+            held = self.due.getValue((slot,))
+            whos, chunks = ([], []) if held is None else (list(held[0]), list(held[1]))
+            self.due.updateValue(
+                (slot,), (whos + [who for who, _ in own], chunks + [chunk for _, chunk in own])
+            )
+        held = self.waiting.get() if self.waiting.exists() else None
+        earliest = min(us for _, _, us in groups)
+        if held is None:
+            first, last, us = min(slots), max(slots), None
+        else:
+            first, last, us = min(*slots, held[0]), max(*slots, held[1]), held[2]
+        if us is None or earliest < us:
+            self.handle.registerTimer(wake_at(earliest, self.behind))
+            us = earliest
+        self.waiting.update((first, last, us))
+
+    def _add(self, logs: pd.DataFrame) -> None:
+        waits = []
+        logs = logs.assign(at_until=self._until(logs))
+        for (who, chunk), own in logs.groupby(["at_who", "at_chunk"], dropna=False, sort=False):
+            key = (_text(who), int(chunk))
+            held = self.logs.getValue(key)
+            us, n, due = ([], [], None) if held is None else (list(held[0]), list(held[1]), held[2])
+            ends = int(own["at_until"].min())
+            if due is None or ends < due:
+                waits.append((*key, ends))
+                due = ends
+            self.logs.updateValue(key, (us + own["at_us"].tolist(), n + own["n"].tolist(), due))
+        self._wait(waits)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # a busy user's logs of one time are worth counting before they are kept
-        logs = pd.concat([_counted(frame.assign(n=1)) for frame in rows])
-        self.logs.appendList(_tuples(logs))
-        self._wait_for(int(self._until(logs).min()))
-        return iter([])
+        self._add(_counted(pd.concat([_counted(frame.assign(n=1)) for frame in rows])))
+        yield from self._judge(clock_of(timerValues, self.behind))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        logs = _counted(pd.DataFrame(list(self.logs.get()), columns=[*LOG, "n"]))
+        yield from self._judge(clock_of(timerValues, self.behind))
+
+    def _judge(self, now: int) -> Iterator[pd.DataFrame]:
+        """Judge all spans that end at the clock or before it."""
+        held = self.waiting.get() if self.waiting.exists() else None
+        if held is None or held[2] > now:
+            return
+        first, last, _ = held
+        groups: dict[tuple[str | None, int], None] = {}
+        upto = min(now // self.slot, last)
+        for slot in range(first, upto + 1):
+            entries = self.due.getValue((slot,))
+            if entries is not None:
+                groups.update(dict.fromkeys(zip(*entries, strict=True)))
+                self.due.removeKey((slot,))
+        frames = []
+        for who, chunk in groups:
+            us, n, _ = self.logs.getValue((who, chunk)) or ([], [], 0)
+            frames += [(who, chunk, a, b) for a, b in zip(us, n, strict=True)]
+        # slots after the clock's may hold groups still
+        self.waiting.clear()
+        if upto < last:
+            self.waiting.update((upto + 1, last, 2**62))
+        logs = _counted(pd.DataFrame(frames, columns=[*LOG, "n"]).astype({"at_who": object}))
         until = self._until(logs)
-        done = until <= passed
+        done = until <= now
         alerts = self._held(logs, done & (logs["at_us"] < logs["at_chunk"] + self.width))
         if len(alerts):
             yield alerts
-        if done.any():
-            self.logs.clear()
-            if not done.all():
-                self.logs.put(_tuples(logs[~done]))
-        waiting = self.due.get()
-        if waiting is not None and waiting[0] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.due.clear()
-            if not done.all():
-                self._wait_for(int(until[~done].min()))
+        left = logs.assign(at_until=until)[~done]
+        waits, seen = [], set()
+        for (who, chunk), own in left.groupby(["at_who", "at_chunk"], dropna=False, sort=False):
+            due = int(own["at_until"].min())
+            group = (_text(who), int(chunk))
+            seen.add(group)
+            waits.append((*group, due))
+            self.logs.updateValue(group, (own["at_us"].tolist(), own["n"].tolist(), due))
+        for group in groups:
+            if group not in seen and self.logs.containsKey(group):
+                self.logs.removeKey(group)
+        self._wait(waits)
+        if not waits and upto < last:
+            # wait for the first end among the slots that are left
+            nearest = (upto + 1) * self.slot
+            self.handle.registerTimer(wake_at(nearest, self.behind))
+            self.waiting.update((upto + 1, last, nearest))
 
     def _held(self, logs: pd.DataFrame, judged: pd.Series) -> pd.DataFrame:
         """The judged spans with enough logs in them.
@@ -102,85 +191,214 @@ class SpanBurstProcessor(StatefulProcessor):
 class FollowedBySpanProcessor(StatefulProcessor):
     """Counts each user's denials since the last reset; an access reads and resets the count.
 
-    The first denial after a reset starts a timer, whose end resets too. A timer ends by
-    event time: before a row, the timers earlier than the row's time have ended. Spark's
-    own timers only free the state, because they fire after all rows of a micro-batch.
+    The first denial after a reset starts a timer, whose end resets too. A timer ends by event
+    time: before a row, the timers earlier than the row's time, or than the clock, have ended.
+    Spark's own timers only free the state of users that were left alone since, so they may come
+    late and one serves all users of a stretch of time.
     """
 
-    def __init__(self, span: int, threshold: int, cancel: bool) -> None:
-        self.span = span
-        self.threshold = threshold
-        self.cancel = cancel
+    STRETCHES = 16  # stretches of time a span is divided into
+
+    def __init__(self, span: int, threshold: int, cancel: bool, behind: int = 0) -> None:
+        self.span, self.threshold, self.cancel, self.behind = span, threshold, cancel, behind
+        self.stretch = max(span // self.STRETCHES, 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getListState("counts", "who string, n long")
-        self.timers = handle.getListState("timers", "who string, us long")
-
-    def _load(self) -> tuple[dict[str, int], dict[str, list[int]]]:
-        timers = defaultdict(list)
-        for who, us in self.timers.get():
-            heappush(timers[who], us)
-        return dict(self.counts.get()), timers
-
-    def _save(self, counts: dict[str, int], timers: dict[str, list[int]], passed: int) -> list[int]:
-        """Store what the watermark has not ended; returns the timers left."""
-        for who, ends in timers.items():
-            if ends and ends[0] <= passed:
-                timers[who] = [us for us in ends if us > passed]
-                counts[who] = 0
-        left = [(who, us) for who, ends in timers.items() for us in ends]
-        for state, values in (
-            (self.counts, [(who, n) for who, n in counts.items() if n]),
-            (self.timers, left),
-        ):
-            state.clear()
-            if values:
-                state.put(values)
-        return [us for _, us in left]
+        self.users = handle.getMapState("users", "who string", "n long, ends array<long>")
+        self.due = handle.getMapState("due", "us long", "who array<string>")
+
+    def _wake(self, us: int) -> int:
+        """The end of the stretch that the end of a timer lies in, in whole milliseconds."""
+        return (us // self.stretch + 1) * self.stretch // 1000 * 1000
+
+    def _load(self, who: str | None, now: int) -> tuple[int, list[int], bool]:
+        held = self.users.getValue((who,))
+        if held is None:
+            return 0, [], False
+        n, ends = held[0], list(held[1])
+        left = [us for us in ends if us >= now]
+        return (n if len(left) == len(ends) else 0), left, True
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(
             ["at_us", "at_order"], kind="stable", na_position="first"
         )
-        counts, timers = self._load()
-        latest = max((us for ends in timers.values() for us in ends), default=None)
-        alerts = []
-        columns = (batch[name].tolist() for name in ("at_who", "at_us", "at_denied"))
-        for who, us, denied in zip(*columns):
-            ends = timers[who]
-            while ends and ends[0] < us:
-                heappop(ends)
-                counts[who] = 0
-            n = counts.get(who, 0)
-            if denied:
-                if n == 0:
-                    heappush(ends, us + self.span)
-                counts[who] = n + 1
-            else:
-                if n >= self.threshold:
-                    alerts.append((who, us, n))
-                counts[who] = 0
-                if self.cancel:
-                    ends.clear()
-        left = self._save(counts, timers, timerValues.getCurrentWatermarkInMs() * 1000)
-        if left and max(left) != latest:
-            self.handle.registerTimer(_wake_at(max(left)))
+        now = clock_of(timerValues, self.behind)
+        alerts, due = [], defaultdict(list)
+        for name, own in batch.groupby("at_who", dropna=False, sort=False):
+            who = _text(name)
+            n, ends, known = self._load(who, now)
+            before = max(ends, default=None)
+            heapify(ends)
+            for us, denied in zip(own["at_us"].tolist(), own["at_denied"].tolist(), strict=True):
+                while ends and ends[0] < us:
+                    heappop(ends)
+                    n = 0
+                if denied:
+                    if n == 0:
+                        heappush(ends, us + self.span)
+                    n += 1
+                else:
+                    if n >= self.threshold:
+                        alerts.append((who, us, n))
+                    n = 0
+                    if self.cancel:
+                        ends.clear()
+            if ends:
+                self.users.updateValue((who,), (n, ends))
+                if max(ends) != before:
+                    due[self._wake(max(ends))].append(who)
+            elif known:
+                self.users.removeKey((who,))
+        for wake, whos in due.items():
+            held = self.due.getValue((wake,))
+            if held is None:
+                self.handle.registerTimer(wake_at(wake, self.behind))
+            self.due.updateValue((wake,), ((list(held[0]) if held else []) + whos,))
         if alerts:
             yield pd.DataFrame(alerts, columns=["at_who", "at_us", "denied_count"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._save(*self._load(), timerValues.getCurrentWatermarkInMs() * 1000)
+        wake = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000 + self.behind
+        held = self.due.getValue((wake,))
+        if held is not None:
+            self.due.removeKey((wake,))
+            now = clock_of(timerValues, self.behind)
+            for who in set(held[0]):
+                n, ends, known = self._load(who, now)
+                if ends:
+                    self.users.updateValue((who,), (n, ends))
+                elif known:
+                    self.users.removeKey((who,))
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def _counted(logs: pd.DataFrame) -> pd.DataFrame:
-    return logs.groupby(LOG, dropna=False, sort=False, as_index=False)["n"].sum()
+class ClosingWindowProcessor(StatefulProcessor):
+    """Counts logs in windows that are sent when they close, and again for every later log.
+
+    Counts are kept in panes, as wide as the greatest stretch that divides window and slide, so a
+    log touches one pane and not all its windows. A window closes when the clock reaches its end;
+    one timer waits for the next end, and one per pane for the end of the lateness, when the pane
+    goes. A log of a closed window sends each closed window it lies in anew, as long as the clock
+    is less than `lateness` past the window's end; after that it does not count in it.
+    """
 
+    def __init__(self, window: int, slide: int, threshold: int, lateness: int, behind: int) -> None:
+        self.window, self.slide, self.threshold = window, slide, threshold
+        self.lateness, self.behind = lateness, behind
+        self.pane = gcd(window, slide)
 
-def _tuples(logs: pd.DataFrame) -> list[tuple[str | None, int, int, int]]:
-    who = [None if pd.isna(value) else value for value in logs["at_who"].tolist()]
-    return list(zip(who, *(logs[name].tolist() for name in ("at_chunk", "at_us", "n"))))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "pane long", "who array<string>, n array<long>")
+        # the panes with a window still to close, the clock up to which windows are closed, and
+        # the end the timer waits for
+        self.open = handle.getValueState("open", "panes array<long>, closed long, due long")
+
+    def _ends(self, pane: int) -> range:
+        """Ends of the windows that hold a pane."""
+        first = -(-(pane + self.pane - self.window) // self.slide) * self.slide
+        return range(first + self.window, pane + self.window + 1, self.slide)
+
+    def _load(self, held: dict[int, dict], pane: int) -> dict[str | None, int]:
+        if pane not in held:
+            found = self.panes.getValue((pane,))
+            held[pane] = {} if found is None else dict(zip(*found, strict=True))
+        return held[pane]
+
+    def _state(self) -> tuple[list[int], int, int | None]:
+        found = self.open.get() if self.open.exists() else None
+        return ([], -(2**62), None) if found is None else (list(found[0]), found[1], found[2])
+
+    def _closed(self, panes: list[int], closed: int, now: int, held: dict) -> list[tuple]:
+        """Alerts of the windows whose end the clock has passed since the last look."""
+        ends = sorted({end for pane in panes for end in self._ends(pane) if closed < end <= now})
+        alerts = []
+        for end in ends:
+            total: dict[str | None, int] = defaultdict(int)
+            for pane in range(end - self.window, end, self.pane):
+                for who, n in self._load(held, pane).items():
+                    total[who] += n
+            alerts += [
+                (who, end - self.window, n, False) for who, n in total.items() if n > self.threshold
+            ]
+        return alerts
+
+    def _wait(self, panes: list[int], now: int, due: int | None) -> None:
+        """Store the panes still open and set the timer for the next end."""
+        panes = [pane for pane in panes if self._ends(pane)[-1] > now]
+        next_end = min((end for pane in panes for end in self._ends(pane) if end > now), default=None)
+        if next_end is not None and (due is None or next_end < due or due <= now):
+            self.handle.registerTimer(wake_at(next_end, self.behind))
+            due = next_end
+        self.open.update((sorted(panes), now, due))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = clock_of(timerValues, self.behind)
+        logs = pd.concat(list(rows))
+        panes, closed, due = self._state()
+        held: dict[int, dict[str | None, int]] = {}
+        alerts = self._closed(panes, closed, now, held)
+        logs["at_pane"] = logs["at_us"] // self.pane * self.pane
+        first_end = {pane: self._ends(pane)[0] for pane in logs["at_pane"].unique().tolist()}
+        late = logs["at_pane"].map(first_end) <= now
+        known = set(panes)
+        changed: set[int] = set()
+        counts = logs[~late].groupby(["at_pane", "at_who"], dropna=False, sort=False).size()
+        for (pane, who), n in counts.items():
+            own = self._load(held, int(pane))
+            own[_text(who)] = own.get(_text(who), 0) + int(n)
+            changed.add(int(pane))
+        behind = logs[late].sort_values(["at_us", "at_order"], kind="stable", na_position="first")
+        for name, pane in zip(behind["at_who"].tolist(), behind["at_pane"].tolist(), strict=True):
+            ends = [end for end in self._ends(pane) if end + self.lateness > now]
+            if not ends:
+                continue
+            who, own = _text(name), self._load(held, pane)
+            own[who] = own.get(who, 0) + 1
+            changed.add(pane)
+            for end in ends:
+                if end > now:
+                    break
+                within = range(end - self.window, end, self.pane)
+                n = sum(self._load(held, p).get(who, 0) for p in within)
+                if n > self.threshold:
+                    alerts.append((who, end - self.window, n, True))
+        for pane in changed:
+            if not self.panes.containsKey((pane,)):
+                gone = self._ends(pane)[-1] + self.lateness
+                self.handle.registerTimer(wake_at(gone, self.behind))
+            own = held[pane]
+            self.panes.updateValue((pane,), (list(own), list(own.values())))
+        self._wait(sorted(known | changed), now, due)
+        if alerts:
+            yield _alerts(alerts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = clock_of(timerValues, self.behind)
+        panes, closed, due = self._state()
+        alerts = self._closed(panes, closed, now, {})
+        self._wait(panes, now, due)
+        # the panes whose last window ended `lateness` before the time this timer was set for
+        end = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000 + self.behind - self.lateness
+        start = end - self.window
+        for pane in range(start, start + self.slide, self.pane):
+            if self._ends(pane)[-1] + self.lateness <= now and self.panes.containsKey((pane,)):
+                self.panes.removeKey((pane,))
+        if alerts:
+            yield _alerts(alerts)
+
+    def close(self) -> None:
+        pass
+
+
+def _alerts(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["at_who", "at_us", "count", "refired"])
+
+
+def _counted(logs: pd.DataFrame) -> pd.DataFrame:
+    return logs.groupby(LOG, dropna=False, sort=False, as_index=False)["n"].sum()

@@ -1,11 +1,22 @@
+import math
+
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
-from emberwatch import as_envelope, keyword_alert, normalize_logs, parse_documents, parse_logs
+from emberwatch import (
+    as_envelope,
+    index_logs,
+    keyword_alert,
+    normalize_logs,
+    parse_documents,
+    parse_logs,
+    read_documents,
+    read_index,
+)
 from emberwatch.functions.timeparts import micros
-from emberwatch.schemas import USER_LOG
+from emberwatch.schemas import ENVELOPE, USER_LOG
 
 
 def test_strict_fails_on_a_broken_message(spark):
@@ -33,9 +44,71 @@ DOCUMENTS = {
     b"\xff\xfe{}": False,
     b"42": True,
     b"[1,2]": True,
+    b"null": True,
+    b' {"a": 1}\n': True,
+    b'{"a": 1} {"b": 2}': False,
+    b'{"a": 1},': False,
+    b'{"a": 1}}': False,
+    b"1] [2": False,
+    b"1, 2": False,
+    b'1, "e": 2': False,
+    b'{"a": NaN, "b": [Infinity, -Infinity]}': True,
+    b"NaN": True,
+    b'{"a": NaN} x': False,
+    b'{"a": nan}': False,
+    b'{"a": +Infinity}': False,
+    b'{"a": "NaN", "b": }': False,
+    b'{"a": "NaN, Infinity"}': True,
+}
+
+REASONS = {
+    b'{"a": 1}': None,
+    None: "empty",
+    b"": "empty",
+    b"  ": "empty",
+    b"\xff{}": "not UTF-8",
+    b'{"a": "it\'s"}': "quotes",
+    b"{'a': 'b": "not JSON",
+    b"garbage": "not JSON",
+    b'{"a": 1} {"b": 2}': "not JSON",
 }
 
 
+def test_reasons(spark):
+    df = spark.createDataFrame(list(enumerate(REASONS)), "id int, value binary")
+    told = {r.id: r.reason for r in read_documents(df).select("id", "reason").collect()}
+    assert told == dict(enumerate(REASONS.values()))
+
+
+def test_odd_numbers_are_kept(spark):
+    df = spark.createDataFrame([(b'{"a": NaN, "b": -Infinity}',)], "value binary")
+    row = parse_documents(df).selectExpr(
+        "variant_get(doc, '$.a', 'double') a", "variant_get(doc, '$.b', 'double') b").first()
+    assert math.isnan(row.a) and row.b == -math.inf
+
+
+def test_rejects_and_documents_come_from_one_parse(spark, tmp_path):
+    df = spark.createDataFrame([(v, "logs", 0, i, None) for i, v in enumerate(REASONS)], ENVELOPE)
+    index_logs(df, f"{tmp_path}/index", load="one", rejects=f"{tmp_path}/rejects")
+    index_logs(df, f"{tmp_path}/index", load="one", rejects=f"{tmp_path}/rejects")  # again, as in a replay
+    gone = spark.read.parquet(f"{tmp_path}/rejects").collect()
+    assert {(r.offset, r.reason) for r in gone} == {(i, r) for i, r in enumerate(REASONS.values()) if r}
+    assert len(gone) == len(REASONS) - 1
+    assert [r.offset for r in read_index(spark, f"{tmp_path}/index").collect()] == [0]
+
+
+def test_a_streams_rejects(spark, feed, tmp_path):
+    values = ['{"timestamp": 1}', "garbage", "{'timestamp': 2}"]
+    stream = feed(values).selectExpr("CAST(value AS BINARY) AS value", "'logs' AS topic", "0 AS partition", "CAST(length(value) AS LONG) AS offset")
+    query = index_logs(stream, f"{tmp_path}/index", f"{tmp_path}/check", trigger="available", rejects=f"{tmp_path}/rejects")
+    query.awaitTermination(60)
+    assert query.exception() is None
+    assert [(r.value, r.reason) for r in spark.read.parquet(f"{tmp_path}/rejects").collect()] == [(b"garbage", "not JSON")]
+    assert read_index(spark, f"{tmp_path}/index").count() == 2
+    plan = read_documents(spark.createDataFrame([(b"1",)], "value binary"))._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Generate") == 1
+
+
 def test_documents(spark):
     values = list(DOCUMENTS)
     df = spark.createDataFrame(list(enumerate(values)), "id int, value binary")
