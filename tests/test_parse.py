@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from conftest import SF
@@ -16,6 +18,7 @@ from emberwatch import (
     read_index,
 )
 from emberwatch.functions.timeparts import micros
+from emberwatch.operators.parse import pattern_candidates, required_text
 from emberwatch.schemas import ENVELOPE, USER_LOG
 
 
@@ -171,3 +174,76 @@ def test_long_properties_of_views_are_read_whole(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     rows = spark_entry.parse_documents(spark, str(tmp_path)).collect()
     assert [r.k for r in rows] == [7, 7, 7] and all("x" * 200 in r.text for r in rows)
+
+
+@pytest.mark.parametrize(("pattern", "text"), [
+    (r"Failed login for (\w+) from ([\d.]+)", "Failed login for "),
+    (r"disk (\d+)% full", "% full"),
+    (r"^https?://([^/]+)/", "http"),
+    (r"colou?r", "colo"),
+    (r"ab+c", "ab"),
+    (r"(foo|bar) baz", " baz"),
+    (r"one|two", ""),
+    (r"(?i)error", ""),
+    (r"a{2}bc", "bc"),
+    (r"\[warn\] x", "[warn] x"),
+    (r"[]a]xyz[^]]q", "xyz"),
+    (r"\Qa.b\E", ""),
+    (r"\x41bc\p{L}de", "bc"),
+    (r"(a(b)c)?long text", "long text"),
+    (r"\d+\s*", ""),
+])
+def test_text_that_a_match_must_hold(pattern, text):
+    assert required_text(pattern) == text
+
+
+def many_patterns(rng, n):
+    words = ["disk", "disk full", "login", "log", "in for", "error", "err", "user", "er u", "failed", "timeout", "full"]
+    told = []
+    for i in range(n):
+        a, b = rng.choice(words), rng.choice(words)
+        told.append(rng.choice([
+            (f"p{i}", rf"{a} (\w+) {b}{i % 7}", ("x",)),
+            (f"p{i}", rf"{a}{i}=(\d+)(?: of (\d+))?", ("x", "y")),
+            (f"p{i}", rf"^{a}.*{b}(\d)$", ("z",)),
+            (f"p{i}", rf"(?i){a}-{i}", ()),
+            (f"p{i}", rf"(?:{a}|{b}) code {i}", ()),
+        ]))
+    return words, told
+
+
+def test_three_hundred_patterns_as_one_after_the_other(spark):
+    rng = random.Random(11)
+    words, patterns = many_patterns(rng, 300)
+    lines = []
+    for _ in range(600):
+        i = rng.randrange(300)
+        a, b = rng.choice(words), rng.choice(words)
+        lines.append(rng.choice([
+            f"x {a} word {b}{i % 7} y", f"{a}{i}={i}", f"{a}{i}=4 of 5 more", f"{a} and {b}{i % 10}",
+            f"{a.upper()}-{i}", f"{b} code {i}", "nothing", "", f"{a}\x01{i}=7\x02 {a}{i}=3", f"{a} one {b}1\n{a}{i}=9",
+        ]))
+    df = spark.createDataFrame(list(enumerate([*lines, None])), "id int, value string")
+    got = {r.id: r for r in normalize_logs(df, patterns, unmatched=True).collect()}
+    for i, line in enumerate(lines):
+        for name, pattern, fields in patterns:
+            found = re.search(pattern, line)
+            if found:
+                want = {f: found[k + 1] or "" for k, f in enumerate(fields)}
+                break
+        else:
+            name, want = None, {}
+        row = got[i]
+        assert (row.pattern, row.x, row.y, row.z) == (name, want.get("x"), want.get("y"), want.get("z")), line
+    assert got[len(lines)].pattern is None
+    tried = df.filter("value IS NOT NULL").select(F.size(pattern_candidates(F.col("value"), patterns)).alias("n"))
+    sure = sum(not required_text(p) for _, p, _ in patterns)
+    mean = tried.agg(F.avg("n")).first()[0]
+    assert sure <= mean < 120  # of 300; patterns with flags are tried always
+
+
+def test_each_candidate_holds_its_text(spark):
+    patterns = [("a", "disk full", ()), ("b", "disk", ()), ("c", "k fu", ()), ("d", "fullness", ()), ("e", "(x)?", ())]
+    df = spark.createDataFrame([("a disk full of",), ("disks",), ("fullness",), ("",)], "value string")
+    told = [sorted(r.c) for r in df.select(pattern_candidates(F.col("value"), patterns).alias("c")).collect()]
+    assert told == [[0, 1, 2, 4], [1, 4], [3, 4], [4]]
