@@ -21,14 +21,15 @@ BASE = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be personal as well. Candidates only: the labelers say which are.
+#: What may be personal as well. Candidates only: the labelers say which are. Of any length, but
+#: for formats that set one themselves (IBAN, and the 127 parts of a host's name).
 CANDIDATES = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+ ?[\[({]at[\])}] ?[A-Za-z0-9-]{1,63}"
-    r"(?: ?(?:[\[({]dot[\])}]|\.) ?[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?:\G|(?<![._%-]))[A-Za-z0-9._%+-]++ ?[\[({]at[\])}] ?[A-Za-z0-9-]++"
+    r"(?: ?(?:[\[({]dot[\])}]|\.) ?[A-Za-z0-9-]++){1,126}+",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?",
     "phone": r"(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}",
-    "secret": r"[A-Za-z0-9]{20,128}+",
+    "secret": r"[A-Za-z0-9]{20,}+",
 }
 _CANDIDATE = rf"(?<![A-Za-z0-9+])(?:{'|'.join(CANDIDATES.values())})(?![A-Za-z0-9])"
 _BEFORE, _AFTER = 40, 2
@@ -143,7 +144,7 @@ def labelers(match: Column, kind: Column, before: Column, after: Column) -> list
         # context: in quotes or brackets of its own
         vote(near.rlike("[\"'(<]$") & after.rlike("^[\"')>]"), none),
         # regex: letters and digits mixed throughout, as in no word
-        vote((kind != "secret") | match.rlike("^(?:[A-Za-z]{0,6}[0-9]+)+[A-Za-z]{0,6}$"),
+        vote((kind != "secret") | ((digits > 0) & ~match.rlike("[A-Za-z]{7}")),
              match.rlike("^[A-Za-z]+[0-9]{0,2}$")),
     ]
 

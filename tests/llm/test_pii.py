@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from emberwatch.llm.pii import estimate, op7_pii, personal_spans
+from emberwatch.llm.pii import estimate, find_spans, op7_pii, personal_spans
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -75,3 +75,13 @@ def test_odd_rows(spark, odd, nothing, tmp_path):
     odd.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     rows = op7_pii(spark, str(tmp_path)).collect()
     assert len(rows) == odd.count() and {r.spans for r in rows} == {""}
+
+
+def test_candidates_of_any_length(spark):
+    """No candidate is cut or lost for its length, and long runs cost no more than their length."""
+    long_name = "n" * 300 + " [at] " + "h" * 200 + " [dot] example" + ".part" * 20
+    texts = ['token = "' + "a1" * 300 + '"', long_name, "-" * 200_000, "._%-" * 50_000 + " [at] x", "x1" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(c.kind, c.start, c.end) for c in r.candidates] for r in find_spans(docs).collect()}
+    assert got == {
+        0: [("secret", 9, 609)], 1: [("email", 0, len(long_name))], 2: [], 3: [], 4: [("secret", 0, 200_000)]}
