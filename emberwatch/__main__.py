@@ -20,6 +20,7 @@ from emberwatch.schemas import ACCESS_LOG
 from emberwatch.session import build_session
 from emberwatch.sources.kafka import kafka_logs
 from emberwatch.streaming.index import index_logs
+from emberwatch.streaming.machines import rule_set_alerts
 from emberwatch.streaming.runner import (
     alert_log,
     notify_per_batch,
@@ -59,7 +60,15 @@ def starters(
     def job() -> StreamingQuery:
         if given.job == "index":
             unit = given.unit or "auto"
-            return index_logs(read(), given.table, given.checkpoint, unit=unit, trigger=given.trigger)
+            return index_logs(
+                read(), given.table, given.checkpoint, unit=unit, trigger=given.trigger,
+                terms=given.terms, rejects=given.rejects, merge_every=given.merge_every,
+            )
+        if given.job == "rule-set":
+            logs = Rule("all", "burst", schema=given.schema, unit=given.unit).logs(read(), given.schema)
+            rules = logs.sparkSession.readStream.text(given.rules)
+            alerts = rule_set_alerts(logs, rules, retention=given.retention)
+            return deliver(given, alerts, given.job, changing=False)
         if given.job == "normalize":
             told = json.loads(Path(given.patterns).read_text())
             patterns = [(one["name"], one["pattern"], one["fields"]) for one in told]
@@ -83,7 +92,7 @@ def starters(
 
 def arguments(told: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="emberwatch", description=__doc__)
-    parser.add_argument("job", choices=[*JOBS, "index", "normalize", "rules"])
+    parser.add_argument("job", choices=[*JOBS, "index", "normalize", "rules", "rule-set"])
     parser.add_argument("--servers", required=True, help="Kafka bootstrap servers")
     parser.add_argument("--checkpoint", required=True, help="folder all executors can reach")
     parser.add_argument("--topic")
@@ -94,18 +103,26 @@ def arguments(told: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--trigger", help="such as `10 seconds`; default: as fast as possible")
     parser.add_argument("--restarts", type=int, help="give up after so many errors; default: never")
     parser.add_argument("--table", help="for the job `index`: its folder")
-    parser.add_argument("--rules", help="for the job `rules`: a JSON file")
+    parser.add_argument("--terms", action="store_true", help="for `index`: with the terms of each load")
+    parser.add_argument("--rejects", help="for `index`: folder of the messages that are no documents")
+    parser.add_argument("--merge-every", type=int, help="for `index`: merge after so many micro-batches")
+    parser.add_argument(
+        "--rules",
+        help="for `rules` a JSON file; for `rule-set` a folder of files with a definition per line, "
+        "to which files may be added while it runs",
+    )
+    parser.add_argument("--retention", default="1 day", help="for `rule-set`: how late logs may come")
     parser.add_argument(
         "--patterns",
         help="for the job `normalize`: a JSON file with a list of `name`, `pattern`, `fields`",
     )
     parser.add_argument(
-        "--schema", default=ACCESS_LOG, help="for the job `rules`: of messages, if a rule has none"
+        "--schema", default=ACCESS_LOG, help="for rules: of messages, if a rule has none"
     )
     parser.add_argument(
         "--unit",
         choices=["s", "ms", "auto"],
-        help="of the time: for `rules` s (default) or ms, for `index` also auto (default)",
+        help="of the time: for rules s (default) or ms, for `index` also auto (default)",
     )
     parser.add_argument(
         "--sink",
@@ -115,13 +132,14 @@ def arguments(told: list[str] | None = None) -> argparse.Namespace:
     )
     parser.add_argument("--output", help="folder of the table, or name of the topic, of alerts")
     given = parser.parse_args(told)
-    for job, needed in (("index", "table"), ("rules", "rules"), ("normalize", "patterns")):
+    needs = (("index", "table"), ("rules", "rules"), ("rule-set", "rules"), ("normalize", "patterns"))
+    for job, needed in needs:
         if given.job == job and not getattr(given, needed):
             parser.error(f"the job `{job}` needs --{needed}")
     if given.sink != "console" and not given.output:
         parser.error(f"the sink `{given.sink}` needs --output")
-    if given.job == "rules" and given.unit == "auto":
-        parser.error("the job `rules` needs the unit s or ms")
+    if given.job in ("rules", "rule-set") and given.unit == "auto":
+        parser.error(f"the job `{given.job}` needs the unit s or ms")
     return given
 
 

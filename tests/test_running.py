@@ -33,6 +33,7 @@ from emberwatch import (
     run_rules,
     run_with_retry,
     search_logs,
+    search_terms,
 )
 from emberwatch.__main__ import arguments, run_all, starters
 from emberwatch.schemas import ENVELOPE, LOGIN_LOG, USER_LOG
@@ -350,6 +351,27 @@ def test_command_line_jobs(feed, tmp_path, monkeypatch):
             arguments([wrong[0], *given, *wrong[1:]])
 
 
+def test_a_rule_set_and_an_index_by_command(spark, feed, tmp_path):
+    (tmp_path / "rules").mkdir()
+    rule = {"name": "many", "kind": "burst", "params": {"threshold": 2}}
+    (tmp_path / "rules" / "first.json").write_text(json.dumps(rule) + "\n")
+    source = feed([{"timestamp": BASE + s, "username": "a", "action": "x"} for s in range(4)] + ["broken"])
+    told = ["rule-set", "--servers", "x", "--checkpoint", str(tmp_path / "c"), "--trigger", "available"]
+    told += ["--rules", str(tmp_path / "rules"), "--sink", "table", "--output", str(tmp_path / "out")]
+    [start] = starters(arguments(told), lambda: source).values()
+    assert run_with_retry(start, restarts=0) == 0
+    [row] = read_alerts(spark, str(tmp_path / "out")).collect()
+    assert (row.rule, row.username, json.loads(row.alert)["count"]) == ("many", "a", 4)
+    envelope = source.selectExpr(
+        "CAST(value AS BINARY) AS value", "'logs' AS topic", "0 AS partition", "CAST(get_json_object(value, '$.timestamp') AS LONG) AS offset")
+    told = ["index", "--servers", "x", "--checkpoint", str(tmp_path / "i"), "--trigger", "available", "--terms"]
+    told += ["--table", str(tmp_path / "index"), "--rejects", str(tmp_path / "gone"), "--merge-every", "2"]
+    [start] = starters(arguments(told), lambda: envelope).values()
+    assert run_with_retry(start, restarts=0) == 0
+    assert search_terms(spark, str(tmp_path / "index"), all_of=["x"]).count() == 4
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "gone")).collect()] == ["not JSON"]
+
+
 def test_normalize_gives_messages(spark, feed, tmp_path):
     file = tmp_path / "patterns.json"
     file.write_text(json.dumps([

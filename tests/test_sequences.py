@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import BASE
 
-from emberwatch import event_time, followed_by_span, format_denial_alert, parse_logs
+from emberwatch import event_time, followed_by_span, format_denial_alert, parse_logs, run_alerts
 from emberwatch.schemas import ACCESS_LOG
 
 WORDS = {"D": "denied", "A": "accessed", "O": "other"}
@@ -213,3 +213,23 @@ def test_stream_of_many_users_against_state_machine(feed, drain, cancel):
         for t, n in machine([(t, 0, a) for t, who, a in logs if who == u], 20, 2, cancel)
     )
     assert shape([r for b in got for r in b]) == expected and expected
+
+
+def test_a_batch_costs_what_it_touches(feed, tmp_path):
+    """Three hundred users wait with a denial each; a log of one of them reads and writes one entry."""
+    checkpoint = str(tmp_path / "checkpoint")
+    waiting = [v for n in range(300) for v in steps("D0", f"u{n}")]
+
+    def run(values):
+        parsed = event_time(parse_logs(feed(values), ACCESS_LOG), unit="ms")
+        alerts = followed_by_span(parsed, "1 hour", buckets=4)
+        query = run_alerts(alerts, checkpoint, sink=lambda batch, number: batch.collect(), mode="append", trigger="available")
+        query.awaitTermination(120)
+        assert query.exception() is None
+        told = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+        return sum(p["numRowsUpdated"] for p in told), told[-1]["numRowsTotal"]
+
+    first, total = run(waiting)
+    assert first >= 300 and total >= 300
+    second, total = run(steps("D5", "u7"))
+    assert second <= 5 and total >= 300
