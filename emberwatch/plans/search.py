@@ -214,7 +214,7 @@ def search_terms(
     test = _matches(terms, must, any_of, none_of)
     if wanted:
         test = test & _phrase_in(terms, wanted)
-    found = rows.withColumn("_terms", terms_of("text")).filter(test).drop("_terms")
+    found = _with_terms(rows).filter(test).drop("_terms")
     return search_logs(found, since=since, until=until)
 
 
@@ -224,9 +224,14 @@ def _phrase(phrase: str | None) -> list[str]:
 
 
 def _phrase_in(terms: Column, words: Sequence[str]) -> Column:
-    whole = F.array(*[F.lit(word) for word in words])
-    starts = F.sequence(F.lit(1), F.size(terms) - len(words) + 1)
-    return (F.size(terms) >= len(words)) & F.exists(starts, lambda i: F.slice(terms, i, len(words)) == whole)
+    """Whether the words follow each other; no word holds a space, so a text of them tells."""
+    whole = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
+    return F.contains(whole, F.lit(f" {' '.join(words)} "))
+
+
+def _with_terms(rows: DataFrame) -> DataFrame:
+    """Adds `_terms`, by a generator: a plain column would be made anew wherever it is used."""
+    return rows.select("*", F.explode(F.array(terms_of("text"))).alias("_terms"))
 
 
 def _count(terms: str, word: str) -> Column:
@@ -258,7 +263,6 @@ def ranked_logs(
         counts = {r.term: r.n for r in entries.groupBy("term").agg(F.sum("rows").alias("n")).collect()}
     rows, total = sum(load.rows for load in loads), sum(load.terms for load in loads)
     average = total / rows if rows else 1.0
-    terms = terms_of("text")
     length = F.size("_terms")
     score = F.lit(0.0)
     for word in asked:
@@ -267,7 +271,7 @@ def ranked_logs(
         rare = F.log(F.lit(1 + (rows - counts[word] + 0.5) / (counts[word] + 0.5)))
         often = _count("_terms", word)
         score = score + rare * often * (K1 + 1) / (often + K1 * (1 - B + B * length / F.lit(average)))
-    scored = found.withColumn("_terms", terms).withColumn("score", F.round(score, 6)).drop("_terms")
+    scored = _with_terms(found).withColumn("score", F.round(score, 6)).drop("_terms")
     return scored.orderBy(F.desc("score"), *ID).limit(most)
 
 
