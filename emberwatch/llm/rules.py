@@ -127,8 +127,10 @@ def choose_cutoffs(
 
     `holdout` has `stratum` and a column for each rule, a row for each good document. With
     probability 1 - `doubt`, over all strata at once, no stratum loses more than `risk` of its
-    good documents by all rules together: each rule has an equal share of the risk, and each of
-    the (stratum, rule, cutoff) hypotheses is tested at an equal share of the doubt.
+    good documents by all rules together. Each rule has an equal share of the risk and each
+    (stratum, rule) an equal share of the doubt; its cutoffs are tested in a fixed sequence from
+    the loosest on, each at that whole share, up to the first one that fails. Counts only grow
+    along that sequence, so the last cutoff that passes is the least one that does.
     """
     counts = stored(
         holdout.groupBy("stratum").agg(
@@ -140,8 +142,8 @@ def choose_cutoffs(
             ],
         )
     )
-    tests = max(counts.count(), 1) * sum(map(len, cutoffs.values()))
-    allowed = most_errors(F.col("n"), risk / len(cutoffs), doubt / tests)
+    sequences = max(counts.count(), 1) * len(cutoffs)
+    allowed = most_errors(F.col("n"), risk / len(cutoffs), doubt / sequences)
     counts = counts.withColumn("allowed", allowed)
     return counts.select(
         "stratum",
@@ -267,7 +269,7 @@ def _op1_sql(risk: float = 0.05, doubt: float = 0.05) -> str:
         FROM counts
     ), chosen AS (
         SELECT lang, rule, min(cut) AS cut FROM tested
-        WHERE p <= {doubt} / (SELECT count(*) FROM counts) GROUP BY ALL
+        WHERE p <= {doubt} / (SELECT count(DISTINCT (lang, rule)) FROM counts) GROUP BY ALL
     )
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND NOT ({reject}) AS kept

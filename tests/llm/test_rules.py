@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberwatch.llm.queries import QUERIES, SQL
-from emberwatch.llm.rules import choose_cutoffs, most_errors, quality_rules, text_statistics
+from emberwatch.llm.rules import _op1_sql, choose_cutoffs, most_errors, quality_rules, text_statistics
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -58,6 +58,39 @@ def test_risk_is_kept(spark):
     assert {r.stratum: r.rule for r in chosen.collect()} == {"a": 0.985, "b": None}
 
 
+def test_a_sequence_needs_no_share_for_each_cutoff(spark):
+    """With no error at all a rule needs 1,000 good rows at rate 0.003 and doubt 0.05, however many cutoffs."""
+    rows = spark.createDataFrame([("a", 0.0)] * 1000, "stratum string, rule double")
+    cuts = tuple(i / 100 for i in range(1, 100))
+    assert choose_cutoffs(rows, {"rule": cuts}, 0.003, 0.05).first().rule == 0.01
+    assert choose_cutoffs(rows.limit(990), {"rule": cuts}, 0.003, 0.05).first().rule is None
+
+
+def test_false_rejections_stay_limited(spark):
+    """Of 200 holdouts, all from a rule value spread evenly, few choose a cutoff that loses over a tenth."""
+    rows = spark.range(200 * 300).select(F.col("id") % 200, F.rand(7)).toDF("stratum", "rule")
+    cuts = tuple(i / 100 for i in range(80, 100))
+    one = [r.rule for r in choose_cutoffs(rows, {"rule": cuts}, 0.1, 0.05).collect()]
+    assert not any(cut is not None and cut < 0.9 for cut in one)
+    # With the whole doubt for each holdout alone, about one in twenty may be wrong.
+    alone = [r.rule for r in choose_cutoffs(rows, {"rule": cuts}, 0.1, 0.05 * 200).collect()]
+    assert sum(cut is not None and cut < 0.9 for cut in alone) <= 20 and any(cut == 0.95 for cut in alone)
+
+
+def test_chosen_cutoffs_as_sql(spark):
+    """At a risk that this many labels can bound, so that cutoffs are chosen and reject."""
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    want = con.execute(_op1_sql(risk=0.4)).df()
+    docs, marks = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules(docs, marks, risk=0.4).toPandas()
+    names = sorted(got.columns)
+    assert names == sorted(want.columns) and (~got.kept & ~got.base_failed).sum() > 10
+    assert sorted(map(tuple, got[names].astype(str).values)) == sorted(map(tuple, want[names].astype(str).values))
+
+
 def test_odd_rows(odd, nothing, labels):
     got = quality_rules(odd, labels).collect()
     assert len(got) == odd.count() and {r.kept for r in got if r.doc_id == 1} == {False}
