@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,38 +26,76 @@ _BLOCK = frozenset(
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
+#: Elements whose own text is judged by whole class names only: a name's part may mean anything.
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption".split())
+_ADS = r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|related|recommend\w*"
+_TALK = r"comments?|comment-?list|replies|reply|respond|disqus|user-(?:comments?|responses?|reviews?)"
+_SITE = (
+    r"nav\w*|menu\w*|sidebar\w*|side-?bar|breadcrumbs?|footer|copyright|cookies?|consent|gdpr|"
+    r"notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|social\w*|widgets?|"
+    r"toolbar|pagination|pager|skip-?link|complementary|contentinfo|navigation|dialog"
+)
+_BOX = (
+    r"areas?|articles?|bars?|blocks?|box|buttons?|container|icons?|inner|items?|links?|lists?|"
+    r"media|posts?|sections?|slots?|thread|units?|wrap|wrapper"
+)
 #: Words of a class, id or role that mark what stands beside the article.
 _BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|"
-    r"side-?bar|breadcrumbs?|header|masthead|footer|copyright|cookies?|consent|gdpr|notices?|"
-    r"popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|social\w*|related|"
-    r"recommend\w*|comments?|comment-?list|replies|reply|respond|disqus|widgets?|toolbar|"
-    r"pagination|pager|search|skip-?link|complementary|contentinfo|navigation|dialog|alert|"
-    r"alertdialog|form)(?=$|[\s_-])",
+    rf"(?:^|[\s_-])(?:{_ADS}|{_TALK}|{_SITE}|banner|masthead|search|alert|alertdialog|form|"
+    r"(?<!entry[_-])(?<!post[_-])(?<!article[_-])(?<!content[_-])header|"
+    r"discussion|responses?)(?=$|[\s_-])",
+    re.I,
+)
+#: The same within an article: the word ends a name, or goes before a word for a box.
+_WITHIN = re.compile(
+    rf"(?:^|[\s_-])(?:{_ADS}|{_TALK}|{_SITE})(?:[_-](?:{_BOX}))*(?=$|\s)", re.I
+)
+#: Whole names that mark a paragraph or heading as none of the article.
+_SURE = re.compile(
+    rf"(?:^|\s)(?:{_ADS}|{_TALK}|breadcrumbs?|copyright|cookies?|consent|gdpr|newsletter|subscribe|"
+    r"skip-?link|cookie-notice)(?=$|\s)",
     re.I,
 )
 #: Of those, the words of what is never the article, also where it is made of article elements.
-_SHUT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|related|recommend\w*|comments?|"
-    r"comment-?list|replies|reply|respond|disqus)(?=$|[\s_-])",
+_SHUT = re.compile(rf"(?:^|[\s_-])(?:{_ADS}|{_TALK})(?=$|[\s_-])", re.I)
+#: Short lines at the edge of a stretch that speak of the site.
+_IMPRINT = re.compile(
+    r"(?:\xa9|\(c\)\s|copyright\b).{0,80}|.{0,80}\ball rights reserved\W*|skip to (?:main )?content",
     re.I,
 )
-_MAIN = frozenset(("article", "main"))
+_MAIN = {"main": 1, "article": 2}
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-_MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>\"']+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
+def _told(attributes: str) -> tuple[str, bool]:
+    """The names in class, id and role, and whether the element is hidden; by the attribute's name."""
+    marks, hidden = [], False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            marks.append(value)
+        elif name == "hidden":
+            hidden = True
+        elif name == "aria-hidden":
+            hidden |= value.strip().lower() == "true"
+        elif name == "style":
+            hidden |= bool(_NOT_SHOWN.search(value))
+    return " ".join(marks), hidden
 
 
 class Line:
-    """A block's text with the characters that count, those in links left out."""
+    """A block's text, its characters outside of links, and whether it lies in a main element (1)
+    or an article element (2)."""
 
     __slots__ = ("text", "length", "main")
 
-    def __init__(self, text: str, length: int, main: bool):
+    def __init__(self, text: str, length: int, main: int):
         self.text, self.length, self.main = text, length, main
 
 
@@ -64,16 +103,17 @@ def page_lines(page: str) -> list[Line]:
     """The page without markup: a line for each run of text between block elements.
 
     Elements that hold no article text, by their name or by the words of their class, id or
-    role, are left out with all they contain; an article or main element in such a wrapper is
+    role, are left out with all they contain. Inside an article or main element, and for headings
+    and paragraphs anywhere, only such words count as surely mark none of its text. An article or main element in such a wrapper is
     taken nevertheless, unless it lies in an opaque or hidden element, in an aside, nav or footer,
     or among comments, advertisements or related texts.
     """
     lines: list[Line] = []
     parts: list[str] = []
     linked = 0
-    open_tags: list[tuple[str, bool, bool, bool, bool]] = []  # name, beside, main, link, shut
-    beside = main = in_link = shut = False
-    at = 0
+    open_tags: list[tuple[str, bool, int, bool, bool]] = []  # name, beside, main, link, shut
+    beside = in_link = shut = False
+    main = at = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -92,7 +132,7 @@ def page_lines(page: str) -> list[Line]:
 
     def refresh() -> None:
         nonlocal beside, main, in_link, shut
-        last = open_tags[-1] if open_tags else ("", False, False, False, False)
+        last = open_tags[-1] if open_tags else ("", False, 0, False, False)
         _, beside, main, in_link, shut = last
 
     while tag := _TAG.search(page, at):
@@ -126,18 +166,19 @@ def page_lines(page: str) -> list[Line]:
                     break
                 if open_tags[depth][0] in stop:
                     break
-        marks = " ".join(x or y or z for x, y, z in _MARK.findall(tag[3])) if tag[3] else ""
-        hidden = bool(tag[3] and _HIDDEN.search(tag[3]))
-        off = name in _ASIDE or bool(marks and _BESIDE.search(marks)) or hidden
+        marks, hidden = _told(tag[3]) if tag[3] else ("", False)
+        listed = _SURE if name in _TEXT else _WITHIN if main else _BESIDE
+        off = name in _ASIDE or bool(marks and listed.search(marks)) or hidden
         if name == "header" and main:  # an article's own head holds its title
-            off = False
+            off = hidden
         inner = name in _MAIN and not (marks and _BESIDE.search(marks))
         lifted = inner and not shut and (beside or not main)
-        closes = hidden or name in ("aside", "nav", "footer") or bool(marks and _SHUT.search(marks))
+        closes = hidden or name in ("aside", "nav", "footer")
+        closes = closes or (bool(marks and _SHUT.search(marks)) and (off or name in _MAIN))
         open_tags.append((
             name,
             (beside or off) and name not in ("html", "body") and not lifted,
-            main or inner,
+            max(main, _MAIN[name]) if inner else main,
             in_link or name == "a",
             (shut or closes) and name not in ("html", "body") and not lifted,
         ))
@@ -169,24 +210,56 @@ def main_ranges(lengths: list[int], window: int, surge: int) -> list[tuple[int,
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article's blocks in page order with one space between; empty if there is none.
-
-    A line counts with its characters outside of links; one in an article or main element counts
-    with all of them, and as a surge at least. Every stretch is kept; those which only lines of
-    links part are one with these lines, and the first begins with the short lines right before it.
-    """
-    lines = page_lines(page or "")
-    lengths = [max(surge, len(line.text)) if line.main else line.length for line in lines]
+def _stretches(lines: list[Line], window: int, surge: int) -> list[tuple[int, int]]:
+    """The stretches of text among neighbouring lines, those which only links part made one."""
+    lengths = [len(line.text) if line.main else line.length for line in lines]
     kept: list[tuple[int, int]] = []
     for first, end in main_ranges(lengths, window, surge):
         if not kept:
-            while first and lengths[first - 1] and lines[first - 1].main == lines[first].main:
+            while first and lengths[first - 1]:
                 first -= 1
         elif not any(lengths[kept[-1][1] : first]):
             first = kept.pop()[0]
         kept.append((first, end))
-    return " ".join(line.text for first, end in kept for line in lines[first:end])
+    out = []
+    for first, end in kept:
+        while end > first and not (lengths[end - 1] and _is_text(lines[end - 1])):
+            end -= 1
+        while first < end and not _is_text(lines[first]):
+            first += 1
+        out.append((first, end))
+    return out
+
+
+def _is_text(line: Line) -> bool:
+    return bool(line.main or not _IMPRINT.fullmatch(line.text))
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The article's blocks in page order with one space between; empty if there is none.
+
+    Windows slide over the lines of an article element (of a main element, where the page has no
+    article), and over those between such elements, never across an edge. A line counts with its
+    characters outside of links, in such an element with all of them. Every stretch of an element
+    is kept. One beside them is only if its own windows surge and it holds more text than all of
+    them together, as the body of a page does whose element is a teaser. Stretches parted by
+    lines of links only are one with these lines; the first begins with the short lines right
+    before it; lines that speak of the site's rights are taken off its ends.
+    """
+    lines = page_lines(page or "")
+    level = max((line.main for line in lines), default=0)
+    for line in lines:
+        line.main = int(line.main == level > 0)
+    weight = sum(len(line.text) for line in lines if line.main)
+    kept: list[Line] = []
+    for is_main, group in groupby(lines, key=lambda line: line.main):
+        own = list(group)
+        for first, end in _stretches(own, window, surge):
+            stretch = own[first:end]
+            size = sum(line.length for line in stretch)
+            if is_main or not weight or size > max(weight, surge - 1):
+                kept += stretch
+    return " ".join(line.text for line in kept)
 
 
 def extract_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

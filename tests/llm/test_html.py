@@ -1,4 +1,5 @@
 import html as entities
+import random
 import re
 
 import pytest
@@ -59,6 +60,64 @@ def test_no_part_of_an_article_goes():
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_titles_and_paragraphs_with_odd_names_stay(element):
+    page = f"""<{element}><div class="entry-header" data-id="comments"><h1 class="page-header">Title</h1></div>
+    <p title="a hidden gem, style=display:none">{PARAGRAPH} 1</p><p class="alert">{PARAGRAPH} 2</p>
+    <p class="social-history" aria-label='role="navigation"'>{PARAGRAPH} 3</p></{element}>"""
+    assert main_text(page) == f"Title {PARAGRAPH} 1 {PARAGRAPH} 2 {PARAGRAPH} 3"
+    assert main_text(f"<{element}><p class=social-history>{PARAGRAPH}</p></{element}>") == PARAGRAPH
+
+
+@pytest.mark.parametrize("hidden", ["hidden", "hidden=''", "aria-hidden = TRUE", "style='color:red; display : none'"])
+def test_hidden_elements_go(hidden):
+    assert main_text(f"<article><p>{PARAGRAPH}</p><div {hidden}><p>{PARAGRAPH} x</div></article>") == PARAGRAPH
+
+
+@pytest.mark.parametrize("names", ["class=share-buttons", "class='post ad-slot'", "id=cookie-notice", "class=related",
+                                   "class=top-menu", "class=newsletter", "id=comments", "class=social-links"])
+def test_what_is_none_of_an_article_goes(names):
+    assert main_text(f"<article><p>{PARAGRAPH}</p><div {names}><p>{PARAGRAPH} x</div></article>") == PARAGRAPH
+
+
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_lines_beside_an_element_do_not_ride_on_its_windows(element):
+    page = f"""<body><p>Skip to content</p><{element}><h1>Title</h1><p>{PARAGRAPH} 1<p>{PARAGRAPH} 2</{element}>
+    <p>Copyright 2024 Example Corp</p><p>© 2024 Example. All rights reserved.</p></body>"""
+    assert main_text(page) == f"Title {PARAGRAPH} 1 {PARAGRAPH} 2"
+
+
+@pytest.mark.parametrize("names", ["class=user-responses", "id=discussion", "class=voices"])
+def test_comments_beside_an_element_go_whatever_their_names(names):
+    body = "".join(f"<p>{PARAGRAPH} {i}" for i in range(4))
+    page = f"<main><article>{body}</article><div {names}><p>{PARAGRAPH} me too<p>No.</div></main>"
+    assert main_text(page) == " ".join(f"{PARAGRAPH} {i}" for i in range(4))
+
+
+def brute(lengths, window, surge):
+    """Line by line, by the definition: a stretch begins at a surge and goes on until the dive."""
+    def total(i):
+        return sum(x for k, x in enumerate(lengths) if i <= k < i + window)
+
+    least = max(1, min(surge, max((total(i) for i in range(len(lengths))), default=0)))
+    marks, inside = [], False
+    for i, own in enumerate(lengths):
+        inside = total(i) > 0 if inside else own > 0 and total(i) >= least
+        marks.append(inside)
+    return marks
+
+
+def test_distribution_against_brute_force():
+    draw = random.Random(5)
+    for _ in range(2000):
+        lengths = [draw.choice([0, 0, 0, 3, 20, 90]) for _ in range(draw.randrange(30))]
+        window, surge = draw.randrange(1, 5), draw.choice([1, 25, 80, 300])
+        marks = [False] * len(lengths)
+        for first, end in main_ranges(lengths, window, surge):
+            marks[first:end] = [True] * (end - first)
+        assert marks == brute(lengths, window, surge)
+
+
 def test_surge_and_dive():
     assert main_ranges([0, 5, 0, 0, 0, 90, 3, 60, 0, 0, 0, 4], 3, 80) == [(5, 8)]
     assert main_ranges([0, 5, 0, 0], 3, 80) == [(1, 2)]
