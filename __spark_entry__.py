@@ -261,6 +261,23 @@ def late_sequence_stream(spark: SparkSession, folder: str) -> DataFrame:
         buckets=_buckets(spark), **ACCESS_WORDS))
 
 
+def waiting_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Read from the state that a stream over all events leaves: who waits, as of the last event."""
+    logs = _log_stream(spark, folder)
+    path = _new_folder(spark)
+    ew.run_alerts(
+        ew.followed_by_span(
+            logs, "3 days", 2, order="event_id", buckets=_buckets(spark), **ACCESS_WORDS
+        ),
+        f"{path}/checkpoint",
+        sink=ew.alert_log(f"{path}/alerts"),
+        trigger="available",
+    ).awaitTermination()
+    last = _logs(spark, folder).agg(F.unix_micros(F.max("timestamp").cast("timestamp"))).first()[0]
+    held = ew.waiting_sequences(spark, f"{path}/checkpoint", F.timestamp_micros(F.lit(last)))
+    return _naive(held.select("username", "denied_count", F.explode("timers").alias("timer_ends")))
+
+
 def job_access(spark: SparkSession, folder: str) -> DataFrame:
     messages = _messages(_logs(spark, folder))
     return _naive(jobs.access(messages, "offset", span="2 days", threshold=3, **ACCESS_WORDS))
@@ -509,6 +526,7 @@ def queries() -> dict[str, Query]:
             followed_by_span_cancelled,
             followed_by_span_stream,
             late_sequence_stream,
+            waiting_sequences,
             job_access,
             parse_logs,
             parse_logs_strict,
@@ -576,9 +594,9 @@ def _spans(width: str, rows: str = "events") -> str:
 
 def _sequences(
     width: str, least: int, cancel: bool = False, rows: str = "events",
-    order: str = "ts, event_id", by: str = "ts",
+    order: str = "ts, event_id", by: str = "ts", told: str | None = None,
 ) -> str:
-    """`by`: the time up to which timers have ended before a row."""
+    """`by`: the time up to which timers have ended before a row; `told`: what to tell of it."""
     kept = "[]::TIMESTAMP[]" if cancel else "live"
     return f"""
         WITH RECURSIVE numbered AS (
@@ -602,8 +620,19 @@ def _sequences(
                          list_filter(w.timers, lambda t: t >= r.until) AS live
                   FROM walked w JOIN numbered r ON r.user_id = w.user_id AND r.rn = w.rn + 1)
         )
+        """ + (told or f"""
         SELECT user_id AS username, ts AS accessed_at, hit::BIGINT AS denied_count
-        FROM walked WHERE hit >= {least}"""
+        FROM walked WHERE hit >= {least}""")
+
+
+WAITING = """
+        SELECT username, timer_ends,
+               CASE WHEN len(list_filter(timers, lambda t: t < last)) > 0 THEN 0
+                    ELSE n END::BIGINT AS denied_count
+        FROM (SELECT user_id::VARCHAR AS username, n, timers, unnest(timers) AS timer_ends, last
+              FROM walked CROSS JOIN (SELECT max(ts) AS last FROM events)
+              QUALIFY rn = max(rn) OVER (PARTITION BY user_id))
+        WHERE timer_ends >= last"""
 
 
 # the events with their micro-batch, and the clock before it
@@ -768,6 +797,7 @@ def oracle_sql() -> dict[str, str]:
         "followed_by_span_cancelled": _sequences("3 DAY", 2, cancel=True),
         "followed_by_span_stream": _sequences("3 DAY", 2),
         "late_sequence_stream": LATE_SEQUENCES,
+        "waiting_sequences": _sequences("3 DAY", 2, told=WAITING),
         "job_access": f"""
             SELECT *, 'ALERT: User ' || username || ' accessed after ' || denied_count
                       || ' denials' AS alert

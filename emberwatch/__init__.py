@@ -40,6 +40,7 @@ from emberwatch.streaming.runner import (
     run_alerts,
     run_with_retry,
 )
+from emberwatch.streaming.waiting import cleared_sequences, open_spans, waiting_sequences
 
 __all__ = [
     "Machine",
@@ -48,6 +49,7 @@ __all__ = [
     "apply_rules",
     "as_envelope",
     "burst_alert",
+    "cleared_sequences",
     "closing_burst_alert",
     "delete_merged",
     "echo_events",
@@ -67,6 +69,7 @@ __all__ = [
     "merge_loads",
     "normalize_logs",
     "notify_per_batch",
+    "open_spans",
     "parse_documents",
     "parse_logs",
     "print_alerts",
@@ -86,4 +89,5 @@ __all__ = [
     "sliding_burst_alert",
     "span_burst_alert",
     "stream_table",
+    "waiting_sequences",
 ]

@@ -2,8 +2,17 @@ import random
 
 import pytest
 from conftest import BASE
-
-from emberwatch import event_time, followed_by_span, format_denial_alert, parse_logs, run_alerts
+from pyspark.sql import functions as F
+
+from emberwatch import (
+    cleared_sequences,
+    event_time,
+    followed_by_span,
+    format_denial_alert,
+    parse_logs,
+    run_alerts,
+    waiting_sequences,
+)
 from emberwatch.schemas import ACCESS_LOG
 
 WORDS = {"D": "denied", "A": "accessed", "O": "other"}
@@ -168,6 +177,33 @@ def test_state_is_freed(feed, drain):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
 
 
+def test_what_waits_is_read_back(spark, feed, drain, tmp_path):
+    """After each micro-batch: who has a timer, and who has none any more."""
+    batches = [
+        steps("D0 D1") + steps("D0", "b") + steps("D5", None),
+        steps("A50") + steps("D55", "b"),
+        steps("O500", "z"),
+        steps("O900", "z"),
+    ]
+    checkpoint = str(tmp_path / "kept")
+    parsed = event_time(parse_logs(feed(*batches), ACCESS_LOG), unit="ms")
+    drain(followed_by_span(parsed), checkpoint=checkpoint)
+
+    def told(df):
+        rows = [(r.username, r.denied_count, [int(t.timestamp()) - BASE for t in r.timers]) for r in df.collect()]
+        return sorted(rows, key=str)
+
+    assert told(waiting_sequences(spark, checkpoint, batch=0)) == [("a", 2, [60]), ("b", 1, [60]), (None, 1, [65])]
+    # the access has read the count, its timer still runs
+    assert told(waiting_sequences(spark, checkpoint, batch=1)) == [("a", 0, [60]), ("b", 2, [60]), (None, 1, [65])]
+    at = F.timestamp_seconds(F.lit(BASE + 61))
+    assert told(waiting_sequences(spark, checkpoint, at, batch=1)) == [(None, 1, [65])]
+    assert told(waiting_sequences(spark, checkpoint)) == []
+    last = max(int(p.stem) for p in (tmp_path / "kept" / "commits").glob("[0-9]*"))
+    assert [r[0] for r in told(cleared_sequences(spark, checkpoint, 1, last))] == ["a", "b", None]
+    assert told(cleared_sequences(spark, checkpoint, 0, 1)) == []
+
+
 def test_order_of_one_micro_batch_for_many_rows(feed, drain):
     # 25,000 rows of one user, the access first in the file and last in time
     values = steps("A50") + [v for s in range(24_999) for v in steps(f"D{s % 50}")]

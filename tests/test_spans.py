@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from conftest import BASE, dropped
 
-from emberwatch import event_time, parse_logs, span_burst_alert
+from emberwatch import event_time, open_spans, parse_logs, span_burst_alert
 from emberwatch.schemas import USER_LOG
 
 CASES = {
@@ -39,6 +39,20 @@ def test_cases(spark, feed, drain, case):
     assert [s for batch in got for s in shape(batch)] == expected
 
 
+def test_open_spans_are_read_back(spark, feed, drain, tmp_path):
+    checkpoint = str(tmp_path / "kept")
+    batches = [logs("u", 0, 0, 10) + logs(None, 5), logs("v", 61), logs("z", 9_000)]
+    parsed = parse_logs(feed(*batches), USER_LOG, mode="strict")
+    drain(span_burst_alert(event_time(parsed, unit="ms"), delay="0 seconds"), checkpoint=checkpoint)
+
+    def told(batch):
+        rows = open_spans(spark, checkpoint, batch).collect()
+        return sorted(((r.username, int(r.logged_at.timestamp()) - BASE, r.logs) for r in rows), key=str)
+
+    assert told(0) == [("u", 0, 2), ("u", 10, 1), (None, 5, 1)]
+    assert ("z", 9_000, 1) in told(None) and len(told(None)) == 1
+
+
 def brute(logs, span, threshold):
     found = []
     for user in {u for u, _ in logs}:
