@@ -13,7 +13,7 @@ from emberwatch.functions.timeparts import (
 )
 from emberwatch.operators.balance import STRETCHES_PER_CHUNK, running_balance, spread
 from emberwatch.streaming.buckets import BUCKETS, in_buckets, out_of_buckets
-from emberwatch.streaming.processors import SpanBurstProcessor
+from emberwatch.streaming.processors import PARTS, SpanBurstProcessor
 
 def span_burst_alert(
     df: DataFrame,
@@ -84,8 +84,10 @@ def _judged_on_stream(
     width = length * STRETCHES_PER_CHUNK
     logs = df.filter(F.col(time).isNotNull()).withColumn("at_us", as_micros(df, time))
     near = spread(logs, F.col("at_us"), after=length, width=width)
+    part = F.pmod(F.xxhash64("at_who"), F.lit(PARTS))
     found = (
         in_buckets(near, user, buckets, "at_chunk")
+        .withColumn("at_part", part)
         .groupBy("at_bucket")
         .transformWithStateInPandas(
             SpanBurstProcessor(length, width, threshold, behind),

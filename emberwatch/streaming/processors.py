@@ -40,33 +40,36 @@ def _text(who: object) -> str | None:
     return None if pd.isna(who) else who
 
 
-LOG = ["at_who", "at_chunk", "at_us"]
+LOG = ["at_who", "at_part", "at_chunk", "at_us"]
 
+#: users of a bucket are dealt to so many parts, each with one entry of state per chunk of time
+PARTS = 16
 
-class SpanBurstProcessor(StatefulProcessor):
-    """Keeps, for users and chunks of time, the log times whose span is open, with counts.
 
-    Logs behind a chunk are kept for the spans of the chunk that hold them, but open no span there.
-    A list per slot of time tells which groups have a span that ends in it, and one timer waits
-    for the earliest end; it judges every span the clock has passed and drops those times. Where
-    late rows are dropped, a judged count is final. Where they are taken, a late log's span is
-    judged at once, with the logs still kept.
+class SpanBurstProcessor(StatefulProcessor):
+    """Keeps, for parts of users and chunks of time, the log times whose span is open, with counts.
+
+    Each call on the state costs far more than a few users' times, so the users of a part share an
+    entry: a micro-batch reads and writes each entry it touches once, and their number does not
+    grow with the users. Logs behind a chunk are kept for the spans of the chunk that hold them, but
+    open no span there. One value tells which entries there are and when the first span of each
+    ends, and one timer waits for the earliest end; it judges every span the clock has passed and
+    drops those times. Where late rows are dropped, a judged count is final. Where they are taken, a
+    late log's span is judged at once, with the logs still kept.
     """
 
-    SLOTS = 16  # slots a span is divided into
-
     def __init__(self, span: int, width: int, threshold: int, behind: int = 0) -> None:
         self.span, self.width, self.threshold, self.behind = span, width, threshold, behind
-        self.slot = max(span // self.SLOTS, 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.logs = handle.getMapState(
-            "logs", "who string, chunk long", "us array<long>, n array<long>, due long"
+            "logs", "part int, chunk long", "who array<string>, us array<long>, n array<long>"
+        )
+        # the first end of each entry, and the end the timer waits for
+        self.due = handle.getValueState(
+            "due", "part array<int>, chunk array<long>, us array<long>, timer long"
         )
-        self.due = handle.getMapState("due", "slot long", "who array<string>, chunk array<long>")
-        # the first and last slot with a group in it, and when the timer is set for
-        self.waiting = handle.getValueState("waiting", "first long, last long, us long")
 
     def _until(self, logs: pd.DataFrame) -> pd.Series:
         """How long a log is needed: to the end of its span, or of all spans of the chunk."""
@@ -74,96 +77,77 @@ class SpanBurstProcessor(StatefulProcessor):
             return logs["at_us"] + self.span
         return np.minimum(logs["at_us"], logs["at_chunk"] + self.width) + self.span
 
-    def _wait(self, groups: list[tuple[str | None, int, int]]) -> None:
-        """Enter groups (who, chunk, end of the next span) and set the timer for the first end."""
-        if not groups:
-            return
-        slots = defaultdict(list)
-        for who, chunk, us in groups:
-            slots[us // self.slot].append((who, chunk))
-        for slot, own in slots.items():
-            held = self.due.getValue((slot,))
-            whos, chunks = ([], []) if held is None else (list(held[0]), list(held[1]))
-            self.due.updateValue(
-                (slot,), (whos + [who for who, _ in own], chunks + [chunk for _, chunk in own])
-            )
-        held = self.waiting.get() if self.waiting.exists() else None
-        earliest = min(us for _, _, us in groups)
-        if held is None:
-            first, last, us = min(slots), max(slots), None
-        else:
-            first, last, us = min(*slots, held[0]), max(*slots, held[1]), held[2]
-        if us is None or earliest < us:
-            self.handle.registerTimer(wake_at(earliest, self.behind))
-            us = earliest
-        self.waiting.update((first, last, us))
-
-    def _add(self, logs: pd.DataFrame) -> None:
-        waits = []
-        logs = logs.assign(at_until=self._until(logs))
-        for (who, chunk), own in logs.groupby(["at_who", "at_chunk"], dropna=False, sort=False):
-            key = (_text(who), int(chunk))
-            held = self.logs.getValue(key)
-            us, n, due = ([], [], None) if held is None else (list(held[0]), list(held[1]), held[2])
-            ends = int(own["at_until"].min())
-            if due is None or ends < due:
-                waits.append((*key, ends))
-                due = ends
-            self.logs.updateValue(key, (us + own["at_us"].tolist(), n + own["n"].tolist(), due))
-        self._wait(waits)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # a busy user's logs of one time are worth counting before they are kept
-        self._add(_counted(pd.concat([_counted(frame.assign(n=1)) for frame in rows])))
-        yield from self._judge(clock_of(timerValues, self.behind))
+        come = _counted(pd.concat([_counted(frame.assign(n=1)) for frame in rows]))
+        yield from self._judge(clock_of(timerValues, self.behind), come)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._judge(clock_of(timerValues, self.behind))
-
-    def _judge(self, now: int) -> Iterator[pd.DataFrame]:
-        """Judge all spans that end at the clock or before it."""
-        held = self.waiting.get() if self.waiting.exists() else None
-        if held is None or held[2] > now:
+        yield from self._judge(clock_of(timerValues, self.behind), None)
+
+    def _judge(self, now: int, come: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        """Add what has come and judge all spans that end at the clock or before it."""
+        found = self.due.get()
+        due: dict[tuple[int, int], int] = {}
+        timer = None
+        if found is not None:
+            due, timer = dict(zip(zip(found[0], found[1], strict=True), found[2], strict=True)), found[3]
+        touched = {entry for entry, us in due.items() if us <= now}
+        if come is not None:
+            touched.update(come[["at_part", "at_chunk"]].drop_duplicates().itertuples(index=False, name=None))
+        if not touched:
             return
-        first, last, _ = held
-        groups: dict[tuple[str | None, int], None] = {}
-        upto = min(now // self.slot, last)
-        for slot in range(first, upto + 1):
-            entries = self.due.getValue((slot,))
-            if entries is not None:
-                groups.update(dict.fromkeys(zip(*entries, strict=True)))
-                self.due.removeKey((slot,))
-        frames = []
-        for who, chunk in groups:
-            us, n, _ = self.logs.getValue((who, chunk)) or ([], [], 0)
-            frames += [(who, chunk, a, b) for a, b in zip(us, n, strict=True)]
-        # slots after the clock's may hold groups still
-        self.waiting.clear()
-        if upto < last:
-            self.waiting.update((upto + 1, last, 2**62))
-        logs = _counted(pd.DataFrame(frames, columns=[*LOG, "n"]).astype({"at_who": object}))
+        logs = self._load(touched & due.keys())
+        if come is not None:
+            logs = _counted(pd.concat([logs, come])) if len(logs) else come
         until = self._until(logs)
         done = until <= now
         alerts = self._held(logs, done & (logs["at_us"] < logs["at_chunk"] + self.width))
         if len(alerts):
             yield alerts
         left = logs.assign(at_until=until)[~done]
-        waits, seen = [], set()
-        for (who, chunk), own in left.groupby(["at_who", "at_chunk"], dropna=False, sort=False):
-            due = int(own["at_until"].min())
-            group = (_text(who), int(chunk))
-            seen.add(group)
-            waits.append((*group, due))
-            self.logs.updateValue(group, (own["at_us"].tolist(), own["n"].tolist(), due))
-        for group in groups:
-            if group not in seen and self.logs.containsKey(group):
-                self.logs.removeKey(group)
-        self._wait(waits)
-        if not waits and upto < last:
-            # wait for the first end among the slots that are left
-            nearest = (upto + 1) * self.slot
-            self.handle.registerTimer(wake_at(nearest, self.behind))
-            self.waiting.update((upto + 1, last, nearest))
+        left["at_who"] = left["at_who"].astype(object).where(left["at_who"].notna(), None)
+        known = set(due)
+        for entry in touched:
+            due.pop(entry, None)
+        for (part, chunk), own in left.groupby(["at_part", "at_chunk"], sort=False):
+            entry = int(part), int(chunk)
+            due[entry] = int(own["at_until"].min())
+            self.logs.updateValue(entry, tuple(own[name].tolist() for name in ("at_who", "at_us", "n")))
+        for entry in (touched & known) - due.keys():
+            self.logs.removeKey(entry)
+        self._wait(due, timer, now)
+
+    def _load(self, entries: set[tuple[int, int]]) -> pd.DataFrame:
+        whos, us, n, sizes = [], [], [], []
+        for entry in entries:
+            held = self.logs.getValue(entry)
+            whos += held[0]
+            us += held[1]
+            n += held[2]
+            sizes.append(len(held[0]))
+        parts, chunks = ([entry[i] for entry in entries] for i in (0, 1))
+        return pd.DataFrame(
+            {
+                "at_who": pd.Series(whos, dtype=object),
+                "at_part": np.repeat(np.array(parts, dtype=np.int64), sizes),
+                "at_chunk": np.repeat(np.array(chunks, dtype=np.int64), sizes),
+                "at_us": np.array(us, dtype=np.int64),
+                "n": np.array(n, dtype=np.int64),
+            }
+        )
+
+    def _wait(self, due: dict[tuple[int, int], int], timer: int | None, now: int) -> None:
+        """Store when the entries' first spans end and set the timer for the earliest end."""
+        if not due:
+            self.due.clear()
+            return
+        earliest = min(due.values())
+        if timer is None or earliest < timer or timer <= now:
+            self.handle.registerTimer(wake_at(earliest, self.behind))
+            timer = earliest
+        parts, chunks = ([entry[i] for entry in due] for i in (0, 1))
+        self.due.update((parts, chunks, list(due.values()), timer))
 
     def _held(self, logs: pd.DataFrame, judged: pd.Series) -> pd.DataFrame:
         """The judged spans with enough logs in them.

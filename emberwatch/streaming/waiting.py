@@ -50,11 +50,9 @@ def open_spans(
 
     A time that is kept for two chunks is told once.
     """
-    held = _state(spark, checkpoint, "logs", batch).select(
-        F.col("user_map_key.who").alias(user),
-        F.explode(F.arrays_zip("user_map_value.us", "user_map_value.n")).alias("log"),
-    )
-    told = held.groupBy(user, "log.us").agg(F.max("log.n").alias("logs"))
+    entry = F.arrays_zip("user_map_value.who", "user_map_value.us", "user_map_value.n")
+    held = _state(spark, checkpoint, "logs", batch).select(F.explode(entry).alias("log"))
+    told = held.groupBy(F.col("log.who").alias(user), "log.us").agg(F.max("log.n").alias("logs"))
     return told.select(user, from_micros(F.col("us"), False).alias("logged_at"), "logs")
 
 

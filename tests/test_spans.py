@@ -142,3 +142,15 @@ def test_a_partition_that_lags_loses_nothing(feed, drain):
     got, query = drain(span_burst_alert(event_time(parse_logs(feed(*batches), USER_LOG), unit="ms")))
     assert ("b", 4) in {(r.username, r["count"]) for batch in got for r in batch}
     assert dropped(query) == 0
+
+
+def test_entries_of_state_do_not_grow_with_the_users(spark, feed, drain, tmp_path):
+    """Six hundred users of two buckets share their parts' entries, and all go when the spans end."""
+    checkpoint = str(tmp_path / "kept")
+    many = [r for n in range(600) for r in logs(f"u{n}", 0, 10, 20, 30)]
+    parsed = event_time(parse_logs(feed(many, logs("z", 9_000)), USER_LOG), unit="ms")
+    got, query = drain(span_burst_alert(parsed, buckets=2, delay="0 seconds"), checkpoint=checkpoint)
+    told = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert max(p["numRowsTotal"] for p in told) <= 2 * (2 * 16 + 4)
+    assert Counter(r.username for b in got for r in b) == {f"u{n}": 1 for n in range(600)}
+    assert [r.username for r in open_spans(spark, checkpoint).collect()] == ["z"]
