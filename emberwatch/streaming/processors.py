@@ -1,8 +1,8 @@
 """Keyed state for the alerts that look at every log's own time span, and for windows that fire
 when they close.
 
-A key holds a bucket of users. Inside it state is a map with an entry per user or stretch of time,
-so a micro-batch reads and writes only the entries it touches, however many others there are.
+A key holds a bucket of users. Inside it state is a map with an entry per user, part of the users or
+stretch of time, so a micro-batch reads and writes only the entries it touches, however many others there are.
 Spark calls the methods by keyword, so their parameter names are fixed, and renames columns that
 start with an underscore, so the names here do not. The rows of a key in one micro-batch come as
 several frames of one call.
